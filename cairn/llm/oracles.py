@@ -66,4 +66,22 @@ SELECT doc_id, item_id, (st - 1)::BIGINT AS start_word, m::BIGINT AS n_words, si
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, st) = 1
 """
 
-ORACLES = {"op4_ngram_jaccard": JACCARD, "op9_line_dedup": LINE_DEDUP, "op10_decontamination": DECONTAMINATION}
+METRIC = r"""
+WITH RECURSIVE v AS MATERIALIZED (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS MATERIALIZED (SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(node, root) AS (SELECT vec_id, vec_id FROM v UNION SELECT p.w, reach.root FROM reach JOIN p ON p.u = reach.node),
+comp AS (SELECT node, min(root) AS root FROM reach GROUP BY node)
+SELECT vec_id, (SELECT count(*) FROM p WHERE p.u = vec_id)::BIGINT AS n_links, coalesce(comp.root, vec_id)::BIGINT AS component_id, vec_id = coalesce(comp.root, vec_id) AS kept
+FROM embeddings LEFT JOIN comp ON comp.node = vec_id
+"""
+
+WARC = r"""
+WITH d AS (SELECT page_id, url, sha1(encode(coalesce(html, ''))) AS payload_digest, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS head FROM d)
+SELECT page_id, url, payload_digest, payload_bytes, CASE WHEN payload_bytes >= 1000 AND page_id <> head THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> head THEN head END AS refers_to FROM m
+"""
+
+ORACLES = {"op5_warc": WARC, "op7_metric_join": METRIC, "op4_ngram_jaccard": JACCARD, "op9_line_dedup": LINE_DEDUP, "op10_decontamination": DECONTAMINATION}

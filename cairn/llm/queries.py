@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import decontaminate, language_crf, line_dedup, ngram_jaccard
+from cairn.llm import decontaminate, html_blocks, language_crf, line_dedup, metric_join, ngram_jaccard, repair_tokens, secret_cnn, sentencepiece_codec, warc_index
 from cairn.llm.oracles import ORACLES
 
 
@@ -14,14 +14,38 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_tokens.tokens(_table(spark, sf_dir, "documents")).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_cnn.scan(_table(spark, sf_dir, "documents"))
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract(_table(spark, sf_dir, "pages"))
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.ngram_jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_index.archive(_table(spark, sf_dir, "pages"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_crf.language_id(_table(spark, sf_dir, "documents"))
 
 
+def op7_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.metric_join(_table(spark, sf_dir, "embeddings"))
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode(_table(spark, sf_dir, "documents")).select("doc_id", "n_tokens", "ids_crc32", "round_trip", "differing")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "lines_removed", "chunks_removed")
 
@@ -31,7 +55,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_ngram_jaccard, op6_language_id, op9_line_dedup, op10_decontamination)}
+    return {f.__name__: f for f in (op1_token_repair, op2_secret_scan, op3_html_text, op4_ngram_jaccard, op5_warc, op6_language_id, op7_metric_join, op8_sentencepiece, op9_line_dedup, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
