@@ -44,20 +44,47 @@ def imbalance(per_shard: DataFrame, threshold: float = 0.3) -> DataFrame:
     return x.select("largest", "smallest", "mean", ratio.alias("imbalance"), F.when(ratio <= threshold, F.lit("skipped")).otherwise(F.lit("pending")).alias("status"))
 
 
+#: Bins that the rank of a percentile is first located in.
+BINS = 4096
+
+
 def latency_summary(requests: DataFrame, value: str = "seconds", ok: str | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Requests, success %, mean, least, most, and p95: the value at index int(0.95 n) of the sorted ones if n > 20, else the most.
 
-    The index is a rank, so values are ranked by a window and counted; no list of all values is built.
+    The index is located in equal-width bins by their counts, then among the distinct values of its bin: neither all values nor
+    all distinct ones of a key meet in a task.
     """
     success = F.avg(F.when(F.col(ok), 100.0).otherwise(0.0)) if ok else F.lit(100.0)
     keys = list(by)
-    stats = requests.groupBy(*keys).agg(F.count("*").alias("requests"), success.alias("success_pct"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"))
-    freq = requests.groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("v"))
-    total = F.sum("n").over(Window.partitionBy(*(keys or [F.lit(0)])))
-    at = freq.withColumns({"upto": upto, "total": total}).where(F.col("upto") > F.floor(F.col("total") * 0.95)).groupBy(*keys).agg(F.min("v").alias("ranked"))
-    both = stats.join(at, keys, "left") if keys else stats.crossJoin(at)
-    return both.withColumn("p95", F.when(F.col("requests") > 20, F.col("ranked")).otherwise(F.col("most"))).drop("ranked")
+    stats = requests.groupBy(*keys).agg(F.count("*").alias("requests"), F.count(value).alias("__n"), success.alias("success_pct"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"))
+    part = keys or [F.lit(0)]
+
+    def with_stats(df: DataFrame) -> DataFrame:
+        own = stats.select(*keys, "__n", "least", "most")
+        if not keys:
+            return df.crossJoin(F.broadcast(own))  # one row
+        for k in keys:
+            own = own.withColumnRenamed(k, f"__{k}")
+        match = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+        return df.join(own, match).drop(*[f"__{k}" for k in keys])
+
+    spread = F.col("most") - F.col("least")
+    place = F.when(spread > 0, F.least(F.floor((F.col("v") - F.col("least")) / spread * BINS), F.lit(BINS - 1))).otherwise(F.lit(0))
+    freq = with_stats(requests.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("n"))).withColumn("bin", place.cast("int"))
+    bins = freq.groupBy(*keys, "bin").agg(F.sum("n").alias("held"), F.first("__n").alias("total"))
+    rank = F.floor(F.col("total") * 0.95)
+    upto = F.sum("held").over(Window.partitionBy(*part).orderBy("bin"))
+    chosen = bins.withColumn("upto", upto).where((F.col("upto") > rank) & (F.col("upto") - F.col("held") <= rank)).select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("bin").alias("__bin"), (rank - (F.col("upto") - F.col("held"))).alias("inside"))
+    inner = freq.join(chosen, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys] + [F.col("bin") == F.col("__bin")])
+    seen = F.sum("n").over(Window.partitionBy(*part).orderBy("v"))
+    at = inner.withColumn("seen", seen).where(F.col("seen") > F.col("inside")).groupBy(*keys).agg(F.min("v").alias("ranked"))
+    if keys:
+        for k in keys:
+            at = at.withColumnRenamed(k, f"__{k}")
+        both = stats.join(at, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], "left").drop(*[f"__{k}" for k in keys])
+    else:
+        both = stats.join(at, F.lit(True), "left")
+    return both.withColumn("p95", F.when(F.col("requests") > 20, F.col("ranked")).otherwise(F.col("most"))).drop("ranked", "__n")
 
 
 def latency_histogram(requests: DataFrame, by: Sequence[str], value: str = "seconds", buckets: Sequence[float] = LATENCY_BUCKETS) -> DataFrame:

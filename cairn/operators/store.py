@@ -79,6 +79,26 @@ class ParquetStore:
     def file_exists(self, source: str) -> bool:
         return bool(self.source_rows(source).select("id").limit(1).collect())
 
+    def scroll(self, n: int, filters: dict | None = None, columns: Iterable[str] = ("id", "source")) -> DataFrame:
+        """A page of at most n rows, in no order."""
+        from cairn.operators.filters import apply
+
+        return apply(self.df(), filters).select(*columns).limit(n)
+
+    def cached(self) -> DataFrame:
+        """The current rows, kept by the executors for repeated searches; ``unpersist`` gives them back."""
+        return self.df().persist()
+
+    def file_needs_update(self, path: str) -> bool:
+        """False if the file is missing; true if it isn't registered, its hash differs or it is newer."""
+        from cairn.sources.files import registry_rows
+
+        if not self._fs.exists(self._path(path)):
+            return False
+        raw = self.spark.read.format("binaryFile").load(path).select(F.lit(path).alias("source"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"), "content")
+        known = self.registry().where(F.col("file_path") == path)
+        return sync.classify(registry_rows(raw), known).first()["action"] != "unchanged"
+
     # changes
 
     def prepare(self, rows: DataFrame, now: int | None = None) -> DataFrame:
@@ -141,6 +161,10 @@ class ParquetStore:
         if touched or registry is not None:
             self._write(sync.replace_rows(self._part(touched), new), touched, reg)
 
+    def update_registry(self, rows: DataFrame) -> None:
+        """Registry rows, of any status, replace those of their paths."""
+        self._write(self._part([]), [], sync.upsert(self.registry(), conform(rows, REGISTRY), "file_path"))
+
     def delete(self, sources: DataFrame) -> int:
         """Deletes the rows, and registry rows, of (source) and returns how many store rows went."""
         touched = self._touched(sources)

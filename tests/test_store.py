@@ -164,3 +164,25 @@ def test_streaming(spark, tmp_path):
     send("3.json", (path, "deleted", "2024-01-01T00:20:00Z"))
     send("4.json", (str(docs / "later.md"), "modified", "2024-01-01T00:30:00Z"))
     assert not store.file_exists(path)
+
+
+def test_registry_and_schedule(spark, tmp_path):
+    from cairn.plans.cli import schedule, serve
+
+    d = tmp_path / "docs"
+    d.mkdir()
+    (d / "a.md").write_text("# A\n\ntext\n")
+    store = ParquetStore(spark, str(tmp_path / "s"), shards=2)
+    assert not store.file_needs_update(str(d / "none.md")) and store.file_needs_update(str(d / "a.md"))
+    waits = []
+    out = schedule(Ingestor(spark, store, HashEmbedder(8)), [str(d)], 5, rounds=2, sleep=waits.append, clock=lambda: 0.0)
+    assert [x["added_files"] for x in out] == [1, 0] and waits == [5.0]
+    assert not store.file_needs_update(str(d / "a.md"))
+    (d / "a.md").write_text("# A\n\nother\n")
+    assert store.file_needs_update(str(d / "a.md"))
+    store.update_registry(spark.createDataFrame([("x", "error")], "file_path string, status string"))
+    assert {r.status for r in store.registry().collect()} == {"processed", "error"} and store.df().count() == 1
+    assert store.scroll(5, {"source_type": "markdown"}).count() == 1 and store.cached().count() == 1
+    lines = []
+    serve(Engine(spark, store, HashEmbedder(8)), ['{"tool": "document-search", "arguments": {"query": "a"}}', "", "x"], lines.append)
+    assert len(json.loads(lines[0])["results"]) == 1 and "error" in json.loads(lines[1])
