@@ -16,7 +16,7 @@ class Metrics:
         self.errors: Counter = Counter()
         self.seconds: dict[str, list[float]] = {}  # type -> [count, sum]
         self.buckets: dict[tuple[str, str], list[int]] = {}
-        self.gauges: dict[str, float] = {"mcp_active_connections": 0.0, "mcp_cpu_usage_percent": 0.0, "mcp_memory_usage_mb": 0.0}
+        self.gauges: dict[str, float] = {"engine_active_connections": 0.0, "engine_cpu_usage_percent": 0.0, "engine_memory_usage_mb": 0.0}
         self.cache_size: dict[str, int] = {}
         self.samples: list[tuple[str, str, float]] = []
 
@@ -48,19 +48,19 @@ class Metrics:
             out.append(f"{name}{{{own}}} {value}" if own else f"{name} {value}")
 
         for (m, e, s), n in sorted(self.requests.items()):
-            line("mcp_requests_total", n, method=m, endpoint=e, status=s)
+            line("engine_requests_total", n, method=m, endpoint=e, status=s)
         for (m, e), counts in sorted(self.buckets.items()):
             for bound, n in zip((*LATENCY_BUCKETS, "+Inf"), counts, strict=True):
-                line("mcp_request_latency_seconds_bucket", n, method=m, endpoint=e, le=bound)
+                line("engine_request_latency_seconds_bucket", n, method=m, endpoint=e, le=bound)
         for kind, (n, total) in sorted(self.seconds.items()):
-            line("mcp_query_processing_seconds_count", n, type=kind)
-            line("mcp_query_processing_seconds_sum", total, type=kind)
+            line("engine_query_processing_seconds_count", n, type=kind)
+            line("engine_query_processing_seconds_sum", total, type=kind)
         for (kind, cached), n in sorted(self.queries.items()):
-            line("mcp_queries_processed_total", n, type=kind, cached=cached)
+            line("engine_queries_processed_total", n, type=kind, cached=cached)
         for kind, n in sorted(self.errors.items()):
-            line("mcp_errors_total", n, type=kind)
+            line("engine_errors_total", n, type=kind)
         for name, value in self.gauges.items():
             line(name, value)
         for kind, n in sorted(self.cache_size.items()):
-            line("mcp_cache_size", n, cache_type=kind)
+            line("engine_cache_size", n, cache_type=kind)
         return "\n".join(out) + "\n"

@@ -118,7 +118,7 @@ def test_ingest_and_api(spark, tmp_path):
     assert e.optimize()["details"]["execution_time_ms"] > 0 and not e.query("about docker", 3)["cached"]
     assert json.loads(e.handle('{"tool": "document-search", "arguments": {"query": "a", "topK": 1}}'))["results"][0]["score"] is not None
     assert json.loads(e.handle('{"tool": "other"}')) == {"error": "unsupported tool"} and "error" in json.loads(e.handle("{"))
-    assert 'mcp_queries_processed_total{type="query",cached="true"} 1' in e.metrics_text() and e.health() == {"status": "healthy"}
+    assert 'engine_queries_processed_total{type="query",cached="true"} 1' in e.metrics_text() and e.health() == {"status": "healthy"}
     assert e.rebalance_report()["status"] in ("skipped", "pending")
 
 
