@@ -14,6 +14,9 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from cairn.llm._spark import small_batches
+from cairn.llm._text import pieces
+
 #: Function words of the languages that the density of stop words is measured with.
 STOP_WORDS = frozenset(
     """
@@ -31,12 +34,15 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes noscrip
 NEVER = frozenset("aside button datalist dialog fieldset footer form head header label menu nav optgroup option search select canvas object audio video".split())
 MAIN = frozenset("article main".split())
 BAD_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|copyright|disqus|discussion|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pagination|pager|popup|promo|promoted|recommended|related|replies|respond|responses|share|sharing|sidebar|signup|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|copyright|disqus|discussion|footer|gdpr|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pagination|pager|popup|promo|promoted|recommended|related|replies|respond|responses|share|sharing|sidebar|signup|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-])",
     re.I,
 )
 BAD_ROLE = frozenset("banner navigation complementary contentinfo search dialog alert alertdialog menu menubar form".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+HEADER_NAME = re.compile(r"(?:^|[_-])header(?:$|[_-])", re.I)
+ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: Class names that tell about other elements than their own.
+_ABOUT = ("has-", "no-", "with-", "without-", "is-", "not-")
 
 #: Blocks of at least LONG characters are long; densities are shares of words and of characters.
 LONG, STOP_HIGH, STOP_LOW, LINKS = 70, 0.25, 0.08, 0.5
@@ -49,14 +55,17 @@ class Block:
         self.text, self.links, self.bad, self.main, self.label = text, links, bad, main, None
 
 
-def _named_bad(attrs: str) -> bool:
-    for m in NAMED.finditer(attrs):
+def _named_bad(attrs: str, main: int) -> bool:
+    """Whether an element's names, role or style say that it isn't text; a heading's box inside an article is."""
+    for m in ATTRIBUTE.finditer(attrs):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if key in ("class", "id") and BAD_NAME.search(re.sub(r"([a-z])([A-Z])", r"\1-\2", value)):
-            return True
-        if key == "role" and value.lower() in BAD_ROLE or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
+        if key in ("class", "id"):
+            for name in re.sub(r"([a-z])([A-Z])", r"\1-\2", value).split():
+                if not name.startswith(_ABOUT) and (BAD_NAME.search(name) or (not main and HEADER_NAME.search(name))):
+                    return True
+        elif key == "role" and value.lower() in BAD_ROLE or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
             return True
-        if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+        elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
     return False
 
@@ -104,7 +113,7 @@ def blocks(page: str) -> list[Block]:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = end.end() if end else n
             add(" " if name in ("svg", "math") else "")
-        elif name in BLOCK or name in NEVER or (not closing and name not in VOID and attrs and _named_bad(attrs)) or (closing and any(s[0] == name for s in stack)):
+        elif name in BLOCK or name in NEVER or (not closing and name not in VOID and attrs and _named_bad(attrs, stack[-1][2] if stack else 0)) or (closing and any(s[0] == name for s in stack)):
             flush()
             if name in VOID:
                 continue
@@ -121,8 +130,9 @@ def blocks(page: str) -> list[Block]:
                 if name in MAIN and not main and not bad:
                     mains += 1
                     main = mains
-                heading = name == "header" and main and not BAD_NAME.search(attrs)
-                bad = bad or (name in NEVER and not heading) or (name not in ("html", "body", *MAIN) and bool(attrs) and _named_bad(attrs))
+                heading = name == "header" and main
+                named = bool(attrs) and name not in ("html", "body", *MAIN) and _named_bad(attrs, main)
+                bad = bad or named or (name in NEVER and not heading)
                 if not attrs.endswith("/"):
                     stack.append((name, bad, main))
     flush()
@@ -163,9 +173,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """``page_id, url, text, n_chars`` of every row; null, empty and textless pages give an empty text.  Ids and URLs pass as they are."""
 
     def run(parts):
-        for part in parts:
+        for part in pieces(parts):
             texts = [main_text(t) for t in part["html"].to_pylist()]
             yield pa.RecordBatch.from_arrays([part["page_id"], part["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
+    small_batches(pages.sparkSession)
     slim = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     return slim.mapInArrow(run, "page_id long, url string, text string, n_chars long")

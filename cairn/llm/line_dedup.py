@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from cairn.llm._spark import Scratch, sized_join
+from cairn.llm._text import pieces
 
 MASK = (1 << 31) - 1
 
@@ -50,7 +51,7 @@ def _print(data: bytes) -> bytes:
 
 def _prints(divisor: int):
     def run(parts):
-        for part in parts:
+        for part in pieces(parts):
             ids, pos, fps = [], [], []
             for i, text in zip(part["id"].to_pylist(), part["text"].to_pylist(), strict=True):
                 for p, n, data in chunks(text, divisor):
@@ -63,7 +64,7 @@ def _prints(divisor: int):
 
 def _bytes(divisor: int):
     def run(parts):
-        for part in parts:
+        for part in pieces(parts):
             out = []
             for i, text, at in zip(part["id"].to_pylist(), part["text"].to_pylist(), part["at"].to_pylist(), strict=True):
                 want = set(at)
@@ -77,7 +78,7 @@ def _remove(divisor: int, text_at: int, keep: int, names: list[str]):
     """Takes all columns, the last one the removals; puts the text that stays in its place and adds the two counts."""
 
     def run(parts):
-        for part in parts:
+        for part in pieces(parts):
             texts, lines, gone = [], [], []
             for text, drop in zip(part.column(text_at).to_pylist(), part.column(keep).to_pylist(), strict=True):
                 if not drop:
@@ -97,7 +98,7 @@ def _remove(divisor: int, text_at: int, keep: int, names: list[str]):
     return run
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = 3) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = 2) -> DataFrame:
     """All rows and columns of ``docs`` with the text that stays, and ``lines_removed``, ``chunks_removed``.
 
     Null texts stay null, empty ones empty; a text whose chunks all go becomes empty.  Rows with a null id pass

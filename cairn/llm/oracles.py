@@ -26,7 +26,7 @@ WITH RECURSIVE l AS MATERIALIZED (
   SELECT doc_id, i, string_split(text, chr(10))[i] AS line, len(string_split(text, chr(10))) AS n
   FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)),
 h AS MATERIALIZED (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS x FROM l),
-cand AS MATERIALIZED (SELECT *, ((31 * lag(x, 1, 0) OVER (PARTITION BY doc_id ORDER BY i) + x) & 2147483647) % 3 = 0 AS hit FROM h),
+cand AS MATERIALIZED (SELECT *, ((31 * lag(x, 1, 0) OVER (PARTITION BY doc_id ORDER BY i) + x) & 2147483647) % 2 = 0 AS hit FROM h),
 flags AS MATERIALIZED (SELECT doc_id, list(hit ORDER BY i) AS hits FROM cand GROUP BY doc_id),
 cuts AS MATERIALIZED (
   SELECT doc_id, list_reduce(list_transform(range(1, len(hits) + 1), lambda i: [i]), lambda acc, v: CASE WHEN hits[v[1]] AND v[1] - acc[len(acc)] >= 2 THEN list_append(acc, v[1]) ELSE acc END, [0]) AS ends FROM flags),
