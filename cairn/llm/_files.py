@@ -41,8 +41,3 @@ def read_range(path: str, offset: int, length: int) -> bytes:
 def size(path: str) -> int:
     system, p = _open(path)
     return system.get_file_info(p).size
-
-
-def delete(path: str) -> None:
-    system, p = _open(path)
-    system.delete_file(p)

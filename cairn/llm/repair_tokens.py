@@ -22,7 +22,9 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from bisect import bisect_right
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +32,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from cairn.llm._files import delete, read_range, size, write_file
+from cairn.llm._files import read_range, size, write_file
 from cairn.llm._spark import Scratch, shared_dir
-from cairn.llm._text import U, batches
+from cairn.llm._text import U, batches, pieces
 
 SHARD_TOKENS = 1_500_000
 ROUNDS, RULES, MIN_COUNT = 3, 8192, 16
 MAGIC = b"RPAIR1\0\0"
 _HEAD = struct.Struct("<8s5I")
-_CACHE = 400_000
+_CACHE = 800_000
 
 
 def default_tokenizer() -> str:
@@ -50,65 +52,98 @@ def default_tokenizer() -> str:
 class Encoder:
     """Ids of whole texts from a tokenizers file, as little-endian uint32 bytes.
 
-    ``apart``: the file's normaliser and splitter never join characters across white space, so that distinct
-    words are encoded once for a worker.  Latin words (letters up to U+017F) skip the library's normaliser and
-    splitter: their lower-cased form is split here and its pieces go to the library's BPE.
+    If the file is the word-level BPE that ``_by_words`` knows, nothing joins characters across white space, so each
+    distinct word is encoded once for a worker (at most _CACHE are held; those of the last texts stay).  Latin-1 words skip
+    the library's normaliser and splitter: their lower-cased form is split here and the pieces go to the library's
+    BPE.  Other files, and texts with characters that str and the file's patterns see differently, go whole to the library.
     """
 
-    #: The splitter of the word-level BPE file (fixed value); \\p{L} is [^\\W\\d_] for the letters this is used on.
-    PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[^\s\W_]|[^\sa-zA-Z0-9ªµºÀ-ÖØ-öø-ſ]+")
-    PLAIN = re.compile(r"[a-zA-Z0-9!-/:-@\[-`{-~À-ÖØ-öø-įı-ſ]+")
+    #: The file's splitter (fixed value), for words of PLAIN alone.
+    PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+    PLAIN = re.compile(r"[a-z0-9!-/:-@\[-`{-~ß-öø-ÿ]+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.apart = _by_words(json.loads(self.tok.to_str()))
-        self.bare = None
         if self.apart:
             self.bare = Tokenizer.from_file(path)
             self.bare.normalizer = self.bare.pre_tokenizer = None
             self.bytes_to_chars = _byte_chars()
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _library(self, tok, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for lo in range(0, len(texts), 20_000) for e in tok.encode_batch_fast(texts[lo : lo + 20_000], add_special_tokens=False)]
-
-    def _new(self, words: list[str]) -> None:
-        plain, other = [], []
-        for w in words:
-            (plain if self.PLAIN.fullmatch(w) and "<|" not in w else other).append(w)
-        split = [self.PIECES.findall(w.lower()) for w in plain]
-        fresh = [p for p in set().union(*split) if p not in self.pieces]
-        if len(self.pieces) + len(fresh) > _CACHE:
-            self.pieces.clear()
-            fresh = list(set().union(*split))
-        as_bytes = [p if p.isascii() else p.encode().decode("latin-1").translate(self.bytes_to_chars) for p in fresh]
-        self.pieces.update(zip(fresh, self._library(self.bare, as_bytes), strict=True))
-        self.words.update(zip(plain, [b"".join(map(self.pieces.__getitem__, s)) for s in split], strict=True))
-        self.words.update(zip(other, self._library(self.tok, other), strict=True))
+        self.words: dict[str, bytes] = {}  # of Latin-1 texts, lower-cased
+        self.others: dict[str, bytes] = {}
+
+    @staticmethod
+    def _library(tok, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for lo in range(0, len(texts), 20_000):
+            found = tok.encode_batch_fast(texts[lo : lo + 20_000], add_special_tokens=False)
+            flat, at = array("I", chain.from_iterable([e.ids for e in found])).tobytes(), 0
+            for n in map(len, found):
+                out.append(flat[at : at + 4 * n])
+                at += 4 * n
+        return out
+
+    def _bare(self, pieces: list[str]) -> None:
+        fresh = [p for p in pieces if p not in self.words]
+        chars = [p if p.isascii() else p.encode().decode("latin-1").translate(self.bytes_to_chars) for p in fresh]
+        self.words.update(zip(fresh, self._library(self.bare, chars), strict=True))
+
+    def _new(self, new: list[str]) -> None:
+        words = self.words
+        self._bare([w for w in new if w.isalpha()])
+        rest = [w for w in new if not w.isalpha()]
+        tailed = [w for w in rest if w[-1] in ".,;:!?" and w[:-1].isalpha()]
+        other = [w for w in rest if not (w[-1] in ".,;:!?" and w[:-1].isalpha())]
+        self._bare(list({*(w[:-1] for w in tailed), *(w[-1] for w in tailed)}))
+        words.update([(w, words[w[:-1]] + words[w[-1]]) for w in tailed])
+        plain = [w for w in other if self.PLAIN.fullmatch(w)]
+        split = [self.PIECES.findall(w) for w in plain]
+        self._bare(list(set().union(*split)))
+        words.update([(w, b"".join(map(words.__getitem__, p))) for w, p in zip(plain, split, strict=True)])
+        odd = [w for w in other if w not in words]
+        words.update(zip(odd, self._library(self.tok, odd), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.apart:
             return self._library(self.tok, texts)
-        parts = [t.split() for t in texts]
-        # four separators are white space to str.split but not to the file's splitter
-        odd = [i for i, t in enumerate(texts) if any(c in t for c in "\x1c\x1d\x1e\x1f")]
-        for i in odd:
-            parts[i] = []
-        new = [w for w in set().union(*parts) if w not in self.words]
-        if len(self.words) + len(new) > _CACHE:
-            self.words.clear()
-            new = list(set().union(*parts))
-        if new:
-            self._new(new)
-        out = [b"".join(map(self.words.__getitem__, p)) for p in parts]
-        for i, x in zip(odd, self._library(self.tok, [texts[i] for i in odd]), strict=True):
+        out: list[bytes] = [b""] * len(texts)
+        latin, wide, whole = [], [], []
+        for i, t in enumerate(texts):
+            # marked-up special tokens, and four separators that are white space to str.split only
+            if "<|" in t or "\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t:
+                whole.append(i)
+            else:
+                (latin if _is_latin(t) else wide).append(i)
+        for own, cache, lower in ((latin, self.words, True), (wide, self.others, False)):
+            parts = [(texts[i].lower() if lower else texts[i]).split() for i in own]
+            if len(cache) > _CACHE:
+                held = {w: cache[w] for w in set().union(*parts) if w in cache}
+                cache.clear()
+                cache.update(held)
+            new = list({w for p in parts for w in p if w not in cache})
+            if lower:
+                self._new(new)
+            else:
+                cache.update(zip(new, self._library(self.tok, new), strict=True))
+            for i, p in zip(own, parts, strict=True):
+                out[i] = b"".join(map(cache.__getitem__, p))
+        for i, x in zip(whole, self._library(self.tok, [texts[i] for i in whole]), strict=True):
             out[i] = x
         return out
 
 
+def _is_latin(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def _by_words(spec: dict) -> bool:
     """Whether the file is the word-level BPE that ``Encoder`` knows: NFC, white space and case first, then its splitter and byte level."""
     steps = lambda x, key: [(s["type"], s.get("pattern", {}).get("Regex")) for s in (x or {}).get(key, [])]
@@ -206,31 +241,41 @@ def _choose(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
 
 
 def expansions(bound: int, rules: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(lengths, begins, ids): rule r expands to ids[begins[r]:begins[r] + lengths[r]]."""
-    lengths = np.ones(bound + len(rules), np.int64)
-    built: list[np.ndarray] = []
-    begins, total = np.zeros(len(rules), np.int64), 0
-    for r, (a, b) in enumerate(rules.tolist()):
-        lengths[bound + r] = lengths[a] + lengths[b]
-        x = np.concatenate([np.array([s], np.uint32) if s < bound else built[s - bound] for s in (a, b)])
-        built.append(x)
-        begins[r], total = total, total + len(x)
-    return lengths[bound:], begins, np.concatenate(built) if built else np.zeros(0, np.uint32)
+    """(lengths, begins, ids): rule r expands to ids[begins[r]:begins[r] + lengths[r]].
+
+    Rules are done in waves, each with those whose two symbols are terminals or done; ValueError for a cycle.
+    """
+    n = len(rules)
+    lengths, begins, flat, total = np.zeros(n, np.int64), np.zeros(n, np.int64), [np.zeros(0, np.uint32)], 0
+    left = np.arange(n)
+    while len(left):
+        inner = np.maximum(rules[left] - bound, 0)
+        ready = ((rules[left] < bound) | (lengths[inner] > 0)).all(1)
+        if not ready.any():
+            raise ValueError("rules refer to each other")
+        own = left[ready]
+        sizes = np.where(rules[own] < bound, 1, lengths[np.maximum(rules[own] - bound, 0)]).sum(1)
+        made = expand(rules[own].ravel(), bound, lengths, begins, np.concatenate(flat))
+        lengths[own], begins[own] = sizes, total + np.cumsum(sizes) - sizes
+        flat.append(made)
+        total += len(made)
+        left = left[~ready]
+    return lengths, begins, np.concatenate(flat)
 
 
 def expand(sym: np.ndarray, bound: int, lengths: np.ndarray, begins: np.ndarray, flat: np.ndarray) -> np.ndarray:
     """The ids of a run of symbols."""
-    rule = sym >= bound
+    rule = np.flatnonzero(sym >= bound)
+    own = sym[rule] - bound
     size_of = np.ones(len(sym), np.int64)
-    size_of[rule] = lengths[sym[rule] - bound]
-    end = np.cumsum(size_of)
-    out = np.repeat(sym, size_of)
-    inner = np.repeat(rule, size_of)
-    base = np.zeros(len(sym), np.int64)
-    base[rule] = begins[sym[rule] - bound] - (end - size_of)[rule]
-    at = np.flatnonzero(inner)
-    out[at] = flat[at + np.repeat(base, size_of)[at]]
-    return out.astype("<u4")
+    size_of[rule] = lengths[own]
+    begin = np.cumsum(size_of) - size_of
+    out = np.repeat(sym.astype("<u4"), size_of)
+    n = size_of[rule]
+    # positions in out and in flat of all ids that come from rules
+    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    out[np.repeat(begin[rule], n) + step] = flat[np.repeat(begins[own], n) + step]
+    return out
 
 
 def pack(sym: np.ndarray, bits: int) -> bytes:
@@ -336,8 +381,8 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
             ids.clear(), held.clear()
             return row
 
-        for part in parts:
-            for group in batches(zip(part["id"].to_pylist(), part["text"].to_pylist(), strict=True), 1, 1_500_000):
+        for part in pieces(parts):
+            for group in batches(zip(part["id"].to_pylist(), part["text"].to_pylist(), strict=True), 1, 1_000_000):
                 for (i, _), x in zip(group, encoder(file).encode([t or "" for _, t in group]), strict=True):
                     ids.append(i), held.append(x + end)
                     size_now += len(x) // 4 + 1
@@ -363,7 +408,7 @@ def read(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
 
     def run(parts):
-        for part in parts:
+        for part in pieces(parts):
             for file, start in zip(part["file"].to_pylist(), part["start"].to_pylist(), strict=True):
                 s = Shard(read_range(file, 0, size(file)))
                 flat = s.ids()
@@ -382,11 +427,6 @@ def read(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
 
 def tokens(docs: DataFrame, path: str | None = None, **options) -> DataFrame:
     """Writes ``docs`` (see ``write``) and reads all back."""
-    from uuid import uuid4
-
-    path = path or f"{shared_dir(docs.sparkSession)}/cairn-tokens-{uuid4().hex}"
+    path = path or f"{shared_dir(docs.sparkSession)}/cairn-tokens-{uuid.uuid4().hex}"
     out = read(write(docs, path, **options))
     return out.withColumn("doc_id", F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")))
-
-
-__all__ = ["Encoder", "Shard", "compress", "delete", "encode_shard", "read", "tokens", "with_starts", "write"]
