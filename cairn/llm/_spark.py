@@ -28,10 +28,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_local_base}"
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """At most so many rows in the session's Arrow batches: texts are long, and each task holds a batch on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 class Scratch:
     """Tables of one operator run, written to the shared folder so that a lost executor costs only a reread."""
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark = spark
         self.base = f"{shared_dir(spark)}/cairn-{name}-{uuid.uuid4().hex}"
         self._n = 0

@@ -6,11 +6,14 @@ Word hashes come from one prefix sum over all characters, so that no Python loop
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -47,6 +50,23 @@ def _power(base: int, n: int) -> np.ndarray:
     return _powers[base][:n]
 
 
+def settle() -> None:
+    """Gives memory that Arrow and malloc hold unused back to the system: workers live on for other stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def pieces(parts: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Slices of a task's batches, so that Python objects of few rows exist at once; then ``settle``."""
+    try:
+        for part in parts:
+            for lo in range(0, part.num_rows, rows):
+                yield part.slice(lo, rows)
+    finally:
+        settle()
+
+
 def batches(rows: Iterator[tuple], text_at: int, chars: int = 600_000) -> Iterator[list[tuple]]:
     """Groups rows so that each group has about so many characters; a longer text is a group by itself."""
     held, size = [], 0

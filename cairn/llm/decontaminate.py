@@ -18,7 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from cairn.llm._text import U, Words, batches, join_hash
+from cairn.llm._spark import small_batches
+from cairn.llm._text import U, Words, batches, join_hash, pieces
 
 #: The benchmark is read in blocks of so many characters; only a block is sent to the executors at once.
 BLOCK_CHARS = 8 << 20
@@ -110,7 +111,7 @@ def build(items: list[tuple[int, str | None]], k: int) -> tuple[list[Index], dic
 def _find(shared, threshold: float):
     def run(parts):
         indexes, lookup = shared.value
-        for part in parts:
+        for part in pieces(parts):
             out = []
             for group in batches(zip(part["id"].to_pylist(), part["text"].to_pylist(), strict=True), 1):
                 out += find([t for _, t in group], indexes, lookup, threshold, [i for i, _ in group])
@@ -175,6 +176,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     counted first; over BLOCK_CHARS it is searched in blocks, each against all documents.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("i is not null and t is not null")
     total = items.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = total // BLOCK_CHARS + 1

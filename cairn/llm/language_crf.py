@@ -14,16 +14,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
-from cairn.llm._text import U, Words, batches, char_codes, mix
+from cairn.llm._spark import small_batches
+from cairn.llm._text import U, Words, batches, char_codes, mix, pieces
 
 STEP = 64
 BUCKETS = 1 << 17
 #: The training sample: at most so many documents of a language, and characters of each.
 TRAIN_DOCS, TRAIN_CHARS = 120, 20_000
-_CACHE = 300_000
+_CACHE = 150_000
+#: Words whose features are made at once.
+_SLICE = 10_000
 
 
 def word_features(cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,6 +65,10 @@ class Crf:
     def __getstate__(self):
         return {**self.__dict__, "_rows": {}, "_table": np.zeros((0, len(self.langs)), np.float32)}
 
+    def forget(self) -> None:
+        """Drops the emissions that are held for words seen before."""
+        self._rows, self._table = {}, self._table[:0].copy()
+
     def lexicon(self, hashes: np.ndarray) -> np.ndarray:
         """0/1 [words, L]."""
         if not len(self.lex_keys):
@@ -81,7 +88,7 @@ class Crf:
         if new:
             if len(self._rows) + len(new) > _CACHE:
                 self._rows, self._table, new = {}, self._table[:0], list(range(len(keys)))
-            s = self._score(words, at[new])
+            s = np.concatenate([self._score(words, at[new[i : i + _SLICE]]) for i in range(0, len(new), _SLICE)])
             self._rows.update(zip([keys[i] for i in new], range(len(self._table), len(self._table) + len(new)), strict=True))
             self._table = np.concatenate([self._table, np.exp(np.maximum(s - s.max(1, keepdims=True), -30)).astype(np.float32)])
         rows = np.fromiter(map(self._rows.__getitem__, keys), np.int64, len(keys))
@@ -267,20 +274,21 @@ def identify(docs: DataFrame, model: Crf | None, id_col: str = "doc_id", text_co
     Null texts and texts without a letter give ``und`` and 0; so does every text if there is no model.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     docs = docs.drop("lang_pred", "score", "n_words", "n_runs")
     at = docs.columns.index(text_col)
     names = [*docs.columns, "lang_pred", "score", "n_words", "n_runs"]
 
     def run(parts):
-        for part in parts:
+        for part in pieces(parts):
             out = []
-            for group in batches([(t,) for t in part.column(at).cast(pa.string()).to_pylist()], 0, 1_500_000):
+            for group in batches([(t,) for t in part.column(at).cast(pa.string()).to_pylist()], 0, 500_000):
                 out += predict(shared.value, [t for (t,) in group])
             cols = list(zip(*out, strict=True)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.float64(), pa.int64(), pa.int64()), strict=True))], names=names)
-
-    from pyspark.sql import types as T
+        if shared.value is not None:
+            shared.value.forget()  # the worker goes on to other stages
 
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("n_words", T.LongType()), T.StructField("n_runs", T.LongType())])
     return docs.mapInArrow(run, schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from cairn.llm._spark import Scratch, connected_components, sized_join
-from cairn.llm._text import U, Words, batches, mix, shingle_sets
+from cairn.llm._text import U, Words, batches, mix, pieces, shingle_sets
 
 #: Classes, and bytes of their sets, that a block of a bucket holds on average.
 BLOCK_ROWS, BLOCK_BYTES = 1024, 12 << 20
@@ -63,7 +63,7 @@ def digest(s: np.ndarray) -> bytes | None:
 
 def _signatures(k: int, bands: int, rows: int):
     def run(parts):
-        for part in parts:
+        for part in pieces(parts):
             for group in batches(zip(part["id"].to_pylist(), part["text"].to_pylist(), strict=True), 1):
                 sets = shingle_sets(Words([t for _, t in group]), k)
                 full = [s for s in sets if len(s)]
@@ -80,7 +80,7 @@ def _signatures(k: int, bands: int, rows: int):
 
 def _sets(k: int):
     def run(parts):
-        for part in parts:
+        for part in pieces(parts):
             for group in batches(zip(part["cls"].to_pylist(), part["text"].to_pylist(), strict=True), 1):
                 keep = [(c, s) for (c, _), s in zip(group, shingle_sets(Words([t for _, t in group]), k), strict=True) if digest(s) == c]
                 yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in keep], pa.binary()), pa.array([s.tobytes() for _, s in keep], pa.binary())], names=["cls", "grams"])

@@ -21,11 +21,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from cairn.llm._text import batches
+from cairn.llm._spark import small_batches
+from cairn.llm._text import batches, pieces, settle
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-_CACHE = 400_000
+_CACHE = 200_000
 
 
 def default_model() -> str:
@@ -141,6 +142,14 @@ def joints(m: Model) -> re.Pattern:
     return re.compile(rf"(?<=[^\W\d_])(?=[{apart}])|(?<=[{apart}])(?=[^\W\d_])")
 
 
+def _trim(cache: dict, used: set) -> None:
+    """Over _CACHE entries only those of the texts at hand stay."""
+    if len(cache) > _CACHE:
+        held = {u: cache[u] for u in used if u in cache}
+        cache.clear()
+        cache.update(held)
+
+
 class Codec:
     """Encodes and decodes lists of texts; ``differing`` counts units (or texts) whose ids differed from the library's."""
 
@@ -158,6 +167,12 @@ class Codec:
         self.small: dict[str, bytes] = {}
         self.differing = 0
 
+    def forget(self) -> None:
+        """Drops the units that are held: the worker goes on to other stages."""
+        self.cache.clear()
+        self.small.clear()
+        settle()
+
     def _fresh(self, texts: list[str]) -> list[bytes]:
         mine = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
         theirs = self.library.encode(texts, num_threads=1)
@@ -171,15 +186,13 @@ class Codec:
         prefix = MARK if self.model.dummy_prefix else ""
         parts = [self.units.findall((prefix + t).replace(" ", MARK)) if t else [] for t in texts]
         cache = self.cache
-        new = [u for u in set().union(*parts) if u not in cache]
-        if len(cache) + len(new) > _CACHE:
-            cache.clear()
-            new = list(set().union(*parts))
+        every = set().union(*parts)
+        _trim(cache, every)
+        new = [u for u in every if u not in cache]
         pieces = [self.joints.split(u) for u in new]
-        fresh = [u for u in set().union(*pieces) if u not in self.small]
-        if len(self.small) + len(fresh) > _CACHE:
-            self.small.clear()
-            fresh = list(set().union(*pieces))
+        every = set().union(*pieces)
+        _trim(self.small, every)
+        fresh = [u for u in every if u not in self.small]
         for lo in range(0, len(fresh), 20_000):
             some = fresh[lo : lo + 20_000]
             self.small.update(zip(some, self._fresh(some), strict=True))
@@ -223,10 +236,11 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     The model's path must exist on each worker.
     """
     path = model or default_model()
+    small_batches(docs.sparkSession)
 
     def run(parts):
-        for part in parts:
-            for group in batches(zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True), 1, 2_000_000):
+        for part in pieces(parts):
+            for group in batches(zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True), 1, 700_000):
                 own = codec(path)
                 before, texts = own.differing, [t or "" for _, t in group]
                 ids = own.encode(texts)
@@ -241,6 +255,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
                     ],
                     names=["doc_id", "n_tokens", "ids", "ids_crc32", "decoded", "round_trip", "differing"],
                 )
+        codec(path).forget()
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return slim.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, ids_crc32 long, decoded string, round_trip boolean, differing long")
@@ -252,7 +267,7 @@ def decode(rows: DataFrame, ids_col: str = "ids", model: str | None = None, out_
     at, names = rows.columns.index(ids_col), [*rows.columns, out_col]
 
     def run(parts):
-        for part in parts:
+        for part in pieces(parts):
             ids = part.column(at).to_pylist()
             texts = iter(codec(path).decode([np.asarray(x, "<u4").tobytes() for x in ids if x is not None]))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array([None if x is None else next(texts) for x in ids], pa.string())], names=names)

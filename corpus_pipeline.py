@@ -12,7 +12,7 @@ from cairn.llm.ngram_jaccard import ngram_jaccard_join
 from cairn.llm.sentencepiece_codec import encode
 
 #: A document stays if its language has been decided at least this surely.
-MIN_SCORE = 0.4
+MIN_SCORE = 0.2
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
