@@ -13,6 +13,8 @@ from cairn.llm.sentencepiece_codec import encode
 
 #: A document stays if its language has been decided at least this surely.
 MIN_SCORE = 0.2
+#: Part of a word, as ``cairn.llm._text`` has it.
+WORD = r"[\p{L}\p{M}\p{N}]"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +39,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes documents that hold a benchmark passage."""
+    """Removes documents that hold a benchmark passage, and those that line dedup has left without a word.
+
+    Language ID lets only texts with a letter through, so a wordless text here has all its words in earlier documents:
+    mostly it is an exact copy.  Such texts link with nothing and would each stay.
+    """
+    docs = docs.where(F.col("text").rlike(WORD))
     found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     gone = Scratch(spark, "leaks").table(found.select("doc_id").distinct(), "gone")
     return sized_join(docs, gone, "doc_id", "left_anti").select(docs.columns)

@@ -50,3 +50,15 @@ def test_pipeline_runs_on_an_empty_table(spark, small):
     for _, stage in cp.STAGES:
         out = stage(spark, empty, small)
         assert out.count() == 0
+
+
+def test_exact_copies_do_not_stay_as_empty_rows(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    head = "the first line of this document\nthe second line that is in it\n"
+    text = next(t for i in range(100) if line_dedup.chunks(t := f"{head}and of the third {i}\nthe end of the text {i}", 2)[-1][1] > 1)
+    copies = spark.createDataFrame([(9000 + i, text) for i in range(6)] + [(9100, text + "\n?!"), (9101, "?!\n" + text)], "doc_id long, text string")
+    docs = docs.unionByName(copies, allowMissingColumns=True)
+    for _, stage in cp.STAGES[:-1]:
+        docs = stage(spark, docs, small).cache()
+    assert [r.doc_id for r in docs.where("doc_id between 9000 and 9050").collect()] == [9000]
+    assert docs.where(~F.col("text").rlike(cp.WORD)).count() == 0 and cp.encoding(spark, docs, small).where("n_tokens = 0").count() == 0
