@@ -4,8 +4,8 @@ The model file's protobuf is read here (``read_model``); normaliser, metaspace m
 are rebuilt as a ``tokenizers.Tokenizer`` (``build``): a unigram model keeps its scores, a BPE model's scores become
 the order of its merges.  Where the normaliser is the identity and no piece has the marker or a line break after
 another character, merges can't cross those places, so each distinct unit between them is encoded once for a
-worker; other models get whole texts.  Each new unit's ids are verified against the sentencepiece library; a unit
-that differs is counted and takes the library's ids.
+worker; other models get whole texts.  The ids are the rebuilt tokenizer's.  Each new unit's ids are compared with
+the sentencepiece library's, and units that differ are counted, not replaced.
 """
 
 from __future__ import annotations
@@ -177,7 +177,7 @@ class Codec:
         mine = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
         theirs = self.library.encode(texts, num_threads=1)
         self.differing += sum(a != b for a, b in zip(mine, theirs, strict=True))
-        return [np.asarray(x, "<u4").tobytes() for x in theirs]
+        return [np.asarray(x, "<u4").tobytes() for x in mine]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
@@ -232,7 +232,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
     A null or empty text has no ids and decodes to an empty text.  round_trip: decoding gives the text (a null one
     counts as empty; a literal marker character comes back as a space, as in the library).  differing: units new to
-    the worker with this row's batch whose ids differed from the sentencepiece library's, which were then taken.
+    the worker with this row's batch whose ids differ from the sentencepiece library's; the rebuilt tokenizer's are given.
     The model's path must exist on each worker.
     """
     path = model or default_model()

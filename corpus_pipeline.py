@@ -51,8 +51,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, n_tokens, ids, ids_crc32, round_trip`` of each document."""
-    return encode(docs).select("doc_id", "n_tokens", "ids", "ids_crc32", "round_trip")
+    """``doc_id, n_tokens, ids, ids_crc32, round_trip, differing`` of each document."""
+    return encode(docs).select("doc_id", "n_tokens", "ids", "ids_crc32", "round_trip", "differing")
 
 
 STAGES = [("language ID", language), ("line dedup", lines), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", decontamination), ("SentencePiece encoding", encoding)]

@@ -258,6 +258,19 @@ def test_sentencepiece(spark, small):
         assert whole.encode(t, add_special_tokens=False).ids == lib.encode(t) and whole.decode(lib.encode(t)) == lib.decode(lib.encode(t))
 
 
+def test_sentencepiece_ids_are_the_rebuilt_tokenizers():
+    own = sentencepiece_codec.Codec(sentencepiece_codec.default_model())
+    want = own.encode(["the house\nand a garden"])
+
+    class Other:
+        def encode(self, texts, num_threads=1):
+            return [[7] for _ in texts]
+
+    other = sentencepiece_codec.Codec(sentencepiece_codec.default_model())
+    other.library = Other()
+    assert other.encode(["the house\nand a garden"]) == want and own.differing == 0 and other.differing > 0
+
+
 # 1: token shards
 
 
