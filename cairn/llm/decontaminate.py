@@ -139,7 +139,8 @@ def find(texts: list, indexes: list[Index], lookup: dict, threshold: float, ids:
                 spans[int(w.doc[p]), x].append(p)
         for (d, x), hits in spans.items():
             own = indexes[x]
-            first, last, m = int(w.first[d]), int(w.first[d + 1]), own.size
+            first, last = int(w.first[d]), int(w.first[d + 1])
+            m = min(own.size, last - first)  # a text shorter than the item is one window, whole
             for lo, hi in _runs(hits, m - k, first, last - m):
                 h, lens = _hashed(w, k, lo, hi + m)
                 for s, i in zip(*own.search(simhash(h, lens, m - k + 1)), strict=True):
@@ -168,9 +169,9 @@ def _runs(hits: list[int], back: int, first: int, last: int):
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", k: int = 5, threshold: float = 0.8) -> DataFrame:
-    """(doc_id, item_id, start_word, n_words, similarity): the best item-sized window of each document and item that reach the threshold.
+    """(doc_id, item_id, start_word, n_words, similarity): the best item-sized window of each document and item, or the whole of a shorter document, that reach the threshold.
 
-    Ties go to the window that starts first.  Texts shorter than an item have no window of its size.  Null, empty
+    Ties go to the window that starts first.  A text with fewer words than an item is one window, whole.  Null, empty
     and wordless texts or items match nothing; items with a null id and documents with a null id are left out, as
     nothing could name them.  Rows that repeat an id give its best match once.  The benchmark's characters are
     counted first; over BLOCK_CHARS it is searched in blocks, each against all documents.

@@ -177,6 +177,17 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(documents(spark, docs), none).count() == 0
 
 
+def test_texts_shorter_than_an_item_are_one_window():
+    rng = random.Random(6)
+    item = words(rng, 40)
+    texts = [item[:-1], item[1:], item[2:-2], item[:20], ["new", *item[:-2]], item[:3], item]
+    indexes, lookup = decontaminate.build([(5, " ".join(item))], 5)
+    got = {d: (i, s, n, sim) for d, i, s, n, sim in decontaminate.find([" ".join(t) for t in texts], indexes, lookup, 0.8, list(range(len(texts))))}
+    full = decontaminate.shingles(item, 5)
+    sims = [decontaminate.similarity(decontaminate.shingles(t, 5), full) for t in texts]
+    assert got == {d: (5, 0, len(texts[d]), s) for d, s in enumerate(sims) if s >= 0.8} and {0, 1, 2, 6} <= set(got) and 3 not in got
+
+
 def test_multi_index_finds_all_within_radius():
     rng = np.random.default_rng(0)
     ix = decontaminate.Index(9, 5, [(i, [f"a{i}{j}" for j in range(9)]) for i in range(5)])
