@@ -236,19 +236,28 @@ def _expected(e: np.ndarray, first: np.ndarray, t: np.ndarray) -> tuple[np.ndarr
     return _norm(alpha * beta).reshape(-1, n), pair
 
 
-def predict(model: Crf | None, texts: list[str | None]) -> list[tuple[str, float, int, int]]:
-    """(language, score, words, runs of words labelled alike) of each text."""
+def predict(model: Crf | None, texts: list[str | None]) -> list[tuple[str, float, int, int, float, float]]:
+    """(language, score, words, runs of words labelled alike, sureness, known share) of each text.
+
+    Sureness is the mean of each word's largest marginal; the known share is that of the words in any lexicon, by characters.
+    """
     words = Words(texts, "L")
     if model is None or not len(words.hash):
-        return [("und", 0.0, int(b - a), 0) for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
+        return [("und", 0.0, int(b - a), 0, 0.0, 0.0) for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
     g = model.marginals(words)
     total = np.concatenate((np.zeros((1, g.shape[1])), np.cumsum(g, axis=0, dtype=np.float64)))
     sums, size = total[words.first[1:]] - total[words.first[:-1]], np.diff(words.first)
+    size_chars = (words.end - words.start).astype(np.float64)
+    known = size_chars * (model.lexicon(words.hash) > 0).any(1)
+    sure, known, chars = ((c := np.concatenate(([0.0], np.cumsum(x, dtype=np.float64))))[words.first[1:]] - c[words.first[:-1]] for x in (g.max(1), known, size_chars))
     best = sums.argmax(1)
     label = g.argmax(1)
     turn = np.concatenate(([0], np.cumsum(np.concatenate(([0], (label[1:] != label[:-1]) & (words.doc[1:] == words.doc[:-1]))))))
     runs = turn[words.first[1:]] - turn[words.first[:-1]] + 1
-    return [(model.langs[b], min(1.0, max(0.0, float(s[b] / k))), int(k), int(r)) if k else ("und", 0.0, 0, 0) for b, s, k, r in zip(best, sums, size, runs, strict=True)]
+    return [
+        (model.langs[b], min(1.0, max(0.0, float(s[b] / k))), int(k), int(r), float(u / k), float(n / c)) if k else ("und", 0.0, 0, 0, 0.0, 0.0)
+        for b, s, k, r, u, n, c in zip(best, sums, size, runs, sure, known, chars, strict=True)
+    ]
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = TRAIN_DOCS, max_chars: int = TRAIN_CHARS) -> Crf | None:
@@ -269,28 +278,28 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def identify(docs: DataFrame, model: Crf | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows and columns of ``docs`` with ``lang_pred, score, n_words, n_runs`` (replaced where they exist).
+    """All rows and columns of ``docs`` with ``lang_pred, score, n_words, n_runs, word_sureness, known_share`` (replaced where they exist).
 
     Null texts and texts without a letter give ``und`` and 0; so does every text if there is no model.
     """
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    docs = docs.drop("lang_pred", "score", "n_words", "n_runs")
+    docs = docs.drop("lang_pred", "score", "n_words", "n_runs", "word_sureness", "known_share")
     at = docs.columns.index(text_col)
-    names = [*docs.columns, "lang_pred", "score", "n_words", "n_runs"]
+    names = [*docs.columns, "lang_pred", "score", "n_words", "n_runs", "word_sureness", "known_share"]
 
     def run(parts):
         for part in pieces(parts):
             out = []
             for group in batches([(t,) for t in part.column(at).cast(pa.string()).to_pylist()], 0, 500_000):
                 out += predict(shared.value, [t for (t,) in group])
-            cols = list(zip(*out, strict=True)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.float64(), pa.int64(), pa.int64()), strict=True))], names=names)
+            cols = list(zip(*out, strict=True)) if out else [[]] * 6
+            yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True))], names=names)
         if shared.value is not None:
             shared.value.forget()  # the worker goes on to other stages
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("n_words", T.LongType()), T.StructField("n_runs", T.LongType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("n_words", T.LongType()), T.StructField("n_runs", T.LongType()), T.StructField("word_sureness", T.DoubleType()), T.StructField("known_share", T.DoubleType())])
     return docs.mapInArrow(run, schema)
 
 

@@ -11,19 +11,20 @@ from cairn.llm.line_dedup import dedup_lines
 from cairn.llm.ngram_jaccard import ngram_jaccard_join
 from cairn.llm.sentencepiece_codec import encode
 
-#: A document stays if its language has been decided at least this surely.
-MIN_SCORE = 0.2
+#: A document goes if its words are labelled less surely than this and less than this share of them, by characters, is in a lexicon.
+#: Mixed documents have sure words of several languages, so the score of the best language can't tell them from junk.
+MIN_SURE, MIN_KNOWN = 0.95, 0.1
 #: Part of a word, as ``cairn.llm._text`` has it.
 WORD = r"[\p{L}\p{M}\p{N}]"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts that are null, have no letter, or whose language scores under MIN_SCORE; fills in a null ``lang``."""
+    """Rejects texts that are null, have no letter, or whose words are neither sure nor known (MIN_SURE, MIN_KNOWN); fills in a null ``lang``."""
     model = train(docs)
     seen = identify(docs, model)
     if model is None:  # nothing to learn from: only texts without letters go
         return seen.where("n_words > 0").select(docs.columns)
-    kept = seen.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE))
+    kept = seen.where((F.col("lang_pred") != "und") & ((F.col("word_sureness") >= MIN_SURE) | (F.col("known_share") >= MIN_KNOWN)))
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
 
 
