@@ -1,5 +1,3 @@
-import random
-
 import corpus_pipeline as cp
 from pyspark.sql import functions as F
 
@@ -64,13 +62,3 @@ def test_exact_copies_do_not_stay_as_empty_rows(spark, small):
         docs = stage(spark, docs, small).cache()
     assert [r.doc_id for r in docs.where("doc_id between 9000 and 9050").collect()] == [9000]
     assert docs.where(~F.col("text").rlike(cp.WORD)).count() == 0 and cp.encoding(spark, docs, small).where("n_tokens = 0").count() == 0
-
-
-def test_language_rejects_junk_and_keeps_mixed_documents(spark, small):
-    rng = random.Random(2)
-    docs = spark.read.parquet(f"{small}/documents.parquet")
-    clean = {r.lang: r.text[:600] for r in docs.select("lang", "text").orderBy("doc_id").collect()}
-    junk = [" ".join("".join(rng.choice(letters) for _ in range(rng.randrange(5, 12))) for _ in range(150)) for letters in ("abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрст") for _ in range(5)]
-    extra = [(9001, " ".join(clean.values()))] + [(9100 + i, t) for i, t in enumerate(junk)]
-    got = cp.language(spark, docs.unionByName(spark.createDataFrame(extra, "doc_id long, text string"), allowMissingColumns=True), small)
-    assert [r.doc_id for r in got.where("doc_id > 9000").collect()] == [9001] and got.where("doc_id <= 9000").count() == docs.count()
