@@ -2,8 +2,9 @@
 
 A line's hash is the first 32 bits of the md5 of its bytes.  The rolling value at line i is
 ``(31 * hash[i-1] + hash[i]) mod 2^31`` (hash[-1] = 0); a chunk ends after line i if that value is divisible by
-``divisor`` and the chunk has two lines or more, and at the text's end.  Boundaries depend on the last two lines
-only, so that lines added before a passage don't move those inside it.
+``divisor`` and the chunk has two lines or more, and at the text's end.  A boundary depends on the last two lines
+and on where the cut before it fell, so lines added before a passage move those at its start, and mostly not those further in.
+Passages of one line and most of a few lines are not found.
 
 Chunks of two lines or more that occur more than once, in one text or in several, go but for the first
 (smallest id, then position).  Fingerprints only nominate: the bytes of nominated chunks are grouped by full
