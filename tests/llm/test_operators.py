@@ -1,6 +1,7 @@
 """Each corpus operator against brute force on small inputs, with nulls, empties, long texts, ties, repeats and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -377,9 +378,10 @@ def test_html_pages(spark, small):
 # 7: embeddings
 
 
-def test_metric_join(spark, monkeypatch):
-    monkeypatch.setattr(metric_join, "BLOCK", 9)
-    monkeypatch.setattr(metric_join, "TRIED", (1, 4))
+@pytest.mark.parametrize("blocks", [None, 9])
+def test_metric_join(spark, monkeypatch, blocks):
+    if blocks:
+        monkeypatch.setattr(metric_join, "block_rows", lambda dim: blocks)
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(8, 6))
     vecs = [(i, (centres[i % 8] + rng.normal(size=6) * 0.25).tolist()) for i in range(300)]
@@ -404,14 +406,41 @@ def test_metric_join(spark, monkeypatch):
 
 
 def test_metric_cells_lose_nothing():
+    """Of two vectors that link, one is copied to the other's cell, in one direction only; not all are copied."""
     rng = np.random.default_rng(4)
-    x = rng.normal(size=(600, 5))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    r = (2 - 2 * 0.9) ** 0.5
-    home, goes = metric_join.assign(x, x[:12], r)
-    near = x @ x.T >= 0.9
-    assert all(goes[b, home[a]] for a, b in zip(*np.nonzero(near), strict=True))
-    assert goes.sum() < 0.9 * 600 * 12
+    x = metric_join.unit(rng.normal(size=(600, 5)))
+    reach, p = math.acos(0.9), x[:12]
+    turn, home, _ = metric_join.assign(x, p, reach, np.full(12, math.pi))
+    radius = np.array([turn[home == j, j].max() for j in range(12)])
+    goes = metric_join.assign(x, p, reach, radius)[2]
+    for a, b in zip(*np.nonzero(np.triu(x @ x.T >= 0.9, 1)), strict=True):
+        assert home[a] == home[b] or goes[b, home[a]] != goes[a, home[b]]
+    assert goes.sum() < 0.4 * 600 * 12
+
+
+@pytest.mark.parametrize("spread", [0.02, 0.08, 1.0])
+def test_metric_pivots_windows_and_cores(spark, spread):
+    """Production constants on three kinds of data: a dense group that is a third of all, clusters, and no structure."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(900, 16))
+    x[:300] = x[0] + spread * rng.normal(size=(300, 16))
+    u = metric_join.unit(x)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    stats = {}
+    got = {r.vec_id: r.n_links for r in metric_join.metric_join(df, stats=stats).collect()}
+    want = (u @ u.T >= 0.9).sum(1) - 1
+    assert [got[i] for i in range(900)] == want.tolist()
+    assert stats["pivots"] >= 2 and stats["copies"] < 900 * stats["pivots"] / 2
+    assert stats["pairs"] < (0.5 if spread < 0.05 else 0.95) * 900 * 900 / 2 + 600 * 512
+
+
+def test_metric_join_on_the_given_vectors(spark, small):
+    """More than one cell on sf0.01, none with half of the rows' work, links equal to brute force."""
+    df = spark.read.parquet(f"{small.replace('0.001', '0.01')}/embeddings.parquet")
+    rows = df.collect()
+    u, stats = metric_join.unit(np.array([r.embedding for r in rows], np.float64)), {}
+    got = {r.vec_id: r.n_links for r in metric_join.metric_join(df, stats=stats).collect()}
+    assert [got[r.vec_id] for r in rows] == ((u @ u.T >= 0.9).sum(1) - 1).tolist() and stats["pivots"] > 2
 
 
 # 2: secrets
