@@ -20,24 +20,29 @@ SELECT g.doc_id, coalesce(comp.component_id, g.doc_id)::BIGINT AS component_id,
 FROM g LEFT JOIN c ON c.s = g.s LEFT JOIN comp ON comp.node = c.rep LEFT JOIN links ON links.u = c.rep
 """
 
-#: A running fold makes the chunks: a boundary needs a line before it in its chunk, so a cut right after a cut is skipped.
+#: Chunks are runs of 2 to 16 non-blank lines from a line to the next boundary, or to it from the last; lines over 50 words too.
 LINE_DEDUP = r"""
-WITH RECURSIVE l AS MATERIALIZED (
-  SELECT doc_id, i, string_split(text, chr(10))[i] AS line, len(string_split(text, chr(10))) AS n
-  FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)),
-h AS MATERIALIZED (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS x FROM l),
-cand AS MATERIALIZED (SELECT *, ((31 * lag(x, 1, 0) OVER (PARTITION BY doc_id ORDER BY i) + x) & 2147483647) % 2 = 0 AS hit FROM h),
-flags AS MATERIALIZED (SELECT doc_id, list(hit ORDER BY i) AS hits FROM cand GROUP BY doc_id),
-cuts AS MATERIALIZED (
-  SELECT doc_id, list_reduce(list_transform(range(1, len(hits) + 1), lambda i: [i]), lambda acc, v: CASE WHEN hits[v[1]] AND v[1] - acc[len(acc)] >= 2 THEN list_append(acc, v[1]) ELSE acc END, [0]) AS ends FROM flags),
-line_chunk AS MATERIALIZED (
-  SELECT cand.doc_id, i, line, len(list_filter(ends, lambda e: e < i)) - 1 AS pos FROM cand JOIN cuts USING (doc_id)),
-ch AS MATERIALIZED (SELECT doc_id, pos, string_agg(line, chr(10) ORDER BY i) AS body, count(*) AS n FROM line_chunk GROUP BY doc_id, pos),
-f AS MATERIALIZED (SELECT body, min((doc_id, pos)) AS lo FROM ch WHERE n > 1 GROUP BY body),
-m AS MATERIALIZED (SELECT ch.*, n > 1 AND (doc_id, pos) <> f.lo AS gone FROM ch LEFT JOIN f USING (body))
-SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(string_agg(m.body, chr(10) ORDER BY pos) FILTER (WHERE NOT coalesce(gone, FALSE)), '') END AS text,
-  coalesce(sum(m.n) FILTER (WHERE gone), 0)::BIGINT AS lines_removed, (count(*) FILTER (WHERE gone))::BIGINT AS chunks_removed
-FROM documents d LEFT JOIN m ON m.doc_id = d.doc_id GROUP BY d.doc_id, d.text
+WITH l AS MATERIALIZED (
+  SELECT doc_id, p, lines[p] AS line, NOT regexp_full_match(lines[p], '[\x09-\x0d\x20]*') AS full_
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS lines, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS p FROM documents WHERE text IS NOT NULL)),
+g AS MATERIALIZED (SELECT *, (sum(full_::INT) OVER (PARTITION BY doc_id ORDER BY p))::BIGINT AS i FROM l),
+h AS MATERIALIZED (SELECT doc_id, i, line, ('0x' || substr(md5(line), 1, 8))::BIGINT AS x FROM g WHERE full_),
+c AS MATERIALIZED (SELECT *, CASE WHEN ((31 * lag(x, 1, 0) OVER (PARTITION BY doc_id ORDER BY i) + x) & 2147483647) % 4 <> 0 THEN i END AS cut, max(i) OVER (PARTITION BY doc_id) AS n FROM h),
+e AS MATERIALIZED (
+  SELECT *, coalesce(min(cut) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), n) AS nxt,
+    coalesce(max(cut) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING), 0) AS before FROM c),
+runs AS MATERIALIZED (
+  SELECT doc_id, i AS s, least(nxt, i + 15) AS t FROM e WHERE i < n UNION SELECT doc_id, greatest(before + 1, i - 15), i FROM e WHERE i > 1
+  UNION SELECT doc_id, i, i FROM e WHERE len(list_filter(string_split_regex(line, '[\x09-\x0d\x20]+'), lambda w: w <> '')) > 50),
+whole AS MATERIALIZED (SELECT doc_id, list(line ORDER BY i) AS lines FROM h GROUP BY doc_id),
+body AS MATERIALIZED (SELECT doc_id, s, t, array_to_string(lines[s:t], chr(10)) AS body FROM runs JOIN whole USING (doc_id)),
+f AS MATERIALIZED (SELECT body, min((doc_id, s)) AS lo FROM body GROUP BY body),
+gone AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(range(s, t + 1)) AS i FROM body JOIN f USING (body) WHERE (doc_id, s) <> lo),
+m AS MATERIALIZED (SELECT g.*, gone.i IS NOT NULL AS out_ FROM g LEFT JOIN gone ON gone.doc_id = g.doc_id AND gone.i = g.i),
+r AS (SELECT doc_id, count(*) AS lines_removed, count(*) FILTER (gap) AS chunks_removed FROM (SELECT doc_id, i - lag(i, 1, -1) OVER (PARTITION BY doc_id ORDER BY i) > 1 AS gap FROM gone) GROUP BY doc_id),
+k AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY p) AS text FROM m WHERE NOT out_ GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, coalesce(lines_removed, 0)::BIGINT AS lines_removed, coalesce(chunks_removed, 0)::BIGINT AS chunks_removed
+FROM documents d LEFT JOIN r USING (doc_id) LEFT JOIN k USING (doc_id)
 """
 
 DECONTAMINATION = rf"""
