@@ -2,8 +2,11 @@
 
 import hashlib
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -240,12 +243,40 @@ def test_texts_shorter_than_an_item_are_one_window():
 
 def test_multi_index_finds_all_within_radius():
     rng = np.random.default_rng(0)
-    ix = decontaminate.Index(9, 5, [(i, [f"a{i}{j}" for j in range(9)]) for i in range(5)])
+    prints = rng.integers(0, 256, (300, 8), dtype=np.uint8)
+    ix = decontaminate.Index(9, 5, [(i, "w") for i in range(300)], prints)
     far = rng.integers(0, 256, (200, 8), dtype=np.uint8)
-    flips = np.packbits(np.array([rng.permutation([1] * decontaminate.RADIUS + [0] * (64 - decontaminate.RADIUS)) for _ in range(200)], np.uint8), axis=1)
-    near = ix.prints[np.arange(200) % 5] ^ flips
-    w, i = ix.search(np.concatenate((near, far)))
-    assert {(k, k % 5) for k in range(200)} <= set(zip(w.tolist(), i.tolist(), strict=True))
+    flips = np.packbits(np.array([rng.permutation([1] * decontaminate.RADIUS + [0] * (64 - decontaminate.RADIUS)) for _ in range(300)], np.uint8), axis=1)
+    windows = np.concatenate((prints ^ flips, far))
+    w, i = ix.search(windows)
+    bits = np.unpackbits(windows, axis=1)[:, None, :] != np.unpackbits(prints, axis=1)[None]
+    assert set(zip(w.tolist(), i.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(bits.sum(2) <= decontaminate.RADIUS)), strict=True))
+
+
+def test_many_items_in_little_memory():
+    """20,000 items of one size against a text with 300 of them: under 300 MB, the interpreter and its tables included."""
+    code = """
+import random, resource
+from cairn.llm import decontaminate as d
+rng = random.Random(1)
+word = lambda: "%x" % rng.randrange(1 << 20)
+items = [(i, " ".join(word() for _ in range(60))) for i in range(20000)]
+indexes, lookup = d.build(items, 5)
+text = " ".join(t + " " + " ".join(word() for _ in range(40)) for _, t in items[::66][:300])
+found = d.find([text], indexes, lookup, 0.8, [7])
+assert [(r[1], r[4]) for r in found] == [(i, 1.0) for i, _ in items[::66][:300]], len(found)
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    here = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    out = subprocess.run([sys.executable, "-c", code], cwd=here, env={**os.environ, "PYTHONPATH": here}, check=True, capture_output=True, text=True).stdout
+    assert int(out.split()[-1]) < 300
+
+
+def test_decontamination_by_text(spark):
+    """Rows that share an id but not the text are told apart."""
+    item = " ".join(words(random.Random(3), 30))
+    got = decontaminate.contaminated(documents(spark, [(1, item), (1, "something else")]), spark.createDataFrame([(9, item)], "item_id long, text string"), by_text=True).collect()
+    assert [(r.doc_id, r.text_md5, r.item_id) for r in got] == [(1, hashlib.md5(item.encode()).hexdigest(), 9)]
 
 
 # 6: language
