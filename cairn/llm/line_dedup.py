@@ -22,7 +22,7 @@ import struct
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from cairn.llm._spark import Scratch, is_small
+from cairn.llm._spark import Scratch
 from cairn.llm._text import pieces
 
 MASK = (1 << 31) - 1
@@ -166,10 +166,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     where = (F.col("__cairn_id") == F.col("id")) & (F.col("__cairn_h") == F.col("h"))
     rows = docs.withColumns({"__cairn_id": F.col(id_col).cast("long"), "__cairn_h": F.xxhash64(F.col(text_col).cast("string"))})
     slim = spans.withColumnsRenamed({"id": "__cairn_id", "h": "__cairn_h", "spans": "__cairn_spans"})
-    if is_small(spans):
-        joined = rows.join(F.broadcast(slim), ["__cairn_id", "__cairn_h"], "left")
-    else:  # texts are shuffled once, and read twice from there
-        joined = scratch.table(rows.join(slim, ["__cairn_id", "__cairn_h"], "left"), "joined")
+    # texts are shuffled once, at every size in the same way, and read twice from there
+    joined = scratch.table(rows.join(slim.hint("merge"), ["__cairn_id", "__cairn_h"], "left"), "joined")
+    scratch.drop(spans)
     names = docs.columns
     text_at = names.index(text_col)
     evidence = joined.where("__cairn_spans is not null").select(F.col(text_col).cast("string").alias("text"), F.col("__cairn_spans").alias("spans"))
