@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import struct
 import subprocess
 import sys
 import zlib
@@ -345,22 +346,76 @@ def test_sentencepiece(spark, small):
         assert got.decoded == lib.decode(want) and got.round_trip == (got.decoded == (r.text or ""))
     back = sentencepiece_codec.decode(sentencepiece_codec.encode(docs.limit(20)).select("doc_id", "ids")).collect()
     assert all(b.decoded == lib.decode(b.ids) for b in back)
+    assert sentencepiece_codec.encode(documents(spark, [])).count() == 0 and sentencepiece_codec.decode(spark.createDataFrame([(None,), ([],)], "ids array<int>")).collect() == [(None, None), ([], "")]
     whole = sentencepiece_codec.build(sentencepiece_codec.read_model(open(path, "rb").read()))
     for t in ("Hello  world\n", "Größe, naïve 日本", "a▁b"):
         assert whole.encode(t, add_special_tokens=False).ids == lib.encode(t) and whole.decode(lib.encode(t)) == lib.decode(lib.encode(t))
 
 
 def test_sentencepiece_ids_are_the_rebuilt_tokenizers():
+    """A library that says otherwise changes no id; each text counts its own units that differ, whatever the worker has seen."""
     own = sentencepiece_codec.Codec(sentencepiece_codec.default_model())
-    want = own.encode(["the house\nand a garden"])
+    texts = ["the house\nand a garden", "", "and the house", "the house\nand a garden"]
+    want, none = own.encode(texts)
 
     class Other:
         def encode(self, texts, num_threads=1):
             return [[7] for _ in texts]
 
     other = sentencepiece_codec.Codec(sentencepiece_codec.default_model())
-    other.library = Other()
-    assert other.encode(["the house\nand a garden"]) == want and own.differing == 0 and other.differing > 0
+    other.library = other.inner_library = Other()
+    assert other.encode(texts) == (want, [6, 0, 3, 6]) and other.encode(texts[:1])[1] == [6] and none == [0] * 4
+
+
+def model_proto(pieces, kind, byte_fallback, charsmap=b"", prefix=1, squeeze=1):
+    """A model file made here: pieces are (text, score, type)."""
+
+    def varint(n):
+        return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+
+    num = lambda f, n: varint(f << 3) + varint(n)
+    data = lambda f, b: varint(f << 3 | 2) + varint(len(b)) + b
+    out = b"".join(data(1, data(1, t.encode()) + varint(2 << 3 | 5) + struct.pack("<f", x) + num(3, k)) for t, x, k in pieces)
+    return out + data(2, num(3, kind) + num(35, int(byte_fallback))) + data(3, data(2, charsmap) + num(3, prefix) + num(4, squeeze) + num(5, 1))
+
+
+def charsmap(name):
+    import sentencepiece
+
+    proto = sentencepiece.SentencePieceNormalizer(rule_name=name).serialized_model_proto()
+    return dict(sentencepiece_codec._fields(dict(sentencepiece_codec._fields(proto))[3]))[2]
+
+
+@pytest.mark.parametrize("rule", ["", "nfkc"])
+@pytest.mark.parametrize("kind,byte_fallback", [(1, True), (1, False), (2, True)])
+def test_sentencepiece_models_made_here(rule, kind, byte_fallback):
+    """Unigram and BPE models, with and without byte fallback and a normaliser that maps characters, against the library."""
+    import sentencepiece
+
+    rng = random.Random(4)
+    base = "abcdeo▁éß1fi"
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + ([(f"<0x{i:02X}>", 0.0, 6) for i in range(256)] if byte_fallback else [])
+    pieces += [(c, -8.0 - i / 10, 1) for i, c in enumerate(dict.fromkeys(base))]
+    longer = dict.fromkeys("".join(rng.choice(base.replace("▁", "")) for _ in range(n)) for n in [2, 3, 4] * 40)
+    pieces += [(t, -3.0 - i / 7, 1) for i, t in enumerate([*longer, "▁a", "▁ab", "▁de", "▁fi"])]
+    data = model_proto(pieces, kind, byte_fallback, charsmap(rule) if rule else b"")
+    own, lib = sentencepiece_codec.Codec("", data), sentencepiece.SentencePieceProcessor(model_proto=data)
+    texts = ["", " ", "  a  b ", "abc deo éß", "ﬁ ① Ａｂ", "日本 a\tb\nc", "e\u0301 fi"] + ["".join(rng.choice(base.replace("▁", " ") + "  zé日") for _ in range(rng.randrange(1, 60))) for _ in range(300)]
+    ids, bad = own.encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids] == lib.encode(texts) and bad == [0] * len(texts)
+    if byte_fallback:
+        assert own.decode(ids) == [lib.decode(x) for x in lib.encode(texts)]
+
+
+def test_sentencepiece_decoder_on_any_ids():
+    own = sentencepiece_codec.Codec(sentencepiece_codec.default_model())
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        x = rng.integers(3, 32000, 20)
+        x[rng.random(20) < 0.5] = rng.integers(3, 259)
+        assert own.decode([x.astype("<u4").tobytes()]) == [own.full.decode(x.tolist(), skip_special_tokens=False)]
+    with pytest.raises(ValueError):
+        own.decode([np.array([32000], "<u4").tobytes()])
 
 
 # 1: token shards
