@@ -1,9 +1,11 @@
 """Main text of HTML pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags.  Pass one decides each block from its length, its density of stop
-words and its density of links, and from the elements around it (navigation, headers, footers, sidebars, forms,
-adverts, notices and comments are never text).  Pass two gives each undecided short block the label of its nearest
-decided neighbour.  Where a page has an article or main element, only its blocks count.
+A page is scanned once, by HTML's rules for tags and attributes, and cut into blocks at block-level tags.  Pass one
+decides each block from its length, its density of stop words and its density of links, and from the elements around
+it (navigation, headers, footers, sidebars, forms, adverts, notices and comments are never text, by element, role or
+name).  Pass two gives each undecided block the label of its nearest decided neighbour; where there is none it is text.
+Where a page has an article or main element, only its blocks count.  On a page without any stop word, length and
+links alone decide.
 """
 
 from __future__ import annotations
@@ -30,23 +32,87 @@ BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math".split())
-NEVER = frozenset("aside button datalist dialog fieldset footer form head header label menu nav optgroup option search select canvas object audio video".split())
+#: Elements whose inside, up to the closing tag, isn't looked at; those that end a word are replaced by a space.
+RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math select datalist canvas object audio video".split())
+#: Blocks that are never text, and controls: a block of their words alone is none either.
+NEVER = frozenset("aside dialog fieldset footer form head header menu nav search".split())
+CONTROL = frozenset("button label option output meter progress".split())
 MAIN = frozenset("article main".split())
-BAD_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|copyright|disqus|discussion|footer|gdpr|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pagination|pager|popup|promo|promoted|recommended|related|replies|respond|responses|share|sharing|sidebar|signup|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-])",
-    re.I,
+#: A name tells that an element isn't text if it is one of these, or made of these and fillers alone.
+BAD_PARTS = frozenset(
+    """ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright discussion disqus footer gdpr
+    masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion recommended recommendations related replies reply respond responses share sharing
+    sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets""".split()
+)
+FILLERS = frozenset(
+    """and area article articles author aux bar block bottom box btn button buttons by center col column container content count div entries entry fixed form global group header holder icon icons
+    inner item items label left link links list main mobile module more news outer page panel post posts primary right row secondary section site slot small sticky stories story text
+    the thread title top unit up us wrap wrapper you""".split()
 )
 BAD_ROLE = frozenset("banner navigation complementary contentinfo search dialog alert alertdialog menu menubar form".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-HEADER_NAME = re.compile(r"(?:^|[_-])header(?:$|[_-])", re.I)
-ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-#: Class names that tell about other elements than their own.
-_ABOUT = ("has-", "no-", "with-", "without-", "is-", "not-")
+#: Elements whose ids are made from their text.
+TITLED = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+NOTICE = re.compile(r"(?:©|\(c\)|copyright\b|all rights reserved)", re.I)
 
 #: Blocks of at least LONG characters are long; densities are shares of words and of characters.
 LONG, STOP_HIGH, STOP_LOW, LINKS = 70, 0.25, 0.08, 0.5
 
+_NAME = re.compile(r"[^\s/>]*")
+_GAP = re.compile(r"[\s/]*")
+_KEY = re.compile(r"=?[^\s/>=]*")
+_EQUALS = re.compile(r"\s*=\s*")
+_BARE = re.compile(r"[^\s>]*")
+_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in RAW}
+_COMMENT_END = re.compile(r"--!?>")
+_CAMEL = re.compile(r"([a-z])([A-Z])")
+
+
+def tag(page: str, at: int) -> tuple[str, dict[str, str], bool, int]:
+    """(name, attributes, self-closing, place after it) of the tag whose name begins at ``at``.
+
+    As HTML has it: a quote counts only where a value begins, so ``class=it's`` and a lone ``'`` are plain; a value whose
+    quote is never closed takes the rest of the page.  The first of attributes of one name holds.
+    """
+    m = _NAME.match(page, at)
+    name, attrs, at, n = m.group().lower(), {}, m.end(), len(page)
+    while True:
+        gap = _GAP.match(page, at)
+        at = gap.end()
+        if at >= n:
+            return name, attrs, False, n
+        if page[at] == ">":
+            return name, attrs, gap.group().endswith("/"), at + 1
+        m = _KEY.match(page, at)
+        key, value, at = m.group().lower(), "", m.end()
+        if eq := _EQUALS.match(page, at):
+            at = eq.end()
+            if page[at : at + 1] in ('"', "'"):
+                end = page.find(page[at], at + 1)
+                value, at = (page[at + 1 : end], end + 1) if end >= 0 else (page[at + 1 :], n)
+            else:
+                m = _BARE.match(page, at)
+                value, at = m.group(), m.end()
+        attrs.setdefault(key, value)
+
+
+def bad_name(value: str, header: bool) -> bool:
+    """Whether one of the names says that an element isn't text; ``header``: so does a header's."""
+    for name in value.split():
+        parts = [p for p in re.split(r"[-_\d]+", _CAMEL.sub(r"\1-\2", name).lower()) if p]
+        bad = any(p in BAD_PARTS or (header and p == "header") for p in parts)
+        if bad and all(p in BAD_PARTS or p in FILLERS for p in parts):
+            return True
+    return False
+
+
+def named_bad(name: str, attrs: dict[str, str], main: int) -> bool:
+    """Whether an element's names, role or style say that it isn't text."""
+    if bad_name(attrs.get("class", ""), not main) or (name not in TITLED and bad_name(attrs.get("id", ""), not main)):
+        return True
+    if attrs.get("role", "").lower() in BAD_ROLE or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true":
+        return True
+    return "style" in attrs and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs["style"], re.I) is not None
+
 
 class Block:
     __slots__ = ("bad", "main", "text", "links", "label")
@@ -55,113 +121,163 @@ class Block:
         self.text, self.links, self.bad, self.main, self.label = text, links, bad, main, None
 
 
-def _named_bad(attrs: str, main: int) -> bool:
-    """Whether an element's names, role or style say that it isn't text; a heading's box inside an article is."""
-    for m in ATTRIBUTE.finditer(attrs):
-        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if key in ("class", "id"):
-            for name in re.sub(r"([a-z])([A-Z])", r"\1-\2", value).split():
-                if not name.startswith(_ABOUT) and (BAD_NAME.search(name) or (not main and HEADER_NAME.search(name))):
-                    return True
-        elif key == "role" and value.lower() in BAD_ROLE or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
-        elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+class _Page:
+    """The blocks of a page as its tags come."""
 
+    def __init__(self):
+        self.out: list[Block] = []
+        self.stack: list[tuple[str, bool]] = []  # name, whether inline
+        self.around: list[tuple[bool, int]] = []  # bad and main of each open block
+        self.open: dict[str, int] = {}
+        self.texts: list[str] = []
+        self.linked = self.controls = self.mains = self.muted = self.in_control = 0
+        self.link_depth = -1  # of the stack, where an open link began
 
-def blocks(page: str) -> list[Block]:
-    """The page's blocks that have text, in order; ``main`` numbers the article or main element around a block, 0: none."""
-    out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # name, bad, main
-    texts: list[str] = []
-    linked, in_link, mains = 0, 0, 0
-
-    def flush():
-        nonlocal linked
-        if texts:
-            text = " ".join(entities.unescape("".join(texts)).split())
+    def add(self, piece: str) -> None:
+        if piece and not self.muted:
+            piece = entities.unescape(piece)
+            self.texts.append(piece)
+            size = len(piece.strip())
+            self.linked += size if self.link_depth >= 0 else 0
+            self.controls += size if self.in_control else 0
+
+    def context(self) -> tuple[bool, int]:
+        """(bad, main) of the block around."""
+        return self.around[-1] if self.around else (False, 0)
+
+    def flush(self) -> None:
+        if self.texts:
+            text = " ".join("".join(self.texts).split())
             if text:
-                bad, main = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-                out.append(Block(text, min(1.0, linked / len(text)), bad, main))
-            texts.clear()
-        linked = 0
-
-    def add(piece: str):
-        nonlocal linked
-        if piece:
-            texts.append(piece)
-            if in_link:
-                linked += len(entities.unescape(piece).strip())
-
-    at, n = 0, len(page)
-    while at < n:
-        m = TOKEN.search(page, at)
-        if not m:
-            add(page[at:])
-            break
-        add(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
-            continue
-        name, closing, attrs = m[2].lower(), bool(m[1]), m[3]
+                bad, main = self.context()
+                self.out.append(Block(text, min(1.0, self.linked / len(text)), bad or self.controls >= 0.9 * len(text.replace(" ", "")), main))
+            self.texts.clear()
+        self.linked = self.controls = 0
+
+    def push(self, name: str, block: tuple[bool, int] | None) -> None:
+        """Opens a block, or an inline element whose words go."""
+        self.stack.append((name, block is None))
+        self.open[name] = self.open.get(name, 0) + 1
+        if block is None:
+            self.muted += 1
+        else:
+            self.around.append(block)
+
+    def pop(self) -> None:
+        name, inline = self.stack.pop()
+        self.open[name] -= 1
+        if inline:
+            self.muted -= 1
+        else:
+            self.around.pop()
+        if len(self.stack) < self.link_depth:
+            self.link_depth = -1
+
+    def start(self, name: str, attrs: dict[str, str], closed: bool) -> None:
         if name == "br":
-            add(" ")
+            self.add(" ")
         elif name == "a":
-            in_link = 0 if closing else 1
-        elif name in RAW and not closing and not attrs.endswith("/"):
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = end.end() if end else n
-            add(" " if name in ("svg", "math") else "")
-        elif name in BLOCK or name in NEVER or (not closing and name not in VOID and attrs and _named_bad(attrs, stack[-1][2] if stack else 0)) or (closing and any(s[0] == name for s in stack)):
-            flush()
+            self.link_depth = len(self.stack) if "href" in attrs else -1
+        elif name in CONTROL:
+            self.in_control += not closed
+        elif name in BLOCK:
+            self.flush()
             if name in VOID:
-                continue
-            if closing:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        break
+                return
+            # an open paragraph ends where a block begins; an item where the next begins
+            while self.stack and (self.stack[-1][0] == "p" or self.stack[-1][1] or self.stack[-1][0] == name and name in ("li", "dt", "dd", "td", "th", "tr")):
+                self.pop()
+            bad, main = self.context()
+            bad = bad or (name not in ("html", "body") and named_bad(name, attrs, main))
+            if name in MAIN and not main and not bad:
+                self.mains += 1
+                main = self.mains
+            self.push(name, (bad or (name in NEVER and not (name == "header" and main)), main))
+        elif name not in VOID and not closed and attrs and named_bad(name, attrs, self.context()[1]):
+            self.push(name, None)  # its words go, the block around it isn't cut
+
+    def end(self, name: str) -> None:
+        if name == "a":
+            self.link_depth = -1
+        elif name in CONTROL:
+            self.in_control = max(0, self.in_control - 1)
+        elif name in BLOCK or self.open.get(name):
+            if name in BLOCK:
+                self.flush()
+            if self.open.get(name):
+                while self.stack[-1][0] != name:
+                    self.pop()
+                self.pop()
+
+
+def blocks(page: str) -> list[Block]:
+    """The page's blocks that have text, in order; ``main`` numbers the article or main element around a block, 0: none."""
+    p, at, n = _Page(), 0, len(page)
+    while at < n:
+        lt = page.find("<", at)
+        if lt < 0:
+            p.add(page[at:])
+            break
+        p.add(page[at:lt])
+        nxt = page[lt + 1 : lt + 2]
+        if nxt.isascii() and nxt.isalpha():
+            name, attrs, closed, at = tag(page, lt + 1)
+            if name in RAW:
+                if not (closed and name in ("svg", "math")):
+                    end = _ENDS[name].search(page, at)
+                    at = end.end() if end else n
+                p.add(" " if name not in ("script", "style", "template") else "")
+            else:
+                p.start(name, attrs, closed)
+        elif nxt == "/" and page[lt + 2 : lt + 3].isascii() and page[lt + 2 : lt + 3].isalpha():
+            name, _, _, at = tag(page, lt + 2)
+            p.end(name)
+        elif page.startswith("<!--", lt):
+            if page.startswith(("<!-->", "<!--->"), lt):
+                at = page.index(">", lt) + 1
             else:
-                if stack and name in BLOCK:  # an open paragraph ends where a block begins; an item where the next begins
-                    while stack and (stack[-1][0] == "p" or stack[-1][0] == name and name in ("li", "dt", "dd", "td", "th", "tr", "option")):
-                        stack.pop()
-                bad, main = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-                if name in MAIN and not main and not bad:
-                    mains += 1
-                    main = mains
-                heading = name == "header" and main
-                named = bool(attrs) and name not in ("html", "body", *MAIN) and _named_bad(attrs, main)
-                bad = bad or named or (name in NEVER and not heading)
-                if not attrs.endswith("/"):
-                    stack.append((name, bad, main))
-    flush()
-    return out
+                end = _COMMENT_END.search(page, lt + 4)
+                at = end.end() if end else n
+        elif nxt in ("!", "?", "/") and nxt:
+            end = page.find(">", lt)
+            at = end + 1 if end >= 0 else n
+        else:
+            p.add("&lt;")
+            at = lt + 1
+    p.flush()
+    return p.out
 
 
 def classify(found: list[Block]) -> list[Block]:
     """Sets ``label`` of each block: True for text."""
     only = {b.main for b in found if not b.bad} - {0}
+    stops, counts = [], []
     for b in found:
         words = b.text.lower().split()
-        stop = sum(map(STOP_WORDS.__contains__, words)) / len(words)
-        if b.bad or (only and not b.main) or b.links > LINKS:
-            b.label = False
-        elif len(b.text) >= LONG and (stop >= STOP_HIGH or b.main):
+        stops.append(sum(map(STOP_WORDS.__contains__, words)))
+        counts.append(len(words))
+    own = [k for k, b in enumerate(found) if not (b.bad or (only and not b.main) or b.links > LINKS)]
+    speaks = any(stops[k] for k in own)  # else the page's language isn't one of the stop words'
+    for k in own:
+        b, stop = found[k], stops[k] / counts[k]
+        if len(b.text) >= LONG and (stop >= STOP_HIGH or b.main or not speaks):
             b.label = True
-        elif len(b.text) >= LONG and stop < STOP_LOW:
+        elif len(b.text) >= LONG and stop < STOP_LOW or (not b.main and len(b.text) < 3 * LONG and NOTICE.match(b.text)):
             b.label = False
-    decided = [b.label is not None and not b.bad and b.links <= LINKS for b in found]
-    inherited = {}
-    for i, b in enumerate(found):
-        if b.label is None:
-            left = next((k for k in range(i - 1, -1, -1) if decided[k] and found[k].main == b.main), None)
-            right = next((k for k in range(i + 1, len(found)) if decided[k] and found[k].main == b.main), None)
-            # nearest first; of two at one distance the one that is text
-            near = sorted((abs(k - i), not found[k].label) for k in (left, right) if k is not None)
-            inherited[i] = not near[0][1] if near else bool(b.main)
-    for i, label in inherited.items():
-        found[i].label = label
+    decided = [b.label is not None for b in found]
+    near: list[list[tuple[int, bool]]] = [[] for _ in found]
+    for order in (range(len(found)), range(len(found) - 1, -1, -1)):
+        last: dict[int, int] = {}
+        for k in order:
+            if decided[k]:
+                last[found[k].main] = k
+            elif found[k].main in last:
+                near[k].append((abs(k - last[found[k].main]), not found[last[found[k].main]].label))
+    for k in own:
+        if not decided[k]:  # the nearest's label; of two at one distance that of text; text where nothing is decided
+            found[k].label = not min(near[k])[1] if near[k] else True
+    for b in found:
+        b.label = bool(b.label)
     return found
 
 

@@ -503,6 +503,52 @@ def test_html_names():
     assert html_blocks.main_text(page) == "Title\n\nText."
 
 
+LONG_ONE = "The first part of the text is here and it is long enough to be decided by the words of it."
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<p>Short note to all.</p>", "Short note to all."),
+        ("".join(f"<p>Note {i}.</p>" for i in range(2000)), "\n\n".join(f"Note {i}." for i in range(2000))),
+        ("<div>" + "Η γρήγορη καφέ αλεπού πηδάει πάνω από το τεμπέλικο σκυλί " * 4 + "</div><div><a href=1>Αρχική</a></div>", ("Η γρήγορη καφέ αλεπού πηδάει πάνω από το τεμπέλικο σκυλί " * 4).strip()),
+        ("<div>" + "敏捷的棕色狐狸跳过了懒狗。" * 12 + "</div>", "敏捷的棕色狐狸跳过了懒狗。" * 12),
+        ('<article><h2 id="social-impact">A</h2><h2 id="related-work">B</h2><p id="share-of-votes">C</p><p id="comments">D</p><div class="social-history">E</div></article>', "A\n\nB\n\nC\n\nD\n\nE"),
+        ('<main><article class="post"><p>Text.</p></article><article class="comment"><p>A reader says.</p></article></main>', "Text."),
+        ('<article class="post"><p>Text.</p></article><article class="related-post"><p>Another one.</p></article>', "Text."),
+        ("<div class=it's>" + LONG_ONE + "</div>", LONG_ONE),
+        ("<p title=\"a\" ' >" + LONG_ONE + "</p>", LONG_ONE),
+        ("<p title='<b>' data-x=a>b>Text &lt;p&gt; &amp;amp; 1 < 2 &notit;</p>", "b>Text <p> &amp; 1 < 2 ¬it;"),
+        ("<article><p>Press <button>Save</button> to keep the <label>name</label> of it.</p><div><button>Share</button></div></article>", "Press Save to keep the name of it."),
+        ('<article><p>One <span class="ad">buy this</span> sentence, <select><option>x</select> whole.</p></article>', "One sentence, whole."),
+        ('<article><a name="top"><p>First.</p><p>Second <a href=1>link.</p><p>Third.</p></article>', "First.\n\nSecond link.\n\nThird."),
+        ("<article><p>Am&eacute;lie &#169; 2020</p><p>a<!-- b -->c<!-->d<!doctype x>e<?php f?>g</p></article>", "Amélie © 2020\n\nacdeg"),
+        (f"<div>{LONG_ONE}</div><div>Copyright 2020 by them</div>", LONG_ONE),
+        ('<div id="cookie-notice">' + LONG_ONE + '</div><div class="siteFooter">' + LONG_ONE + '</div><section class="newsletter-signup">' + LONG_ONE + '</section><div class="post-comments">' + LONG_ONE + "</div><p>Here.</p>", "Here."),
+        ("<p>cut <scr<b>ipt", "cut ipt"),
+        ("<p>a\u00a0 b\t\n c</p>", "a b c"),
+    ],
+)
+def test_html_cases(page, want):
+    assert html_blocks.main_text(page) == want
+
+
+def test_html_time_is_linear():
+    """Bad pages of a megabyte and more, and 100,000 blocks, in seconds."""
+    import time
+
+    pages = ["<p>Short.</p>" * 100_000, "<a " * 300_000, '<p title="' * 100_000, "<div>" * 50_000 + "</p>" * 50_000, "<" * 500_000, "<!--" * 200_000, "<script>" * 100_000, "&amp" * 200_000, "<p a='" * 100_000, "<span class=ad>" * 50_000 + "<p>x" * 20_000, "<li>" * 50_000 + "x</ul>" * 50_000]
+    for page in pages:
+        begin = time.process_time()
+        html_blocks.main_text(page)
+        assert time.process_time() - begin < 8, page[:20]
+
+
+def test_html_repeated_rows_and_empty_table(spark):
+    rows = spark.createDataFrame([(4, "u", f"<p>{LONG_ONE}</p>")] * 3, "page_id long, url string, html string")
+    assert [(r.page_id, r.text) for r in html_blocks.extract(rows).collect()] == [(4, LONG_ONE)] * 3 and html_blocks.extract(rows.limit(0)).count() == 0
+
+
 def test_html_pages(spark, small):
     import html
 
