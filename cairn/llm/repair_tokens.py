@@ -1,14 +1,13 @@
 """Token ids in Re-Pair grammar-compressed shards, with random access by document.
 
 Documents are dealt by ranges of doc_id and sorted; each task cuts its documents into shards of about SHARD_TOKENS
-ids.  In a shard, rounds replace frequent pairs of adjacent symbols by nonterminals: a round counts all pairs,
-takes those of at least MIN_COUNT occurrences (most frequent first, at most RULES of them) and replaces their
-occurrences, left to right, in favour of the more frequent pair where two overlap.  Pairs never span documents, so
-a document is a range of symbols.
+ids.  In a shard, rounds replace frequent pairs of adjacent symbols by nonterminals until no pair occurs MIN_COUNT
+times: a round replaces all pairs that do, left to right, in favour of the more frequent pair where two overlap.
+Pairs never span documents, so a document is a range of symbols.
 
 File format, little-endian: magic ``RPAIR1\\0\\0``; uint32 counts: terminals' bound, rules, documents, symbols, bits of
 a symbol; rules as uint32 pairs (rule r makes symbol bound + r); expansion lengths of rules, uint32; for each
-document doc_id int64, first symbol uint32, tokens uint32; crc32 of all that precedes, uint32; the symbols, packed
+document doc_id int64, first symbol uint32, tokens uint32 (its highest bit: the id is null); crc32 of all that precedes, uint32; the symbols, packed
 in that many bits.  One document is decoded from its own symbols; the expansion lengths give where its n-th id lies.
 
 Token ids come from the tokenizers library (``Encoder``).
@@ -37,7 +36,9 @@ from cairn.llm._spark import Scratch, shared_dir
 from cairn.llm._text import U, batches, pieces
 
 SHARD_TOKENS = 1_500_000
-ROUNDS, RULES, MIN_COUNT = 3, 8192, 16
+MIN_COUNT = 16
+#: Marks a document without an id, in its number of tokens.
+NO_ID = 1 << 31
 MAGIC = b"RPAIR1\0\0"
 _HEAD = struct.Struct("<8s5I")
 _CACHE = 800_000
@@ -166,78 +167,95 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def compress(ids: np.ndarray, starts: np.ndarray, rounds: int = ROUNDS, most: int = RULES, least: int = MIN_COUNT) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-    """(terminals' bound, rules [r, 2], symbols, first symbol of each document) for documents that start at ``starts``."""
-    bound = int(ids.max()) + 1 if len(ids) else 1
-    narrow = bound <= (1 << 16) - 4096  # then symbols stay in 16 bits, and a pair in 32
-    kind, shift = (np.uint32, 16) if narrow else (U, 32)
-    room = (1 << 16) - bound if narrow else (1 << 31) - bound
-    sym = ids.astype(kind)
-    head = np.zeros(len(sym) + 1, bool)
-    head[starts] = True
+def compress(ids: np.ndarray, starts: np.ndarray, least: int = MIN_COUNT) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """(terminals' bound, rules [r, 2], symbols, first symbol of each document) for documents that start at ``starts``.
+
+    Rounds go on until no pair of neighbours occurs ``least`` times.  A pair's count changes only where a neighbour was
+    replaced, so after the first round only the pairs with a new symbol are counted, and those that were frequent and
+    lost their places to others.
+    """
+    bound, n = int(ids.max()) + 1 if len(ids) else 1, len(ids)
+    sym = np.append(ids.astype(np.uint32), np.uint32(0))
+    # neighbours of living symbols; n is no symbol
+    after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+    after[starts[1:] - 1], before[starts] = n, n
+    after[n - 1 if n else 0 :] = n
+    alive = np.ones(n, bool)
     rules: list[np.ndarray] = []
     n_rules = 0
-    for left in range(rounds, 0, -1):
-        if len(sym) < 2:
-            break
-        pair = (sym[:-1] << kind(shift)) | sym[1:]
-        inner = ~head[1:-1]
-        order = np.sort(pair[inner])
-        edge = np.flatnonzero(np.concatenate(([True], order[1:] != order[:-1]))) if len(order) else np.zeros(0, np.int64)
-        count = np.diff(np.concatenate((edge, [len(order)])))
+    act, fresh = np.flatnonzero(after[:n] < n).astype(np.int32), True
+    while len(act) >= least:
+        narrow = bound + n_rules <= 1 << 16
+        one, two = (sym[:n], sym[1:]) if fresh else (sym[act], sym[after[act]])
+        pair = (one << np.uint32(16)) | two if narrow else (one.astype(U) << U(32)) | two
+        pair, fresh = pair[act] if fresh else pair, False
+        order = np.sort(pair)
+        edge = np.flatnonzero(np.concatenate(([True], order[1:] != order[:-1])))
+        count = np.diff(np.append(edge, len(order)))
         good = np.flatnonzero(count >= least)
-        good = good[np.argsort(-count[good], kind="stable")[: min(most, -(-(room - n_rules) // left))]]
         if not len(good):
             break
-        keys = order[edge[good]]
-        # one slot a key in a table of about eight slots a key; of keys in one slot the most frequent stays, others wait for the next round
+        keys = order[edge[good[np.argsort(-count[good], kind="stable")]]]  # most frequent first
+        # one slot a key in a table of about eight slots a key; of keys in one slot the most frequent stays, the others wait
         bits = max(10, int(8 * len(keys)).bit_length())
-        slot_of = (lambda k: (k * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)) if narrow else (lambda k: (k * U(0x9E3779B97F4A7C15)) >> U(64 - bits))
-        table, slots = np.full(1 << bits, -1, np.int32), slot_of(keys)
+        slot = (lambda k: (k * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)) if narrow else (lambda k: (k * U(0x9E3779B97F4A7C15)) >> U(64 - bits))
+        table, slots = np.full(1 << bits, -1, np.int32), slot(keys)
         table[slots[::-1]] = np.arange(len(keys), dtype=np.int32)[::-1]
-        kept = np.flatnonzero(table[slots] == np.arange(len(keys)))
-        keys = keys[kept]
-        table[:] = -1
-        table[slots[kept]] = np.arange(len(keys))
-        rank = table[slot_of(pair)]
-        at = np.flatnonzero((rank >= 0) & inner)
-        at = at[keys[rank[at]] == pair[at]]
-        at = _choose(at, rank[at])
-        used = np.bincount(rank[at], minlength=len(keys)) > 0
-        number = np.cumsum(used) - 1
+        rank = table[slot(pair)]
+        maybe = np.flatnonzero(rank >= 0)
+        act, pair, rank = act[maybe], pair[maybe], rank[maybe]
+        match = np.flatnonzero(keys[rank] == pair)
+        won = match[_choose(act[match], rank[match], after)]
+        # a rule that is left with few places isn't worth its own; the most frequent pair keeps at least half
+        places = np.bincount(rank[won], minlength=len(keys))
+        used = places >= least // 2
+        won = won[used[rank[won]]]
+        number = (np.cumsum(used) - 1).astype(np.uint32)
         own = keys[used]
-        rules.append(np.stack([own >> kind(shift), own & kind((1 << shift) - 1)], 1))
-        sym[at] = (bound + n_rules + number[rank[at]]).astype(kind)
+        shift = 16 if narrow else 32
+        rules.append(np.stack([own >> own.dtype.type(shift), own & own.dtype.type((1 << shift) - 1)], 1).astype(np.int64))
+        at = act[won]
+        gone = after[at]
+        sym[at] = np.uint32(bound + n_rules) + number[rank[won]]
+        alive[gone] = False
+        after[at] = after[gone]
+        before[after[at]] = at
         n_rules += len(own)
-        stay = np.ones(len(sym), bool)
-        stay[at + 1] = False
-        sym = sym[stay]
-        head = np.concatenate((head[:-1][stay], [False]))
-    first = np.flatnonzero(head[:-1]) if len(sym) else np.zeros(0, np.int64)
-    return bound, np.concatenate(rules).astype(np.int64) if rules else np.zeros((0, 2), np.int64), sym.astype(np.int64), first
-
-
-def _choose(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Non-overlapping ones of the matches at..at+1: local minima of rank first, then what they leave, left to right."""
-    out = []
+        # what is counted next: pairs with a new symbol, and those of this round's slots that nothing has touched
+        changed = np.zeros(n + 1, bool)
+        changed[at] = changed[gone] = True
+        left = act[~changed[act]]
+        left = left[~changed[after[left]]]
+        changed[:] = False
+        changed[at] = changed[before[at]] = changed[left] = True
+        act = np.flatnonzero(changed[:n]).astype(np.int32)
+        act = act[after[act] < n]
+    number = np.cumsum(alive) - 1
+    return bound, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), sym[:n][alive].astype(np.int64), number[starts] if n else np.zeros(0, np.int64)
+
+
+def _choose(at: np.ndarray, rank: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Indexes of non-overlapping ones of the matches at their places: local minima of rank first, then what they leave, left to right."""
+    out, own = [], np.arange(len(at), dtype=np.int32)
     for _ in range(3):
-        if not len(at):
+        if not len(own):
             break
-        left = np.concatenate(([False], at[1:] == at[:-1] + 1))
+        a, r = (at, rank) if len(own) == len(at) else (at[own], rank[own])
+        left = np.concatenate(([False], after[a[:-1]] == a[1:]))
         right = np.concatenate((left[1:], [False]))
-        before, after = np.concatenate(([0], rank[:-1])), np.concatenate((rank[1:], [0]))
-        win = (~left | (rank < before)) & (~right | (rank <= after))
-        out.append(at[win])
-        shadow = np.zeros(len(at), bool)
+        before, next_ = np.concatenate((r[:1], r[:-1])), np.concatenate((r[1:], r[:1]))
+        win = (~left | (r < before)) & (~right | (r <= next_))
+        out.append(own[win])
+        shadow = np.zeros(len(own), bool)
         shadow[1:] |= win[:-1] & left[1:]
         shadow[:-1] |= win[1:] & right[:-1]
-        rest = ~win & ~shadow
-        at, rank = at[rest], rank[rest]
-    if len(at):  # runs of one rank: every other match
-        start = np.concatenate(([True], at[1:] != at[:-1] + 1))
-        run = np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
-        out.append(at[(np.arange(len(at)) - run) % 2 == 0])
-    return np.sort(np.concatenate(out)) if out else np.zeros(0, np.int64)
+        own = own[~win & ~shadow]
+    if len(own):  # runs of one rank: every other match
+        a = at[own]
+        start = np.concatenate(([True], after[a[:-1]] != a[1:]))
+        run = np.maximum.accumulate(np.where(start, np.arange(len(own)), 0))
+        out.append(own[(np.arange(len(own)) - run) % 2 == 0])
+    return np.sort(np.concatenate(out)) if out else np.zeros(0, np.int32)
 
 
 def expansions(bound: int, rules: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -300,13 +318,14 @@ def unpack(data: bytes, first: int, n: int, bits: int) -> np.ndarray:
     return np.packbits(wide, axis=1, bitorder="little").view("<u4")[:, 0].astype(np.int64)
 
 
-def encode_shard(doc_ids: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> bytes:
+def encode_shard(doc_ids: list[int | None], ids: np.ndarray, starts: np.ndarray) -> bytes:
     bound, rules, sym, first = compress(ids, starts)
     bits = max(1, int(bound + len(rules) - 1).bit_length())
     bits = 16 if 13 <= bits <= 16 else bits  # whole bytes are read and written at once
     lengths = expansions(bound, rules)[0]
     docs = np.zeros(len(doc_ids), [("id", "<i8"), ("first", "<u4"), ("n", "<u4")])
-    docs["id"], docs["first"], docs["n"] = doc_ids, first, np.diff(np.concatenate((starts, [len(ids)])))
+    docs["id"], docs["first"], docs["n"] = [i or 0 for i in doc_ids], first, np.diff(np.concatenate((starts, [len(ids)])))
+    docs["n"] |= np.array([NO_ID if i is None else 0 for i in doc_ids], np.uint32)
     head = _HEAD.pack(MAGIC, bound, len(rules), len(doc_ids), len(sym), bits) + rules.astype("<u4").tobytes() + lengths.astype("<u4").tobytes() + docs.tobytes()
     return head + struct.pack("<I", zlib.crc32(head)) + pack(sym, bits)
 
@@ -323,7 +342,9 @@ class Shard:
         at += 8 * rules
         stored = np.frombuffer(data, "<u4", rules, at)
         at += 4 * rules
-        self.docs = np.frombuffer(data, [("id", "<i8"), ("first", "<u4"), ("n", "<u4")], docs, at)
+        self.docs = np.frombuffer(data, [("id", "<i8"), ("first", "<u4"), ("n", "<u4")], docs, at).copy()
+        self.no_id = self.docs["n"] >= NO_ID
+        self.docs["n"] &= NO_ID - 1
         at += 16 * docs
         if struct.unpack_from("<I", data, at)[0] != zlib.crc32(data[:at]):
             raise ValueError("the shard's tables are damaged")
@@ -353,19 +374,19 @@ class Shard:
 def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 2, partitions: int | None = None) -> DataFrame:
     """Writes shards under ``path`` and returns their manifest: ``part, shard, file, bytes, n_docs, n_tokens, first_doc``.
 
-    Null texts count as empty: only the end id.  Null ids come first, as -2^63.  Rows that repeat an id are
+    Null texts count as empty: only the end id.  Null ids come first.  Rows that repeat an id are
     documents of their own, in order of their text's hash.  An empty table writes no shard.
     """
     spark = docs.sparkSession
     file, scratch = tokenizer or default_tokenizer(), Scratch(spark, "repair")
-    slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.col(text_col).cast("string").alias("text"))
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     n = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = slim.repartitionByRange(n, "id").sortWithinPartitions("id", F.xxhash64("text"))
     end = struct.pack("<I", end_id)
 
     def run(parts):
         part_id, shard = TaskContext.get().partitionId(), 0
-        ids: list[int] = []
+        ids: list[int | None] = []
         held: list[bytes] = []
         size_now = 0
 
@@ -373,10 +394,10 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
             nonlocal shard, size_now
             data = np.frombuffer(b"".join(held), "<u4")
             starts = np.concatenate(([0], np.cumsum([len(x) // 4 for x in held])))[:-1].astype(np.int64)
-            body = encode_shard(np.array(ids, np.int64), data, starts)
+            body = encode_shard(ids, data, starts)
             name = f"{path}/part-{part_id:06d}-{shard:05d}-{uuid.uuid4().hex}.rpair"
             write_file(name, body)
-            row = pa.RecordBatch.from_pydict({"part": [part_id], "shard": [shard], "file": [name], "bytes": [len(body)], "n_docs": [len(ids)], "n_tokens": [len(data)], "first_doc": [ids[0]]})
+            row = pa.RecordBatch.from_arrays([pa.array([x], pa.string() if isinstance(x, str) else pa.int64()) for x in (part_id, shard, name, len(body), len(ids), len(data), ids[0])], names=["part", "shard", "file", "bytes", "n_docs", "n_tokens", "first_doc"])
             shard, size_now = shard + 1, 0
             ids.clear(), held.clear()
             return row
@@ -415,7 +436,7 @@ def read(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                 ends = np.concatenate(([0], np.cumsum(s.docs["n"], dtype=np.int64)))
                 data = memoryview(flat.tobytes())
                 cols = [s.docs["id"].astype(np.int64), start + ends[:-1], np.diff(ends), np.array([zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], np.int64)]
-                arrays = [pa.array(c) for c in cols]
+                arrays = [pa.array(c, mask=s.no_id if j == 0 else None) for j, c in enumerate(cols)]
                 if with_ids:
                     arrays.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.astype(np.int64))))
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(arrays)])
@@ -428,5 +449,4 @@ def read(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
 def tokens(docs: DataFrame, path: str | None = None, **options) -> DataFrame:
     """Writes ``docs`` (see ``write``) and reads all back."""
     path = path or f"{shared_dir(docs.sparkSession)}/cairn-tokens-{uuid.uuid4().hex}"
-    out = read(write(docs, path, **options))
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")))
+    return read(write(docs, path, **options))

@@ -9,6 +9,7 @@ import struct
 import subprocess
 import sys
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -423,6 +424,36 @@ def test_sentencepiece_decoder_on_any_ids():
 # 1: token shards
 
 
+def symbols(shard):
+    return repair_tokens.unpack(shard.body, 0, shard.n, shard.bits).tolist()
+
+
+def pairs(sym):
+    """Pairs of neighbours that don't overlap with an equal one before."""
+    out, held = [], None
+    for i, p in enumerate(zip(sym, sym[1:], strict=False)):
+        if p != held:
+            out.append(p)
+        held = p if p != held else None
+    return out
+
+
+def test_repair_goes_on_to_the_end():
+    """A passage that recurs twenty times is one symbol, however long."""
+    rng = np.random.default_rng(3)
+    passage = rng.integers(0, 60000, 700)
+    docs = [np.concatenate((rng.integers(0, 60000, 50), passage)) for _ in range(20)]
+    ids, starts = np.concatenate(docs).astype(np.uint32), np.arange(20) * 750
+    shard = repair_tokens.Shard(repair_tokens.encode_shard(list(range(20)), ids, starts))
+    assert np.array_equal(shard.ids(), ids) and shard.lengths.max() >= 690 and shard.n <= 20 * 70
+
+
+def test_repair_ids_that_look_like_none(spark):
+    low = -(1 << 63)
+    got = repair_tokens.tokens(spark.createDataFrame([(low, "a"), (None, "b c"), (0, "d")], "doc_id long, text string")).collect()
+    assert sorted((r.start, r.doc_id) for r in got) == [(0, None), (3, low), (5, 0)]
+
+
 def test_repair_round_trip():
     rng = np.random.default_rng(2)
     for n, top in ((0, 5), (1, 3), (5000, 4), (20000, 300), (3000, 70000)):
@@ -434,6 +465,7 @@ def test_repair_round_trip():
         for k in range(0, len(starts), 7):
             doc = ids[starts[k] : ends[k]]
             assert np.array_equal(shard.document(k), doc) and np.array_equal(shard.document(k, 2, 9), doc[2:9])
+            assert max([0, *Counter(p for a, b in zip(shard.docs["first"].tolist(), [*shard.docs["first"][1:].tolist(), shard.n], strict=True) for p in pairs(symbols(shard)[a:b])).values()]) < repair_tokens.MIN_COUNT
     same = np.zeros(4097, np.uint32)
     body = repair_tokens.encode_shard(np.array([7]), same, np.array([0]))
     assert np.array_equal(repair_tokens.Shard(body).ids(), same) and len(body) < 2500
