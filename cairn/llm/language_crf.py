@@ -22,8 +22,8 @@ from cairn.llm._text import U, Words, batches, char_codes, mix, pieces
 
 STEP = 64
 BUCKETS = 1 << 17
-#: The training sample: at most so many documents of a language, and characters of each.
-TRAIN_DOCS, TRAIN_CHARS = 120, 20_000
+#: The training sample: at most so many documents of a language, and of all; documents of more characters come last, one of them at most.
+TRAIN_DOCS, TRAIN_ALL, TRAIN_CHARS = 120, 6000, 20_000
 _CACHE = 150_000
 #: Words whose features are made at once.
 _SLICE = 10_000
@@ -252,19 +252,25 @@ def predict(model: Crf | None, texts: list[str | None]) -> list[tuple[str, float
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = TRAIN_DOCS, max_chars: int = TRAIN_CHARS) -> Crf | None:
-    """Fits on at most ``max_docs`` documents of each language (those of smallest hash of their id), ``max_chars`` characters of each.
+    """Fits on whole texts of at most ``max_docs`` documents of each language, and TRAIN_ALL of all (but one of each language).
 
-    Only documents with crc32(id as text) mod 4 other than 2, a text and a language take part.
+    Those of at most ``max_chars`` characters with the smallest hash of their id are taken; a longer one only where a
+    language has no other, the one of smallest hash.  Only documents with crc32(id as text) mod 4 other than 2, a
+    text and a language take part.
     """
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    own = own.where("text is not null and lang is not null and lang <> 'und' and crc32(cast(id as string)) % 4 <> 2")
-    # only ids are ranked; each task passes on at most max_docs of a language
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    ids = own.select("id", "lang").withColumn("rank", rank).where(F.col("rank") <= max_docs)
-    chosen = {r.id for r in ids.select("id").collect()}
-    if not chosen:
+    own = own.where("text is not null and lang is not null and lang <> 'und' and crc32(cast(id as string)) % 4 <> 2").withColumn("long", F.length("text") > max_chars)
+    # ids, and a hash that tells rows of one id apart, are ranked; each task passes on at most max_docs of a language
+    keys = own.select("id", "lang", "long", F.xxhash64("text").alias("h"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("long", F.xxhash64("id"), "id", "h"))
+    first = keys.withColumn("rank", rank).where(F.col("rank") <= max_docs).where("not long or rank = 1").collect()
+    if not first:
         return None
-    rows = own.where(F.col("id").isin(sorted(chosen))).select("id", F.substring("text", 1, max_chars).alias("text"), "lang").orderBy("id", "lang", F.xxhash64("text")).limit(2 * len(chosen)).collect()
+    most = max(1, TRAIN_ALL // len({r.lang for r in first}))
+    chosen = {(r.id, r.lang, r.h) for r in first if r["rank"] <= most}
+    rows = own.where(F.col("id").isin(sorted({i for i, _, _ in chosen}))).select("id", "text", "lang", F.xxhash64("text").alias("h"))
+    picked = docs.sparkSession.createDataFrame(sorted(chosen), "id long, lang string, h long")
+    rows = rows.join(F.broadcast(picked), ["id", "lang", "h"], "left_semi").dropDuplicates(["id", "lang", "h"]).orderBy("id", "lang", "h").collect()
     return fit([(r.text, r.lang) for r in rows])
 
 

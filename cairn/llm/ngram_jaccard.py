@@ -64,15 +64,15 @@ def digest(s: np.ndarray) -> bytes | None:
 def _signatures(k: int, bands: int, rows: int):
     def run(parts):
         for part in pieces(parts):
-            for group in batches(zip(part["id"].to_pylist(), part["text"].to_pylist(), strict=True), 1):
-                sets = shingle_sets(Words([t for _, t in group]), k)
+            for group in batches(zip(part["id"].to_pylist(), part["text"].to_pylist(), part["md5"].to_pylist(), strict=True), 1):
+                sets = shingle_sets(Words([t for _, t, _ in group]), k)
                 full = [s for s in sets if len(s)]
                 hashes = band_hashes(full, bands, rows) if full else np.zeros((0, bands), np.int64)
                 counts = np.array([len(s) for s in sets], np.int32)
                 ends = np.concatenate(([0], np.cumsum((counts > 0) * bands))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([i for i, _ in group], pa.int64()), pa.array([digest(s) for s in sets], pa.binary()), pa.array(counts), pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.ravel()))],
-                    names=["id", "cls", "n", "bands"],
+                    [pa.array([i for i, _, _ in group], pa.int64()), pa.array([m for _, _, m in group], pa.string()), pa.array([digest(s) for s in sets], pa.binary()), pa.array(counts), pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.ravel()))],
+                    names=["id", "md5", "cls", "n", "bands"],
                 )
 
     return run
@@ -160,7 +160,7 @@ def _first(a: np.ndarray, b: np.ndarray, h: int) -> np.ndarray:
     return np.take_along_axis(a, same.argmax(1)[:, None], 1)[:, 0] == h if len(a) else np.zeros(0, bool)
 
 
-def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8, recall: float = 0.9999, most_bands: int = 24) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8, recall: float = 0.9999, most_bands: int = 24, by_text: bool = False) -> DataFrame:
     """One row per document: ``doc_id, component_id, n_links, class_size, n_shingles``.
 
     n_links counts the other documents whose shingle sets have a Jaccard similarity of at least ``threshold``
@@ -168,14 +168,16 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Null or wordless texts link with nothing: n_links 0, component_id their own id.  A null id can't be
     reached: such a row comes out with null component_id and 0 links.  Rows that repeat an id count as documents
-    of their own.  Texts of one to four words have one shingle, all their words.  Other columns are ignored.
-    An empty table gives an empty result.
+    of their own; with ``by_text`` there are two more columns: text_md5, which tells such rows apart, and component,
+    one value for all rows that links reach (null where there is none but equal rows' sets).  Texts of one to four
+    words have one shingle, all their words.  Other columns are ignored.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     bands, rows = choose_bands(threshold, recall, most_bands)
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sig = scratch.table(base.where("id is not null").mapInArrow(_signatures(k, bands, rows), "id long, cls binary, n int, bands array<long>"), "signatures")
+    text = F.col(text_col).cast("string")
+    base = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), (F.md5(text) if by_text else F.lit("")).alias("md5"))
+    sig = scratch.table(base.where("id is not null").mapInArrow(_signatures(k, bands, rows), "id long, md5 string, cls binary, n int, bands array<long>"), "signatures")
     classes = scratch.table(sig.where("n > 0").groupBy("cls").agg(F.count("*").alias("size"), F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
     slots = classes.select("cls", "n", F.posexplode("bands").alias("b", "h"))
     buckets = (
@@ -202,15 +204,22 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     roots = connected_components(found.select(F.col("cls").alias("a"), F.col("root").alias("b")), scratch)
     reached = roots.join(classes.select(F.col("cls").alias("node"), "rep"), "node")
     lowest = reached.groupBy("root").agg(F.min("rep").alias("component_id"))
-    linked = reached.join(lowest, "root").select(F.col("node").alias("cls"), "component_id")
+    linked = reached.join(lowest, "root").select(F.col("node").alias("cls"), "component_id", "root")
     counts = found.groupBy("cls").agg(F.sum("links").alias("links"))
     info = scratch.table(
         classes.select("cls", "size", "rep").join(counts, "cls", "left").join(linked, "cls", "left")
-        .select("cls", "size", F.coalesce("component_id", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links")),
+        .select("cls", "size", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("root", "cls").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links")),
         "info",
     )
-    known = sig.select("id", "cls", "n").join(info, "cls", "left").select(
-        F.col("id").alias("doc_id"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("size", F.lit(1)).cast("long").alias("class_size"), F.col("n").cast("long").alias("n_shingles")
+    long = lambda c, least: F.coalesce(c, F.lit(least)).cast("long")
+    result = scratch.table(
+        sig.select("id", "md5", "cls", "n").join(info, "cls", "left")
+        .select(F.col("id").alias("doc_id"), F.coalesce("component_id", "id").alias("component_id"), long("n_links", 0).alias("n_links"), long("size", 1).alias("class_size"), long("n", 0).alias("n_shingles"), F.col("md5").alias("text_md5"), F.col("root").alias("component")),
+        "result",
     )
-    unknown = base.where("id is null").select(F.col("id").alias("doc_id"), F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_shingles"))
-    return known.unionAll(unknown)
+    scratch.drop(sig, classes, members, cands, found, info)
+    unknown = base.where("id is null").select(
+        F.col("id").alias("doc_id"), F.col("id").alias("component_id"), long(F.lit(0), 0).alias("n_links"), long(F.lit(1), 1).alias("class_size"), long(F.lit(0), 0).alias("n_shingles"), F.col("md5").alias("text_md5"), F.lit(None).cast("binary").alias("component")
+    )
+    out = result.unionAll(unknown)
+    return out if by_text else out.drop("text_md5", "component")

@@ -86,6 +86,16 @@ def test_ngram_jaccard(spark):
     assert ngram_jaccard.ngram_jaccard_join(documents(spark, [])).count() == 0
 
 
+def test_ngram_by_text(spark):
+    """Rows that share an id: each text its own component, told apart by its md5."""
+    same, other = " ".join(words(random.Random(1), 40)), " ".join(words(random.Random(2), 40))
+    got = ngram_jaccard.ngram_jaccard_join(documents(spark, [(1, same), (5, same), (5, other), (5, ""), (None, same)]), by_text=True).collect()
+    own = {(r.doc_id, r.text_md5): r for r in got}
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    assert own[1, md5(same)].component == own[5, md5(same)].component != own[5, md5(other)].component and own[5, md5("")].component is None
+    assert (own[5, md5(same)].component_id, own[5, md5(other)].component_id) == (1, 5) and len(got) == 5
+
+
 def test_ngram_blocks(spark, monkeypatch):
     """A group of near copies that is larger than a block loses no link."""
     monkeypatch.setattr(ngram_jaccard, "BLOCK_ROWS", 7)
@@ -324,6 +334,29 @@ def test_language_id(spark, small):
     assert [r.lang_pred for r in nothing] == ["und"]
 
 
+def test_language_training_takes_whole_texts(spark, monkeypatch):
+    """Texts over the limit are left out, but for one of a language that has no other; rows that share an id are told apart."""
+    seen = []
+    monkeypatch.setattr(language_crf, "fit", lambda rows: seen.append(rows))
+    long_one = "der die das und " * 40
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows = [(ids[0], "the cat of it", "en"), (ids[0], "a dog of the", "en"), (ids[1], "the " * 300, "en"), (ids[2], long_one, "de"), (ids[3], long_one + "x", "de"), (ids[4], None, "fr"), (ids[5], "x y", None), (ids[6], "q", "und")]
+    rows += [(next(i for i in range(100) if zlib.crc32(str(i).encode()) % 4 == 2), "held out", "es"), (ids[0], "the cat of it", "en")]
+    language_crf.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_chars=500)
+    got = sorted(seen[0])
+    assert [t for t, lang in got if lang == "en"] == ["a dog of the", "the cat of it"] and len(got) == 3
+    assert [t for t, lang in got if lang == "de"] in ([long_one], [long_one + "x"])
+
+
+def test_language_of_long_texts_and_repeated_ids(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = language_crf.train(docs)
+    long_one = "der die das und nicht von " * 20_000
+    extra = spark.createDataFrame([(1, long_one), (1, "the of and in that"), (1, "the of and in that")], "doc_id long, text string")
+    got = sorted((r.lang_pred, r.n_words) for r in language_crf.identify(extra, model).collect())
+    assert got == [("de", 120_000), ("en", 5), ("en", 5)]
+
+
 def test_language_of_code_switched_words():
     text = {"en": "the house and the garden with this other thing that they have been thinking of", "de": "das haus und der garten mit dieser anderen sache die sie nicht gedacht haben und auch"}
     model = language_crf.fit([(v, k) for k, v in text.items()] * 40)
