@@ -1,4 +1,7 @@
-"""The corpus pipeline: language ID, line dedup, near-duplicate join, decontamination, SentencePiece encoding."""
+"""The corpus pipeline: language ID, line dedup, near-duplicate join, decontamination, SentencePiece encoding.
+
+Stages remove rows, not ids: rows that share an id are told apart by the md5 of their text.
+"""
 
 from __future__ import annotations
 
@@ -28,26 +31,35 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes repeated multi-line chunks; every document stays, with ``n_chars`` of what is left."""
-    return dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    """Removes repeated multi-line chunks, and documents that this leaves without a word (mostly exact copies); ``n_chars`` is that of what is left."""
+    out = dedup_lines(docs).where((F.col("lines_removed") == 0) | F.col("text").rlike(WORD))
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of linked documents the one with the smallest id; rows that repeat that id stay with it, as do null ids."""
-    gone = Scratch(spark, "dups").table(ngram_jaccard_join(docs).where("component_id <> doc_id").select("doc_id").distinct(), "gone")
-    return sized_join(docs, gone, "doc_id", "left_anti").select(docs.columns)
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows whose (doc_id, md5 of the text) isn't in ``gone``; rows with a null id or text stay."""
+    keyed = docs.withColumn("__cairn_md5", F.md5("text"))
+    return sized_join(keyed, gone.select("doc_id", F.col("text_md5").alias("__cairn_md5")), ["doc_id", "__cairn_md5"], "left_anti").select(docs.columns)
 
 
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes documents that hold a benchmark passage, and those that line dedup has left without a word.
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of each group of linked documents the one with the smallest id, and the smallest md5 where an id has several texts.
 
-    Language ID lets only texts with a letter through, so a wordless text here has all its words in earlier documents:
-    mostly it is an exact copy.  Such texts link with nothing and would each stay.
+    A row that repeats the kept one's id and text stays with it; rows with a null id or without a word aren't linked and stay.
     """
-    docs = docs.where(F.col("text").rlike(WORD))
-    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = Scratch(spark, "leaks").table(found.select("doc_id").distinct(), "gone")
-    return sized_join(docs, gone, "doc_id", "left_anti").select(docs.columns)
+    scratch = Scratch(spark, "dups")
+    found = scratch.table(ngram_jaccard_join(docs, by_text=True).where("n_links > 0").select("doc_id", "text_md5", "component"), "linked")
+    place = F.struct("doc_id", "text_md5")
+    first = found.groupBy("component").agg(F.min(place).alias("first"))
+    gone = scratch.table(found.join(first, "component").where(place != F.col("first")).select("doc_id", "text_md5").distinct(), "gone")
+    scratch.drop(found)
+    return _without(docs, gone)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes documents that hold a benchmark passage."""
+    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), by_text=True)
+    return _without(docs, Scratch(spark, "leaks").table(found.select("doc_id", "text_md5").distinct(), "gone"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,9 +74,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's result is written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; each stage's result is written and read again, and goes when the next one is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     scratch = Scratch(spark, "pipeline")
     for name, stage in STAGES:
         docs = scratch.table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            scratch.drop(before)
+        before = docs
     return docs
