@@ -6,7 +6,8 @@ attempts that succeeded are in it.  Selected records are dealt by segments of fi
 gaps of at most GAP bytes are read at once.
 
 Payloads of at least ``revisit_from`` bytes that occur more than once are stored once, with the largest page id; the others are
-revisit records.  Digests and lengths find the copies, so no payload is shuffled to find them.
+revisit records.  Digests and lengths find the copies, so no payload is shuffled to find them.  The list of revisits
+goes to the pages by a broadcast where its counted bytes are few; else pages are shuffled once, by id and digest.
 """
 
 from __future__ import annotations
