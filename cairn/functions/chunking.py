@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cairn.functions import paths
+from cairn.functions.columns import let
 
-#: Windows are cut from segments of so many windows, as each substring() walks its input from the start.
+#: Windows are cut from segments of so many windows, and those from segments of as many segments, as each substring() walks its input from the start.
 SEGMENT = 64
 
 # Where a code block begins, by language, as Java patterns with Python's meaning of \w and $.
@@ -27,16 +28,27 @@ def fixed_windows(text: Column, size: int = 200, overlap: int = 50) -> Column:
     """
     if not 0 <= overlap < size:
         raise ValueError(f"overlap {overlap} must be at least 0 and under size {size}")
-    step, length = size - overlap, F.char_length(text)
-    n = F.when(length <= size, F.lit(1)).otherwise(F.ceil((length - size) / step).cast("int") + 1)
-    segments = F.ceil(n / SEGMENT).cast("int")
+    step = size - overlap
 
-    def segment(j: Column) -> Column:
-        own = F.substring(text, j * F.lit(SEGMENT * step) + 1, F.lit((SEGMENT - 1) * step + size))
-        count = F.least(F.lit(SEGMENT), n - j * SEGMENT)
-        return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(own, i * F.lit(step) + 1, F.lit(size)))
+    def cut(own: Column, count: Column, level: int) -> Column:
+        """The first ``count`` windows of a text: from segments of SEGMENT ** level windows, each of which is bound once."""
+        if level == 0:
+            return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(own, i * F.lit(step) + 1, F.lit(size)))
+        each = SEGMENT**level
 
-    return F.when(length > 0, F.flatten(F.transform(F.sequence(F.lit(0), segments - 1), segment))).otherwise(F.array().cast("array<string>"))
+        def segment(j: Column) -> Column:
+            part = F.substring(own, j * F.lit(each * step) + 1, F.lit((each - 1) * step + size))
+            left = F.least(F.lit(each), count - j * each)
+            return let(part, lambda p: let(left, lambda n: cut(p, n, level - 1)))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.ceil(count / each).cast("int") - 1), segment))
+
+    def windows(length: Column) -> Column:
+        n = F.when(length <= size, F.lit(1)).otherwise(F.ceil((length - size) / step).cast("int") + 1)
+        short = F.when(length > 0, F.array(text)).otherwise(F.array().cast("array<string>"))
+        return F.when(length > size, let(n, lambda count: cut(text, count, 2))).otherwise(short)
+
+    return F.when(text.isNull(), F.array().cast("array<string>")).otherwise(let(F.char_length(text), windows))
 
 
 def _resplit(parts: Column, size: int, overlap: int) -> Column:

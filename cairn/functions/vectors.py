@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from cairn.functions.columns import finite_or_zero
 
 #: Query vectors up to this length become one sum that whole-stage code generation compiles; longer ones a higher-order function.
 UNROLL = 512
@@ -20,10 +22,10 @@ def norm(v: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """0.0 for a null or zero vector and for different lengths."""
+    """0.0 for a null or zero vector, for different lengths and where components make no number."""
     na, nb = norm(a), norm(b)
     ok = (F.size(a) == F.size(b)) & (na > 0) & (nb > 0)
-    return F.when(ok, dot(a, b) / (na * nb)).otherwise(F.lit(0.0))
+    return finite_or_zero(F.when(ok, dot(a, b) / (na * nb)).otherwise(F.lit(0.0)))
 
 
 def cosine_to(v: Column, query: Sequence[float], v_norm: Column | None = None) -> Column:
@@ -39,7 +41,7 @@ def cosine_to(v: Column, query: Sequence[float], v_norm: Column | None = None) -
         inner = inner + x * F.lit(float(q))
         own = own + x * x
     own = F.sqrt(own) if v_norm is None else v_norm
-    return F.when((F.size(v) == size) & (own > 0), inner / (own * F.lit(length))).otherwise(F.lit(0.0))
+    return finite_or_zero(F.when((F.size(v) == size) & (own > 0), inner / (own * F.lit(length))).otherwise(F.lit(0.0)))
 
 
 def l2_normalize(v: Column) -> Column:
@@ -57,6 +59,12 @@ def mean_pool(tokens: Column, mask: Column) -> Column:
     return F.transform(total, lambda x: x / F.greatest(weights, F.lit(1e-9)))
 
 
+def mean_pool_rows(rows: DataFrame, by: str, vec_col: str, mask_col: str) -> DataFrame:
+    """``by, i, x``: the masked mean of each component over the rows of a group, by partial sums; no group is gathered."""
+    parts = rows.select(by, F.col(mask_col).cast("double").alias("m"), F.posexplode(vec_col).alias("i", "v"))
+    return parts.groupBy(by, "i").agg((F.sum(F.col("v").cast("double") * F.col("m")) / F.greatest(F.sum("m"), F.lit(1e-9))).alias("x"))
+
+
 def hash_embedding(text: Column, dim: int = 384) -> Column:
     """A reproducible stand-in for a model: component i is the first 32 bits of md5(text + ':' + i), scaled to [0, 1)."""
     word = lambda i: F.conv(F.substring(F.md5(F.concat(text, F.lit(":"), i.cast("string"))), 1, 8), 16, 10).cast("double")

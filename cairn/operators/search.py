@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -34,7 +35,7 @@ def batch_search(store: DataFrame, queries: DataFrame, k: int = 5, filters: Mapp
     """``query_id, id, score, rank`` for queries (query_id, query_vector).
 
     Each task multiplies its vectors with all queries of a block and passes on k rows for each; then they are ranked.
-    Vectors of another length, null or zero score 0.0, as in the single search.
+    Vectors of another length, null, zero or with components that make no number score 0.0, as in the single search.
     """
     rows = flt.apply(store, filters).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     spark, n = store.sparkSession, queries.count()
@@ -59,15 +60,19 @@ def _partial_top(shared, k: int):
         for part in parts:
             ids, col = np.array(part["id"].to_pylist(), object), part["v"]
             ok = np.array([x is not None for x in ids], bool)
-            size = np.array([len(x) if x is not None and None not in x else -1 for x in (s.as_py() for s in col)])
+            size = pc.fill_null(pc.list_value_length(col), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = col.flatten().to_numpy(zero_copy_only=False)  # nulls are NaN
+            begin = np.cumsum(np.maximum(size, 0)) - np.maximum(size, 0)
             for dim, qs in by_size.items():
                 score = np.zeros((len(qs), len(ids)))
                 at = np.flatnonzero(size == dim) if dim else np.zeros(0, int)
                 if len(at):
-                    x = np.array(col.take(pa.array(at)).to_pylist(), float)
+                    x = flat[begin[at][:, None] + np.arange(dim)]
                     q = np.stack([v for _, v in qs])
-                    length = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]
-                    score[:, at] = np.divide(q @ x.T, length, out=np.zeros_like(length), where=length > 0)
+                    with np.errstate(invalid="ignore", over="ignore"):
+                        length = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]
+                        found = np.divide(q @ x.T, length, out=np.zeros_like(length), where=length > 0)
+                    score[:, at] = np.where(np.isnan(found), 0.0, found)
                 for (qid, _), s in zip(qs, score, strict=True):
                     s, own = s[ok], ids[ok]
                     keep = np.arange(len(s)) if len(s) <= k else np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])

@@ -18,6 +18,10 @@ from cairn.operators import sync
 from cairn.schema import REGISTRY, STORE, conform
 
 
+#: Parts that the rows of a shard are written in.
+SPLITS = 8
+
+
 class ParquetStore:
     def __init__(self, spark: SparkSession, path: str, shards: int = 4, dimension: int | None = None, strict_dimension: bool = False):
         self.spark, self.path, self.shards = spark, path.rstrip("/"), shards
@@ -36,8 +40,8 @@ class ParquetStore:
         p = self._path(f"{self.path}/manifest")
         return sorted(int(s.getPath().getName()[:-5]) for s in self._fs.listStatus(p) if s.getPath().getName().endswith(".json")) if self._fs.exists(p) else []
 
-    def _manifest(self) -> dict:
-        stream = self._fs.open(self._path(f"{self.path}/manifest/{self._versions()[-1]:08d}.json"))
+    def _manifest(self, version: int | None = None) -> dict:
+        stream = self._fs.open(self._path(f"{self.path}/manifest/{self._versions()[-1] if version is None else version:08d}.json"))
         try:
             return json.loads(bytes(x & 255 for x in stream.readAllBytes()).decode())
         finally:
@@ -59,8 +63,12 @@ class ParquetStore:
 
     def df(self, shard: int | None = None) -> DataFrame:
         """The current rows, or those of one shard."""
+        return self._part(None if shard is None else [shard])
+
+    def _part(self, touched: Iterable[int] | None) -> DataFrame:
+        """The rows of some shards, of which only the folders are read; None: of all."""
         dirs = self._manifest()["shards"]
-        own = [f"{self.path}/{d}" for s, d in dirs.items() if shard is None or int(s) == shard]
+        own = [f"{self.path}/{d}" for s, d in dirs.items() if touched is None or int(s) in set(touched)]
         return self.spark.read.schema(STORE).parquet(*own) if own else self.spark.createDataFrame([], STORE)
 
     def registry(self) -> DataFrame:
@@ -121,7 +129,8 @@ class ParquetStore:
         manifest = self._manifest()
         version = manifest["version"] + 1
         folder = f"data/{version:08d}-{uuid.uuid4().hex[:8]}"
-        rows.withColumn("bucket", F.col("shard")).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
+        # several tasks, and files, a shard
+        rows.withColumn("bucket", F.col("shard")).repartition("bucket", F.pmod(F.xxhash64("id", "source"), F.lit(SPLITS))).write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
         made = {s.getPath().getName().removeprefix("bucket=") for s in self._fs.listStatus(self._path(f"{self.path}/{folder}")) if s.isDirectory()}
         shards = {s: d for s, d in manifest["shards"].items() if int(s) not in set(touched)}
         shards |= {s: f"{folder}/bucket={s}" for s in made if s.isdigit()}
@@ -134,9 +143,6 @@ class ParquetStore:
         """At most as many values as there are shards."""
         return [r[0] for r in rows.select(shard_of(F.coalesce(F.col(column), F.lit("")), self.shards)).distinct().collect()]
 
-    def _part(self, touched: list[int]) -> DataFrame:
-        return self.df().where(F.col("shard").isin(touched)) if touched else self.df().where(F.lit(False))
-
     def add(self, rows: DataFrame, now: int | None = None) -> None:
         """Appends rows (content, source, vector and any other column of the schema); a null vector is a ValueError, no rows a no-op."""
         if rows.where(F.col("vector").isNull()).limit(1).count():
@@ -153,13 +159,26 @@ class ParquetStore:
         if touched:
             self._write(sync.upsert(self._part(touched), new, "id"), touched)
 
-    def replace(self, rows: DataFrame, now: int | None = None, registry: DataFrame | None = None) -> None:
-        """All rows of the new rows' sources go and the new ones come, in one change; registry rows too if given."""
+    def replace(self, rows: DataFrame, now: int | None = None, registry: DataFrame | None = None, gone: DataFrame | None = None) -> int:
+        """All rows of the new rows' sources, and of ``gone`` (source), go and the new ones come, in one change; returns how many went.
+
+        Registry rows replace those of their paths; those of gone sources that aren't among them go too.
+        """
         new = self.prepare(rows, now)
-        touched = self._touched(new)
-        reg = None if registry is None else sync.upsert(self.registry(), conform(registry, REGISTRY), "file_path")
-        if touched or registry is not None:
-            self._write(sync.replace_rows(self._part(touched), new), touched, reg)
+        sources = new.select("source").distinct()
+        sources = sources if gone is None else sources.union(gone.select("source")).distinct()
+        touched = self._touched(sources)
+        reg = None
+        if registry is not None or gone is not None:
+            reg = self.registry()
+            reg = reg if gone is None else reg.join(gone.select(F.col("source").alias("file_path")).distinct(), "file_path", "left_anti")
+            reg = reg if registry is None else sync.upsert(reg, conform(registry, REGISTRY), "file_path")
+        if not touched and reg is None:
+            return 0
+        before = self._part(touched)
+        n = before.join(sources, "source", "left_semi").count()
+        self._write(sync.delete_rows(before, sources).unionByName(new), touched, reg)
+        return n
 
     def update_registry(self, rows: DataFrame) -> None:
         """Registry rows, of any status, replace those of their paths."""
@@ -170,8 +189,9 @@ class ParquetStore:
         touched = self._touched(sources)
         before = self._part(touched)
         n = before.join(sources.distinct(), "source", "left_semi").count()
-        reg = self.registry().join(sources.select(F.col("source").alias("file_path")).distinct(), "file_path", "left_anti")
-        self._write(sync.delete_rows(before, sources), touched, reg)
+        paths = sources.select(F.col("source").alias("file_path")).distinct()
+        if n or self.registry().join(paths, "file_path", "left_semi").limit(1).count():
+            self._write(sync.delete_rows(before, sources), touched, self.registry().join(paths, "file_path", "left_anti"))
         return n
 
     def delete_file(self, source: str) -> int:
@@ -191,11 +211,13 @@ class ParquetStore:
             self._write(self.df(), every)
         for v in self._versions()[:-keep]:
             self._fs.delete(self._path(f"{self.path}/manifest/{v:08d}.json"), False)
-        live = {d.split("/")[1] for d in self._manifest()["shards"].values()}
-        data = self._path(f"{self.path}/data")
-        for s in self._fs.listStatus(data) if self._fs.exists(data) and keep == 1 else []:
-            if s.getPath().getName() not in live:
-                self._fs.delete(s.getPath(), True)
+        kept = [self._manifest(v) for v in self._versions()]
+        live = {d.split("/")[1] for m in kept for d in [*m["shards"].values(), *([m["registry"]] if m["registry"] else [])]}
+        for folder in ("data", "registry"):
+            base = self._path(f"{self.path}/{folder}")
+            for s in self._fs.listStatus(base) if self._fs.exists(base) else []:
+                if s.getPath().getName() not in live:
+                    self._fs.delete(s.getPath(), True)
 
     def size_bytes(self) -> int:
         return int(self._fs.getContentSummary(self._path(self.path)).getLength())

@@ -11,6 +11,8 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from cairn.functions.columns import let
+
 #: Cell separators in order of precedence, and words that mark a table's title.
 SEPARATORS = ("|", "┃", "｜", "│", "┆", "┊", "：", ":")
 TITLE_MARKERS = (
@@ -27,11 +29,6 @@ ABOVE_KANA = r"[\x{3041}-\x{10FFFF}]"
 THRESHOLD = 0.3
 
 
-def let(value: Column, use) -> Column:
-    """use(value) with the value evaluated once: lambdas would evaluate an expression again at each use."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 

@@ -6,6 +6,10 @@ created_at 1700000000 + doc_id, and a query vector is the embedding of a fixed v
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -14,6 +18,7 @@ from cairn.functions import chunking, measures, paths, vectors
 from cairn.operators import aggregates, search, sync, tables
 from cairn.operators.embedders import HashEmbedder
 from cairn.operators.filters import apply as filtered
+from cairn.operators.store import ParquetStore
 from cairn.streaming import events as ev
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,7 +27,6 @@ SQL: dict[str, str] = {}
 
 STORE_SQL = "store AS (SELECT doc_id AS id, text AS content, '/' || source || '/' || doc_id || '.md' AS source, lang AS source_type, 1700000000 + doc_id AS created_at, embedding AS vector FROM documents JOIN embeddings ON doc_id = vec_id)"
 COS_SQL = "list_cosine_similarity({a}::DOUBLE[], {b}::DOUBLE[])"
-SPLITS = "replace(replace({c}, '{w}', ''), '', '')"
 
 
 def query(sql: str | None = None):
@@ -69,21 +73,21 @@ def vector_topk_filtered(spark, sf):
     return scored(search.vector_search(store(spark, sf), embedding(spark, sf, 1), 10, {"metadata.source_type": ["de", "fr"]}), "id", "source_type")
 
 
-_EDGE = [(1, [0.0, 0.0, 0.0]), (2, [1.0, 2.0]), (3, [-1.0, -2.0, -2.0]), (4, [1.0, 2.0, 2.0]), (5, None), (6, [0.0, 0.0, 1.0])]
+_EDGE = [(1, [0.0, 0.0, 0.0]), (2, [1.0, 2.0]), (3, [-1.0, -2.0, -2.0]), (4, [1.0, 2.0, 2.0]), (5, None), (6, [0.0, 0.0, 1.0]), (7, [float("nan"), 1.0, 1.0]), (8, [float("inf"), 1.0, 1.0]), (9, [1.0, None, 1.0])]
 
 
-@query("SELECT * FROM (VALUES (1, 0.0), (2, 0.0), (3, -1.0), (4, 1.0), (5, 0.0), (6, 0.666667)) t(id, score)".replace("(1, 0.0)", "(1::BIGINT, 0.0::DOUBLE)"))
+@query("SELECT * FROM (VALUES (1::BIGINT, 0.0::DOUBLE), (2, 0.0), (3, -1.0), (4, 1.0), (5, 0.0), (6, 0.666667), (7, 0.0), (8, 0.0), (9, 0.0)) t(id, score)")
 def cosine_edges(spark, sf):
-    """Zero, short, opposite, equal and null vectors against one query."""
+    """Zero, short, opposite, equal and null vectors, and such with components that are no numbers, against one query."""
     rows = spark.createDataFrame(_EDGE, "id long, vector array<float>")
-    return scored(search.vector_search(rows, [1.0, 2.0, 2.0], 10), "id")
+    return scored(search.vector_search(rows, [1.0, 2.0, 2.0], 10), "id").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
-@query("SELECT id, round(score, 6) AS score FROM (VALUES (1::BIGINT, 0.0::DOUBLE), (2, 0.0), (3, -1.0), (4, 1.0), (5, 0.0), (6, 0.666667)) t(id, score)")
+@query("SELECT id, round(score, 6) AS score FROM (VALUES (1::BIGINT, 0.0::DOUBLE), (2, 0.0), (3, -1.0), (4, 1.0), (5, 0.0), (6, 0.666667), (7, 0.0), (8, 0.0), (9, 0.0)) t(id, score)")
 def cosine_columns(spark, sf):
     """The same by the column-to-column form."""
     rows = spark.createDataFrame([(i, v, [1.0, 2.0, 2.0]) for i, v in _EDGE], "id long, vector array<float>, q array<float>")
-    return rows.select("id", F.round(vectors.cosine(F.col("vector"), F.col("q")), 6).alias("score"))
+    return rows.select("id", F.coalesce(F.round(vectors.cosine(F.col("vector"), F.col("q")), 6), F.lit(0.0)).alias("score"))
 
 
 @query(
@@ -91,12 +95,12 @@ def cosine_columns(spark, sf):
 SELECT query_id, id, round(score, 6) AS score, rank FROM (
   SELECT q.vec_id AS query_id, e.vec_id AS id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score,
     row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id)::INTEGER AS rank
-  FROM embeddings q, embeddings e WHERE q.vec_id < 8) WHERE rank <= 5"""
+  FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0) WHERE rank <= 5"""
 )
 def batch_topk(spark, sf):
     e = table(spark, sf, "embeddings")
     rows = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    qs = e.where("vec_id < 8").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    qs = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
     return search.batch_search(rows, qs, 5).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -168,9 +172,9 @@ def keyword_multi_and(spark, sf):
     return _keyword(spark, sf, "that license", k=5)
 
 
-@query(keyword_sql(["released", "under"], "starts_with(c, 'released under')", 10).replace("WHERE starts_with(c, 'released under')", "WHERE starts_with(c, 'released under')"))
+@query(keyword_sql(["th"], "starts_with(c, 'th')", 10))
 def keyword_starts_with(spark, sf):
-    return _keyword(spark, sf, "Released under", "starts_with")
+    return _keyword(spark, sf, "Th", "starts_with")
 
 
 @query(keyword_sql(["of."], "ends_with(c, 'of.')", 10))
@@ -246,6 +250,24 @@ def filter_source_patterns(spark, sf):
     return filtered(rows, {"source_contains": "1", "path": "src1_"})
 
 
+@query(f"WITH {STORE_SQL} SELECT id, source FROM store WHERE source = (SELECT min(source) FROM store)")
+def filter_source(spark, sf):
+    rows = store(spark, sf)
+    return filtered(rows, {"source": rows.agg(F.min("source")).first()[0]}).select("id", "source")
+
+
+@query(f"WITH {STORE_SQL} SELECT id, source FROM store WHERE source IN ((SELECT min(source) FROM store), (SELECT max(source) FROM store))")
+def filter_source_list(spark, sf):
+    rows = store(spark, sf)
+    return filtered(rows, {"metadata.source": list(rows.agg(F.min("source"), F.max("source")).first())}).select("id", "source")
+
+
+@query("SELECT event_id AS id FROM events WHERE json_type(props, '$.k') IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND json_extract(props, '$.k')::DOUBLE = 5")
+def filter_metadata_scalar(spark, sf):
+    rows = table(spark, sf, "events").select(F.col("event_id").alias("id"), F.try_parse_json("props").alias("metadata"))
+    return filtered(rows, {"metadata.k": 5}).select("id")
+
+
 # chunking
 
 _N = "CASE WHEN length({t}) <= {s} THEN 1 ELSE ceil((length({t}) - {s}) / {p}::DOUBLE)::BIGINT + 1 END"
@@ -290,7 +312,7 @@ c AS (SELECT doc_id, k, i, substring(piece, i * {size - overlap} + 1, {size}) AS
 o AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k, i) - 1)::INTEGER AS chunk_index, (count(*) OVER (PARTITION BY doc_id))::INTEGER AS chunk_total, content FROM c)"""
 
 
-_MD_SQL = sections_sql(_MD, r"(?m)^(#{1,3} .+)$".replace("(?m)^(#{1,3} .+)$", "(?m)^(#{1,3} .+)$"), 400, 50)
+_MD_SQL = sections_sql(_MD, r"(?m)^(#{1,3} .+)$", 400, 50)
 _CODE_SQL = sections_sql(_CODE, r"(?m)^(class \w+[\(\w\)]*:|def \w+\([^\)]*\):)", 500, 50)
 
 
@@ -319,6 +341,25 @@ def code_symbols(spark, sf):
     return chunking.chunk_code_files(_code(spark, sf)).select("doc_id", "chunk_index", "module_name", "symbol_type", "symbol_name")
 
 
+_JS = "'class C' || doc_id || ' {' || chr(10) || '}' || chr(10) || 'async function go' || doc_id || '(a, b) {' || chr(10) || text || chr(10) || '}' || chr(10) || 'run = () => {' || chr(10) || '}'"
+_JS_SQL = sections_sql(_JS, r"(?m)(^class \w+ \{|^(?:async )?function \w+\([^\)]*\) \{|\b\w+ = (?:\(\) =>|function\([^\)]*\)) \{)", 500, 50)
+
+
+def _javascript(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.expr("concat('/j/', doc_id, '.ts')").alias("source"), F.expr(_JS.replace("chr(10)", "'\\n'")).alias("text"))
+
+
+@query(_JS_SQL + " SELECT doc_id, chunk_index, chunk_total, content FROM o")
+def chunk_javascript(spark, sf):
+    return chunking.chunk_code_files(_javascript(spark, sf)).select("doc_id", "chunk_index", "chunk_total", "content")
+
+
+@query(_JS_SQL + r""" SELECT doc_id, chunk_index, CASE WHEN content LIKE 'class C%' THEN 'class' WHEN content LIKE 'async function go%' OR content LIKE 'run = %' THEN 'function' END AS symbol_type,
+  CASE WHEN content LIKE 'class C%' THEN 'C' || doc_id WHEN content LIKE 'async function go%' THEN 'go' || doc_id WHEN content LIKE 'run = %' THEN 'run' END AS symbol_name FROM o""")
+def javascript_symbols(spark, sf):
+    return chunking.chunk_code_files(_javascript(spark, sf)).select("doc_id", "chunk_index", "symbol_type", "symbol_name")
+
+
 _PATHS = ["a.TSX", "b.rs", "c.txt", "/x/y.py", "/x/.bashrc", "/d.e/f", "m.MD", "n.markdown", "k.kt", "q.cpp"]
 
 
@@ -416,10 +457,12 @@ def delete_file(spark, sf):
     return sync.delete_rows(rows, spark.createDataFrame([("src3",)], "source string"))
 
 
-@query("SELECT vec_id AS id, label FROM embeddings WHERE vec_id % 3 <> 0 UNION ALL SELECT vec_id AS id, label + 100 AS label FROM embeddings WHERE vec_id % 3 = 0")
+@query("SELECT vec_id AS id, i::INTEGER AS i, embedding[i + 1]::DOUBLE * CASE WHEN vec_id % 3 = 0 THEN -2 ELSE 1 END AS x FROM (SELECT *, unnest(range(len(embedding))) AS i FROM embeddings)")
 def update_vector(spark, sf):
-    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label")
-    return sync.upsert(e, e.where("id % 3 = 0").select("id", (F.col("label") + 100).alias("label")), "id")
+    """New vectors for a third of the ids, by an upsert."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    new = e.where("id % 3 = 0").select("id", F.transform("vector", lambda x: x * -2.0).alias("vector"))
+    return sync.upsert(e, new, "id").select("id", F.posexplode("vector").alias("i", "x"))
 
 
 @query("SELECT 'f' || (doc_id % 50) AS file_path, max(doc_id)::DOUBLE AS last_vectorized, arg_max(md5(text), doc_id) AS file_hash FROM documents GROUP BY doc_id % 50")
@@ -435,6 +478,47 @@ def sync_apply(spark, sf):
     return sync.sync_plan(rows(then), sync.classify(now, then), rows(now)).select("source", "content")
 
 
+# the store on Parquet: written, changed and read back
+
+
+def _work_dir(spark) -> str:
+    """A folder that all executors share; a temporary one in local mode where ``spark.checkpoint.dir`` is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="cairn-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+    return f"{base.rstrip('/')}/cairn-store-{uuid.uuid4().hex}"
+
+
+_FILES_SQL = "f AS (SELECT doc_id, '/' || source || '.md' AS source, text AS content, lang AS source_type FROM documents JOIN embeddings ON doc_id = vec_id)"
+
+
+@query(f"""WITH {_FILES_SQL} SELECT doc_id AS id, source, content, source_type FROM f WHERE source NOT IN ('/src1.md', '/src2.md', '/src3.md') UNION ALL
+SELECT doc_id + 1000000, source, 'new ' || doc_id, source_type FROM f WHERE source IN ('/src2.md', '/src9.md') AND doc_id % 3 = 0""".replace("'/src1.md', '/src2.md', '/src3.md'", "'/src1.md', '/src2.md', '/src3.md', '/src9.md'"))
+def store_changes(spark, sf):
+    """Add, delete, delete of nothing, replace and compact through the store; then all of its rows."""
+    own = ParquetStore(spark, _work_dir(spark), shards=4)
+    rows = store(spark, sf).withColumn("source", F.concat(F.regexp_replace("source", r"/[^/]*$", ""), F.lit(".md")))
+    own.add(rows, now=0)
+    own.delete(spark.createDataFrame([("/src1.md",), ("/src3.md",), ("/nowhere.md",)], "source string"))
+    own.delete_file("/nowhere.md")
+    new = rows.where("source in ('/src2.md', '/src9.md') and id % 3 = 0").withColumns({"content": F.concat(F.lit("new "), F.col("id").cast("string")), "id": F.col("id") + 1000000})
+    own.replace(new, now=0, gone=spark.createDataFrame([("/src2.md",), ("/src9.md",)], "source string"))
+    own.compact()
+    return own.df().select("id", "source", "content", "source_type")
+
+
+@query(f"WITH {_FILES_SQL} SELECT source, count(*) AS rows, sum(length(content))::BIGINT AS chars FROM f GROUP BY source")
+def store_add(spark, sf):
+    own = ParquetStore(spark, _work_dir(spark), shards=4)
+    rows = store(spark, sf).withColumn("source", F.concat(F.regexp_replace("source", r"/[^/]*$", ""), F.lit(".md")))
+    own.add(rows.where("id % 2 = 0"), now=0)
+    own.add(rows.where("id % 2 = 1"), now=0)
+    return own.df().groupBy("source").agg(F.count("*").alias("rows"), F.sum(F.char_length("content")).alias("chars"))
+
+
 # events
 
 
@@ -624,12 +708,10 @@ def l2_normalize(spark, sf):
     return e.select("vec_id", F.posexplode(vectors.l2_normalize(F.col("embedding"))).alias("i", "x")).withColumn("x", F.round("x", 6))
 
 
-@query("WITH t AS (SELECT label, vec_id, i, embedding[i + 1]::DOUBLE AS x, CASE WHEN vec_id % 3 = 0 THEN 0 ELSE 1 END AS m FROM (SELECT *, unnest(range(len(embedding))) AS i FROM embeddings WHERE vec_id < 100)) SELECT label, i::INTEGER AS i, round(sum(x * m) / greatest(sum(m), 1e-9), 6) AS x FROM t GROUP BY label, i")
+@query("WITH t AS (SELECT label, vec_id, i, embedding[i + 1]::DOUBLE AS x, CASE WHEN vec_id % 3 = 0 THEN 0 ELSE 1 END AS m FROM (SELECT *, unnest(range(len(embedding))) AS i FROM embeddings)) SELECT label, i::INTEGER AS i, round(sum(x * m) / greatest(sum(m), 1e-9), 6) AS x FROM t GROUP BY label, i")
 def mean_pool(spark, sf):
-    e = table(spark, sf, "embeddings").where("vec_id < 100")
-    rows = e.groupBy("label").agg(F.collect_list(F.struct("embedding", F.when(F.col("vec_id") % 3 == 0, 0).otherwise(1).alias("m"))).alias("t"))
-    pooled = vectors.mean_pool(F.col("t.embedding"), F.col("t.m"))
-    return rows.select("label", F.posexplode(pooled).alias("i", "x")).withColumn("x", F.round("x", 6))
+    e = table(spark, sf, "embeddings").select("label", "embedding", F.when(F.col("vec_id") % 3 == 0, 0).otherwise(1).alias("m"))
+    return vectors.mean_pool_rows(e, "label", "embedding", "m").withColumn("x", F.round("x", 6))
 
 
 @query("SELECT doc_id, i::INTEGER AS i, round(('0x' || substr(md5(text || ':' || i), 1, 8))::BIGINT / 4294967296.0::DOUBLE, 6) AS x FROM (SELECT doc_id, text, unnest(range(16)) AS i FROM documents)")
@@ -646,6 +728,6 @@ def ingest_pipeline(spark, sf):
     return rows.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(F.char_length("content")).alias("chars"), F.round(F.min(F.get("vector", F.lit(0)).cast("double")), 6).alias("least"))
 
 
-@query("SELECT sum(n)::BIGINT AS total FROM (SELECT least(5, count(*)) AS n FROM embeddings q, embeddings e WHERE q.vec_id < 8 GROUP BY q.vec_id)")
+@query("SELECT sum(n)::BIGINT AS total FROM (SELECT least(5, count(*)) AS n FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0 GROUP BY q.vec_id)")
 def batch_total(spark, sf):
     return batch_topk(spark, sf).groupBy("query_id").agg(F.count("*").alias("n")).agg(F.sum("n").alias("total"))

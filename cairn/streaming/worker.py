@@ -34,8 +34,8 @@ class Ingestor:
         raw = self.spark.read.format("binaryFile").load([p for p in there])
         return raw.select(F.regexp_replace("path", "^file:/+", "/").alias("source"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"), "content")
 
-    def sync_files(self, files: DataFrame, delete_missing: bool = False) -> dict[str, int]:
-        """Adds new and changed files, in one commit; with delete_missing also drops registered ones that aren't there."""
+    def sync_files(self, files: DataFrame, delete_missing: bool = False, deleted: DataFrame | None = None) -> dict[str, int]:
+        """Adds new and changed files and drops ``deleted`` (source) ones, with delete_missing all registered ones that aren't there: one commit."""
         files = files.persist()
         try:
             registered = src.registry_rows(files)
@@ -44,17 +44,14 @@ class Ingestor:
             fresh = src.decode(files.join(todo, "source", "left_semi"))
             counts = {r["action"]: r["count"] for r in actions.groupBy("action").count().collect()}
             out = {"added_files": counts.get("add", 0), "updated_files": counts.get("update", 0), "unchanged_files": counts.get("unchanged", 0), "deleted_files": 0, "added_docs": 0, "deleted_docs": 0}
-            if out["added_files"] or out["updated_files"]:
+            out["deleted_files"] = counts.get("missing", 0) if delete_missing else 0
+            if out["added_files"] or out["updated_files"] or out["deleted_files"] or deleted is not None:
                 rows = self.make_rows(fresh)
                 per_file = rows.groupBy(F.col("source").alias("file_path")).agg(F.count("*").alias("chunk_count"))
                 reg = registered.join(todo.select(F.col("source").alias("file_path")), "file_path", "left_semi").join(per_file, "file_path", "left")
-                stale = actions.where("action = 'update'").select(F.col("file_path").alias("source"))
-                out["deleted_docs"] += self.store.delete(stale) if out["updated_files"] else 0
-                self.store.replace(rows, registry=reg)
+                gone = actions.where(F.col("action").isin(["update", *["missing"] * delete_missing])).select(F.col("file_path").alias("source"))
+                out["deleted_docs"] = self.store.replace(rows, registry=reg, gone=gone if deleted is None else gone.union(deleted.select("source")))
                 out["added_docs"] = self.store.df().join(todo, "source", "left_semi").count()
-            if delete_missing and counts.get("missing"):
-                out["deleted_files"] = counts["missing"]
-                out["deleted_docs"] += self.store.delete(actions.where("action = 'missing'").select(F.col("file_path").alias("source")))
             actions.unpersist()
             return out
         finally:
@@ -64,11 +61,9 @@ class Ingestor:
         """For foreachBatch: (file_path, event_type, ts), the newest of each path counts."""
         events = {r.file_path: r.event_type for r in latest_events(batch).collect()}
         gone = [(p,) for p, kind in events.items() if kind == "deleted"]
-        if gone:
-            self.store.delete(self.spark.createDataFrame(gone, "source string"))
         changed = [p for p, kind in events.items() if kind == "modified"]
-        if changed:
-            self.sync_files(self._paths(changed))
+        if gone or changed:
+            self.sync_files(self._paths(changed), deleted=self.spark.createDataFrame(gone, "source string") if gone else None)
 
     def run_once(self, directories: Iterable[str], ignored: Iterable[str] = (), delete_missing: bool = True) -> dict[str, int]:
         """One periodic scan over directories."""
