@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from cairn.llm._files import read_range, size, write_file
-from cairn.llm._spark import Scratch, shared_dir
+from cairn.llm._spark import Scratch
 from cairn.llm._text import U, batches, pieces
 
 SHARD_TOKENS = 1_500_000
@@ -447,6 +447,6 @@ def read(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
 
 
 def tokens(docs: DataFrame, path: str | None = None, **options) -> DataFrame:
-    """Writes ``docs`` (see ``write``) and reads all back."""
-    path = path or f"{shared_dir(docs.sparkSession)}/cairn-tokens-{uuid.uuid4().hex}"
+    """Writes ``docs`` (see ``write``) and reads all back; without a path the shards go when the driver's process ends."""
+    path = path or Scratch(docs.sparkSession, "tokens").path("shards")
     return read(write(docs, path, **options))

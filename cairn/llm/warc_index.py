@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from cairn.llm._files import read_range, write_file
-from cairn.llm._spark import Scratch, shared_dir, sized_join
+from cairn.llm._spark import Scratch, sized_join
 from cairn.llm._text import pieces
 
 ROLL_BYTES, GAP, MOST = 32 << 20, 64 << 10, 8 << 20
@@ -151,6 +151,6 @@ def read(index: DataFrame, with_payload: bool = False) -> DataFrame:
 
 
 def archive(pages: DataFrame, path: str | None = None, **options) -> DataFrame:
-    """Writes ``pages`` and reads every record back."""
-    path = path or f"{shared_dir(pages.sparkSession)}/cairn-warc-{uuid.uuid4().hex}"
+    """Writes ``pages`` and reads every record back; without a path the archives go when the driver's process ends."""
+    path = path or Scratch(pages.sparkSession, "warc").path("archives")
     return read(write(pages, path, **options)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
