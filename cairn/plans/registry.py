@@ -12,6 +12,8 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cairn.functions import chunking, measures, paths, vectors
@@ -20,6 +22,7 @@ from cairn.operators.embedders import HashEmbedder
 from cairn.operators.filters import apply as filtered
 from cairn.operators.store import ParquetStore
 from cairn.streaming import events as ev
+from cairn.streaming.worker import Ingestor
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -563,6 +566,67 @@ def latest_events(spark, sf):
     return ev.latest_events(ev.map_events(_raw_events(spark, sf)))
 
 
+# files on disk, through the worker's scan into the store
+
+
+def _write_files(rows: DataFrame, directory: str) -> None:
+    """rows (name, text): one file each, written by the executors."""
+
+    def run(parts):
+        system, base = fs.FileSystem.from_uri(directory if "://" in directory else f"file://{directory}")
+        system.create_dir(base, recursive=True)
+        for part in parts:
+            for name, text in zip(part["name"].to_pylist(), part["text"].to_pylist(), strict=True):
+                with system.open_output_stream(f"{base}/{name}") as out:
+                    out.write(text.encode())
+            yield pa.RecordBatch.from_arrays([part["name"]], names=["name"])
+
+    rows.mapInArrow(run, "name string").write.format("noop").mode("overwrite").save()
+
+
+def _file_rows(spark, sf, markdown: str, code: str):
+    kind = lambda r: F.when(F.col("doc_id") % 3 == r[0], F.lit(r[1]))
+    name = F.concat(F.coalesce(kind((1, ".hidden")), F.lit("d")), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 6 == 0, F.lit(".md")).when(F.col("doc_id") % 6 == 3, F.lit(".txt")).when(F.col("doc_id") % 3 == 2, F.lit(".py")).otherwise(F.lit(".md")))
+    text = F.when(F.col("doc_id") % 3 == 2, F.expr(code.replace("chr(10)", "'\\n'"))).otherwise(F.expr(markdown.replace("chr(10)", "'\\n'")))
+    return table(spark, sf, "documents").where("text is not null").select("doc_id", name.alias("name"), text.alias("text"))
+
+
+_INGEST = """SELECT file_name, source_type, count(*) AS chunks, sum(length(content))::BIGINT AS chars FROM (
+  SELECT 'd' || doc_id || '.md' AS file_name, 'markdown' AS source_type, content FROM m WHERE doc_id % 6 = 0 UNION ALL SELECT 'd' || doc_id || '.py', 'code', content FROM c WHERE doc_id % 3 = 2) WHERE NOT regexp_full_match(content, '\\s*')"""
+
+
+def _scan_sql(md: str, code: str) -> str:
+    return f"WITH m AS ({md} SELECT doc_id, content FROM o), c AS ({code} SELECT doc_id, content FROM o) " + _INGEST
+
+
+@query(_scan_sql(_MD_SQL, _CODE_SQL) + " GROUP BY ALL")
+def scan_files(spark, sf):
+    """Files of all kinds, hidden and unsupported ones among them, scanned into the store."""
+    own, files = ParquetStore(spark, _work_dir(spark)), _work_dir(spark) + "/files"
+    _write_files(_file_rows(spark, sf, _MD, _CODE).select("name", "text"), files)
+    Ingestor(spark, own, HashEmbedder(8)).run_once([files])
+    return own.df().groupBy("file_name", "source_type").agg(F.count("*").alias("chunks"), F.sum(F.char_length("content")).alias("chars"))
+
+
+_MD2 = _MD.replace("'# Doc '", "'# New '")
+
+
+@query(_scan_sql(sections_sql(f"CASE WHEN doc_id % 5 = 0 THEN {_MD2} ELSE {_MD} END", r"(?m)^(#{1,3} .+)$", 400, 50), _CODE_SQL) + " AND file_name NOT LIKE '%7.py' GROUP BY ALL")
+def rescan_files(spark, sf):
+    """The same, after a second scan that finds changed files and doesn't find others."""
+    own, base = ParquetStore(spark, _work_dir(spark)), _work_dir(spark)
+    worker, rows = Ingestor(spark, own, HashEmbedder(8), base_dir=f"{base}/files"), _file_rows(spark, sf, _MD, _CODE)
+    _write_files(rows.select("name", "text"), f"{base}/files")
+    worker.run_once([f"{base}/files"])
+    _write_files(_file_rows(spark, sf, _MD2, _CODE).where("doc_id % 5 = 0 and doc_id % 6 = 0").select("name", "text"), f"{base}/files")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    listing = path(f"{base}/files").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for s in listing.globStatus(path(f"{base}/files/d*7.py")) or []:
+        listing.delete(s.getPath(), False)
+    worker.run_once([f"{base}/files"])
+    return own.df().groupBy("file_name", "source_type").agg(F.count("*").alias("chunks"), F.sum(F.char_length("content")).alias("chars"))
+
+
 # requests and resources
 
 

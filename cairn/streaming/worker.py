@@ -15,7 +15,7 @@ from cairn.streaming.events import EVENTS, debounce, latest_events, map_events
 
 def embed_chunks(chunks: DataFrame, embedder) -> DataFrame:
     """Blank chunks go, with their vectors: rows and vectors can't come apart."""
-    return embedder.embed(chunks.where(F.btrim("content") != ""), "content", "vector")
+    return embedder.embed(chunks.where(~F.col("content").rlike(r"(?U)^\s*$")), "content", "vector")
 
 
 class Ingestor:
