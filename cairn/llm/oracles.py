@@ -57,7 +57,7 @@ dg AS MATERIALIZED (
     SELECT doc_id, ws, len(ws) AS n, k, unnest(range(1, len(ws) - k + 2)) AS i FROM dw, ks WHERE len(ws) >= k)),
 starts AS MATERIALIZED (
   SELECT DISTINCT doc_id, item_id, k, m, st FROM (
-    SELECT dg.doc_id, ig.item_id, dg.k, iw.m, unnest(range(greatest(1, dg.i - (iw.m - dg.k)), least(dg.i, dg.n - iw.m + 1) + 1)) AS st
+    SELECT dg.doc_id, ig.item_id, dg.k, least(iw.m, dg.n) AS m, unnest(range(greatest(1, dg.i - (least(iw.m, dg.n) - dg.k)), least(dg.i, dg.n - least(iw.m, dg.n) + 1) + 1)) AS st
     FROM dg JOIN ig ON dg.s = ig.s AND dg.k = ig.k JOIN iw ON iw.item_id = ig.item_id)),
 wc AS MATERIALIZED (
   SELECT t.doc_id, t.item_id, t.m, st, dg.s, count(*) AS c, len(replace(dg.s, ' ', '')) AS wt
