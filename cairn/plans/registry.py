@@ -481,6 +481,13 @@ def sync_apply(spark, sf):
     return sync.sync_plan(rows(then), sync.classify(now, then), rows(now)).select("source", "content")
 
 
+@query(f"WITH {STORE_SQL} SELECT id, source, coalesce(source_type, 'unknown') AS source_type, 77::BIGINT AS created_at, {shard_sql('source', 5)} AS shard, round(sqrt(list_sum(list_transform(vector, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS vector_norm FROM store")
+def store_prepare(spark, sf):
+    """What the store adds to rows before it writes them."""
+    rows = ParquetStore(spark, _work_dir(spark), shards=5).prepare(store(spark, sf), now=77)
+    return rows.select("id", "source", "source_type", "created_at", "shard", F.round("vector_norm", 6).alias("vector_norm"))
+
+
 # the store on Parquet: written, changed and read back
 
 
@@ -733,21 +740,34 @@ def table_boundary(spark, sf):
     return x.select("doc_id", F.col("b.start").alias("start_line"), F.col("b.end").alias("end_line"))
 
 
-_TABLE = ["表 価格一覧", "text", "", "name | qty | when | 備考 | code", "apple | 1 | 2024-01-02 | 赤い | a.b", "pear | 22 | 2024-01-03 | 青い | c_1", "plum | -3.5 | 2024/2/3 | | d", "", "", "done"]
+_TABLE = "array(concat('表 ', lang), '', 'name | qty | when | code', concat('d', doc_id, ' | ', n_chars, ' | 2024-01-0', doc_id % 9 + 1, ' | ', lang), 'second  row | １２ | 2024-02-03 | x_1', 'third | -3.5 | 2024/2/4 | y.z', '', 'the end')"
+
+
+def _tables(spark, sf):
+    """A table of each document's columns, with a title, a full-width number and text after it."""
+    return tables.analyse(table(spark, sf, "documents").select("doc_id", F.coalesce("lang", F.lit("xx")).alias("lang"), F.coalesce("n_chars", F.lit(0)).alias("n_chars")).select("doc_id", F.expr(_TABLE).alias("lines")))
+
 
+_TABLE_SQL = "r AS (SELECT doc_id, a, q, w, lang, greatest(10, length(a))::INTEGER AS wa, greatest(3, length(q))::INTEGER AS wq, greatest(4, length(lang))::INTEGER AS wl FROM (SELECT doc_id, 'd' || doc_id AS a, coalesce(n_chars, 0)::VARCHAR AS q, '2024-01-0' || (doc_id % 9 + 1) AS w, coalesce(lang, 'xx') AS lang FROM documents))"
 
-@query("SELECT * FROM (VALUES (0, 'left', 'code'), (1, 'right', 'numeric'), (2, 'right', 'date'), (3, 'left', 'japanese'), (4, 'left', 'code')) t(col, alignment, content_type)")
+
+@query(f"WITH {_TABLE_SQL} SELECT doc_id, col, alignment, content_type FROM r, (VALUES (0, 'left', 'code'), (1, 'right', 'numeric'), (2, 'right', 'date'), (3, 'left', 'code')) t(col, alignment, content_type)")
 def table_column_types(spark, sf):
-    x = tables.analyse(spark.createDataFrame([(_TABLE,)], "lines array<string>"))
-    return x.select(F.posexplode(F.arrays_zip("alignments", "content_types")).alias("col", "c")).select("col", F.col("c.alignments").alias("alignment"), F.col("c.content_types").alias("content_type"))
+    x = _tables(spark, sf).select("doc_id", F.posexplode(F.arrays_zip("alignments", "content_types")).alias("col", "c"))
+    return x.select("doc_id", "col", F.col("c.alignments").alias("alignment"), F.col("c.content_types").alias("content_type"))
 
 
-@query(
-    """SELECT 5 AS columns, 3 AS rows, 1.0::DOUBLE AS data_density, round(6 / 59.0::DOUBLE, 6) AS japanese_ratio, round((3 + 4 / 3.0::DOUBLE) / 5, 6) AS layout_score, '表 価格一覧' AS title"""
-)
+@query(f"WITH {_TABLE_SQL} SELECT doc_id, 4 AS columns, 3 AS rows, 1.0::DOUBLE AS data_density, 0.0::DOUBLE AS japanese_ratio, round(10 / 12.0::DOUBLE, 6) AS layout_score, round((3 + 2 / 3.0::DOUBLE + 2 / 3.0::DOUBLE + 2 / 3.0::DOUBLE + 1) / 7, 6) AS structure_confidence, CASE WHEN length(q) < 2 THEN round(11.8 / 12::DOUBLE, 6) ELSE 1.0::DOUBLE END AS content_quality, '表 ' || lang AS title FROM r")
 def table_metrics(spark, sf):
-    x = tables.analyse(spark.createDataFrame([(_TABLE,)], "lines array<string>"))
-    return x.select(F.col("metrics.column_count").alias("columns"), F.col("metrics.row_count").alias("rows"), *[F.round(f"metrics.{c}", 6).alias(c) for c in ("data_density", "japanese_ratio", "layout_score")], "title")
+    x = _tables(spark, sf)
+    return x.select("doc_id", F.col("metrics.column_count").alias("columns"), F.col("metrics.row_count").alias("rows"), *[F.round(f"metrics.{c}", 6).alias(c) for c in ("data_density", "japanese_ratio", "layout_score", "structure_confidence", "content_quality")], "title")
+
+
+@query(f"""WITH {_TABLE_SQL} SELECT doc_id, chr(10) || '**表 ' || lang || '**' || chr(10) || chr(10) || '| ' || rpad('name', wa, ' ') || ' | ' || rpad('qty', wq, ' ') || ' | when       | ' || rpad('code', wl, ' ') || ' |' || chr(10)
+  || '| ' || repeat('-', wa) || ' | ' || repeat('-', wq - 1) || ': | ---------: | ' || repeat('-', wl) || ' |' || chr(10) || '| ' || rpad(a, wa, ' ') || ' | ' || rpad(q, wq, ' ') || ' | ' || w || ' | ' || rpad(lang, wl, ' ') || ' |' || chr(10)
+  || '| ' || rpad('second row', wa, ' ') || ' | ' || rpad('12', wq, ' ') || ' | 2024-02-03 | ' || rpad('x_1', wl, ' ') || ' |' AS markdown FROM r""")
+def table_render(spark, sf):
+    return _tables(spark, sf).select("doc_id", "markdown")
 
 
 @query()
