@@ -7,7 +7,7 @@ created_at 1700000000 + doc_id, and a query vector is the embedding of a fixed v
 from __future__ import annotations
 
 import atexit
-import shutil
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -492,14 +492,22 @@ def store_prepare(spark, sf):
 
 
 def _work_dir(spark) -> str:
-    """A folder that all executors share; a temporary one in local mode where ``spark.checkpoint.dir`` is unset."""
+    """A folder that all executors share, deleted when the process ends; in local mode a temporary one where ``spark.checkpoint.dir`` is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if spark.sparkContext.master.partition("[")[0] != "local":
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="cairn-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-    return f"{base.rstrip('/')}/cairn-store-{uuid.uuid4().hex}"
+        base = tempfile.gettempdir()
+    path = f"{base.rstrip('/')}/cairn-store-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def clear() -> None:
+        with contextlib.suppress(Exception):
+            system.delete(where, True)
+
+    atexit.register(clear)
+    return path
 
 
 _FILES_SQL = "f AS (SELECT doc_id, '/' || source || '.md' AS source, text AS content, lang AS source_type FROM documents JOIN embeddings ON doc_id = vec_id)"
