@@ -41,3 +41,26 @@ def read_range(path: str, offset: int, length: int) -> bytes:
 def size(path: str) -> int:
     system, p = _open(path)
     return system.get_file_info(p).size
+
+
+def move_stream(part: str, path: str):
+    """A generator: first an open stream to ``part``; when asked again, closes it and moves the file to ``path``."""
+    system, p = _open(part)
+    end = _open(path)[1]
+    for name in (p, end):
+        system.create_dir(name.rpartition("/")[0], recursive=True)
+    with system.open_output_stream(p) as f:
+        yield f
+    system.move(p, end)
+
+
+def exists(path: str) -> bool:
+    system, p = _open(path)
+    return system.get_file_info(p).type == fs.FileType.File
+
+
+def remove(path: str) -> None:
+    """Deletes a file, if it is there."""
+    if exists(path):
+        system, p = _open(path)
+        system.delete_file(p)

@@ -89,4 +89,44 @@ SELECT page_id, url, payload_digest, payload_bytes, CASE WHEN payload_bytes >= 1
   CASE WHEN payload_bytes >= 1000 AND page_id <> head THEN head END AS refers_to FROM m
 """
 
-ORACLES = {"op5_warc": WARC, "op7_metric_join": METRIC, "op4_ngram_jaccard": JACCARD, "op9_line_dedup": LINE_DEDUP, "op10_decontamination": DECONTAMINATION}
+#: Starts of sections, and a fingerprint, of a text's lines l with their digests g.
+_STARTS = r"list_filter(range(0, len(l)), lambda i: i = 0 OR g[i + 1] < '1' OR regexp_matches(l[i + 1], '^#{1,6}\s') OR (trim(l[i]) = '' AND trim(l[i + 1]) <> ''))"
+_PRINT = r"""sha256(array_to_string(list_transform(spans, lambda x: sha256(array_to_string(g[x[1]:x[2]], ','))), ';'))
+  || array_to_string(list_transform(spans, lambda x: ':' || array_to_string(list_transform(l[x[1]:x[2]], lambda y: array_to_string(list_transform(regexp_extract_all(y, '[^.!?]{1,128}[.!?]*|[.!?]+'), lambda z: substr(md5(z), 1, 6)), '')), ',')), '')"""
+_PIECES = "list_distinct(regexp_extract_all(substr({p}, 65), '[0-9a-f]{{6}}'))"
+_NEAR = "CASE WHEN left({a}, 64) = left({b}, 64) THEN 1.0::DOUBLE WHEN len(x) + len({y}) = 0 THEN 0.0::DOUBLE ELSE least(2.0::DOUBLE * len(list_intersect(x, {y})), len(x) + len({y}) - 1.0::DOUBLE) / (len(x) + len({y}))::DOUBLE END"
+
+MERKLE = f"""
+WITH t AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
+o AS MATERIALIZED (SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id), (SELECT arg_min(text, doc_id) FROM t)) AS nxt, coalesce(lead(doc_id) OVER (ORDER BY doc_id), (SELECT min(doc_id) FROM t)) AS nid FROM t),
+e AS MATERIALIZED (SELECT doc_id, nid, n, text, substr(text, 1, n - n // 4) || substr(nxt, 1, n // 4) AS edited FROM o),
+every AS (SELECT doc_id, 0 AS kind, text FROM e UNION ALL SELECT doc_id, 1, edited FROM e),
+l AS MATERIALIZED (SELECT doc_id, kind, string_split(text, chr(10)) AS l FROM every),
+g AS MATERIALIZED (SELECT *, list_transform(l, lambda x: sha256(x)) AS g FROM l),
+s AS MATERIALIZED (SELECT *, {_STARTS} AS st FROM g),
+sp AS MATERIALIZED (SELECT *, list_transform(range(1, len(st) + 1), lambda i: [st[i] + 1, coalesce(st[i + 1], len(l))]) AS spans FROM s),
+f AS MATERIALIZED (SELECT doc_id, kind, {_PRINT} AS p FROM sp),
+j AS MATERIALIZED (
+  SELECT e.doc_id, e.n, e.edited, a.p AS p, b.p AS q, c.p AS r, {_PIECES.format(p='a.p')} AS x, {_PIECES.format(p='b.p')} AS y, {_PIECES.format(p='c.p')} AS z
+  FROM e JOIN f a ON a.doc_id = e.doc_id AND a.kind = 0 JOIN f b ON b.doc_id = e.doc_id AND b.kind = 1 JOIN f c ON c.doc_id = e.nid AND c.kind = 0)
+SELECT doc_id, n::BIGINT AS n_chars, sha256(edited) AS edited_sha256, p AS fingerprint, q AS edited_fingerprint, {_NEAR.format(a='p', b='q', y='y')} AS near_edited, {_NEAR.format(a='p', b='r', y='z')} AS near_next FROM j
+"""
+
+
+def clusters_sql(k: int, rounds: int, dim: int, scale: int, seed: int) -> str:
+    """Every distance of every round, by brute force."""
+    with_ = [
+        f"v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * {scale})::BIGINT) AS q FROM embeddings WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY h, q) - 1)::INTEGER AS c, q FROM (SELECT sha256('{seed}:' || vec_id) AS h, q FROM v ORDER BY h, q LIMIT {k}))",
+    ]
+    for r in range(rounds + 1):
+        with_.append(f"a{r} AS MATERIALIZED (SELECT vec_id, q, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT v.vec_id, v.q, c{r}.c, list_sum(list_transform(list_zip(v.q, c{r}.q), lambda x: (x[1] - x[2]) * (x[1] - x[2])))::BIGINT AS d FROM v, c{r}) GROUP BY vec_id, q)")
+        if r < rounds:
+            with_.append(f"s{r} AS MATERIALIZED (SELECT c, list(m ORDER BY i) AS q FROM (SELECT c, i, ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS m FROM (SELECT c, unnest(q) AS x, generate_subscripts(q, 1) AS i FROM a{r}) GROUP BY c, i) GROUP BY c)")
+            with_.append(f"c{r + 1} AS MATERIALIZED (SELECT c{r}.c, coalesce(s{r}.q, c{r}.q) AS q FROM c{r} LEFT JOIN s{r} USING (c))")
+    return "WITH " + ",\n".join(with_) + f"""
+SELECT vec_id, a{rounds}.c AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a{rounds}.c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c{rounds}.q, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON c{rounds}.c = a{rounds}.c"""
+
+
+ORACLES = {"op12_merkle": MERKLE, "op13_elkan": clusters_sql(40, 5, 64, 256, 2), "op5_warc": WARC, "op7_metric_join": METRIC, "op4_ngram_jaccard": JACCARD, "op9_line_dedup": LINE_DEDUP, "op10_decontamination": DECONTAMINATION}

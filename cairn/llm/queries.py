@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import decontaminate, html_blocks, language_crf, line_dedup, metric_join, ngram_jaccard, repair_tokens, secret_cnn, sentencepiece_codec, warc_index
+from cairn.llm import decontaminate, elkan, html_blocks, language_crf, line_dedup, merkle, metric_join, ngram_jaccard, repair_tokens, schema_rewrite, secret_cnn, sentencepiece_codec, warc_index
 from cairn.llm.oracles import ORACLES
 
 
@@ -54,8 +54,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_schema_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schema_rewrite.schema_rewrite(_table(spark, sf_dir, "clients"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.document_fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op13_elkan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return elkan.clusters(_table(spark, sf_dir, "embeddings")).drop("computed")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_repair, op2_secret_scan, op3_html_text, op4_ngram_jaccard, op5_warc, op6_language_id, op7_metric_join, op8_sentencepiece, op9_line_dedup, op10_decontamination)}
+    return {f.__name__: f for f in (op1_token_repair, op2_secret_scan, op3_html_text, op4_ngram_jaccard, op5_warc, op6_language_id, op7_metric_join, op8_sentencepiece, op9_line_dedup, op10_decontamination, op11_schema_rewrite, op12_merkle, op13_elkan)}
 
 
 def oracle_sql() -> dict[str, str]:
