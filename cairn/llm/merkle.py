@@ -112,12 +112,13 @@ def _next_keys(light: DataFrame, scratch: Scratch, id_col: str) -> DataFrame:
 def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's fingerprint and that of its edited text, with their likeness and that to the next document's.
 
-    ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``.  The edited text has its
+    ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, next_id``.  The edited text has its
     last floor(n_chars / 4) code points replaced by the first as many (or all) of the next document.  Null texts are empty;
     null ids come first; rows that share an id follow one another by a digest of their texts, and a repeated row's next is
     its own copy, but for the last of them.  A single document's next is itself.  Other columns are left out.
 
-    Texts are shuffled once, by a digest of id and text that also drops copies before the shuffle; what a document gives to
+    Texts are shuffled once (both joins read the same columns of it), by a digest of id and text that also drops copies
+    before the shuffle; what a document gives to
     the one before it (its beginning and its fingerprint) is shuffled to that one's place.
     """
     scratch = Scratch(docs.sparkSession, "merkle")
@@ -128,14 +129,14 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     whole = rows.dropDuplicates(["key"])
     quarter = F.floor(F.col("n") / 4).cast("int")
     gives = follows.select(F.col("next").alias("key"), quarter.alias("want"), F.col("key").alias("to"), "copies")
-    given = whole.join(gives, "key").select(F.col("to").alias("key"), "copies", F.substring("text", F.lit(1), F.col("want")).alias("head"), fingerprint(F.col("text")).alias("next_print"))
+    given = whole.join(gives, "key").select(F.col("to").alias("key"), F.col("doc_id").alias("next_id"), "copies", F.substring("text", F.lit(1), F.col("want")).alias("head"), fingerprint(F.col("text")).alias("next_print"))
     n, size = F.char_length("text"), F.floor(F.char_length("text") / 4).cast("int")
-    own = whole.join(given, "key").select("doc_id", "text", n.cast("long").alias("n_chars"), size.alias("q"), "copies", "head", "next_print", fingerprint(F.col("text")).alias("fingerprint"))
+    own = whole.join(given, "key").select("doc_id", "text", n.cast("long").alias("n_chars"), size.alias("q"), "copies", "next_id", "head", "next_print", fingerprint(F.col("text")).alias("fingerprint"))
     # the copies before the last are followed by themselves
-    self_next = F.struct(F.substring("text", F.lit(1), F.col("q")).alias("head"), F.col("fingerprint").alias("next_print"), (F.col("copies") - 1).alias("times"))
-    real_next = F.struct("head", "next_print", F.lit(1).cast("long").alias("times"))
+    self_next = F.struct(F.col("doc_id").alias("next_id"), F.substring("text", F.lit(1), F.col("q")).alias("head"), F.col("fingerprint").alias("next_print"), (F.col("copies") - 1).alias("times"))
+    real_next = F.struct("next_id", "head", "next_print", F.lit(1).cast("long").alias("times"))
     variants = own.withColumn("v", F.explode(F.when(F.col("copies") > 1, F.array(real_next, self_next)).otherwise(F.array(real_next))))
     edited = variants.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - F.col("q")).cast("int")), "v.head"))
-    out = edited.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", fingerprint(F.col("edited")).alias("edited_fingerprint"), F.col("v.next_print").alias("next_print"), F.col("v.times").alias("times"))
+    out = edited.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", fingerprint(F.col("edited")).alias("edited_fingerprint"), F.col("v.next_id").alias("next_id"), F.col("v.next_print").alias("next_print"), F.col("v.times").alias("times"))
     out = out.withColumns({"near_edited": likeness(F.col("fingerprint"), F.col("edited_fingerprint")), "near_next": likeness(F.col("fingerprint"), F.col("next_print"))}).drop("next_print")
     return out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("copy", "times")

@@ -107,9 +107,9 @@ s AS MATERIALIZED (SELECT *, {_STARTS} AS st FROM g),
 sp AS MATERIALIZED (SELECT *, list_transform(range(1, len(st) + 1), lambda i: [st[i] + 1, coalesce(st[i + 1], len(l))]) AS spans FROM s),
 f AS MATERIALIZED (SELECT doc_id, kind, {_PRINT} AS p FROM sp),
 j AS MATERIALIZED (
-  SELECT e.doc_id, e.n, e.edited, a.p AS p, b.p AS q, c.p AS r, {_PIECES.format(p='a.p')} AS x, {_PIECES.format(p='b.p')} AS y, {_PIECES.format(p='c.p')} AS z
+  SELECT e.doc_id, e.nid AS next_id, e.n, e.edited, a.p AS p, b.p AS q, c.p AS r, {_PIECES.format(p='a.p')} AS x, {_PIECES.format(p='b.p')} AS y, {_PIECES.format(p='c.p')} AS z
   FROM e JOIN f a ON a.doc_id = e.doc_id AND a.kind = 0 JOIN f b ON b.doc_id = e.doc_id AND b.kind = 1 JOIN f c ON c.doc_id = e.nid AND c.kind = 0)
-SELECT doc_id, n::BIGINT AS n_chars, sha256(edited) AS edited_sha256, p AS fingerprint, q AS edited_fingerprint, {_NEAR.format(a='p', b='q', y='y')} AS near_edited, {_NEAR.format(a='p', b='r', y='z')} AS near_next FROM j
+SELECT doc_id, next_id, n::BIGINT AS n_chars, sha256(edited) AS edited_sha256, p AS fingerprint, q AS edited_fingerprint, {_NEAR.format(a='p', b='q', y='y')} AS near_edited, {_NEAR.format(a='p', b='r', y='z')} AS near_next FROM j
 """
 
 
