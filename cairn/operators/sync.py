@@ -29,6 +29,18 @@ def classify(current: DataFrame, registry: DataFrame) -> DataFrame:
     return both.select("file_path", action.alias("action"))
 
 
+def by_listing(listing: DataFrame, registry: DataFrame) -> DataFrame:
+    """What a listing alone tells: ``file_path, state``, which is same (registered with this time and size), missing, or candidate.
+
+    listing: file_path, last_modified, file_size.  A registered row without a size counts by its time.
+    """
+    here = listing.select("file_path", F.col("last_modified").alias("m1"), F.col("file_size").alias("s1"), F.lit(True).alias("here"))
+    known = registry.select("file_path", F.col("last_modified").alias("m2"), F.col("file_size").alias("s2"), F.lit(True).alias("known"))
+    both = here.join(known, "file_path", "full_outer")
+    same = F.col("known").isNotNull() & F.col("m1").eqNullSafe(F.col("m2")) & F.coalesce(F.col("s1") == F.col("s2"), F.lit(True))
+    return both.select("file_path", F.when(F.col("here").isNull(), F.lit("missing")).when(same, F.lit("same")).otherwise(F.lit("candidate")).alias("state"))
+
+
 def new_paths(current: DataFrame, registry: DataFrame) -> DataFrame:
     return current.join(registry, "file_path", "left_anti")
 

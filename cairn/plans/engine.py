@@ -74,7 +74,7 @@ class Engine:
     def query(self, text: str, top_k: int = 5, filters: Mapping | None = None, use_cache: bool = True) -> dict:
         self._check(top_k)
         params = {"text": text, "top_k": top_k, "filters": filters}
-        return self._answer("query", "/query", params, use_cache, lambda: self._shape(search.vector_search(self.store.df(), self._vector(text), top_k, filters, norm_col="vector_norm", keep=HIT)))
+        return self._answer("query", "/query", params, use_cache, lambda: self._shape(search.vector_search(self.store.df(filters=filters), self._vector(text), top_k, filters, norm_col="vector_norm", keep=HIT)))
 
     def batch_query(self, texts: Sequence[str], top_k: int = 5, filters: Mapping | None = None, use_cache: bool = True) -> dict:
         """One job for all texts; results keep their order."""
@@ -85,7 +85,7 @@ class Engine:
 
         def run():
             rows = self.spark.createDataFrame([(i, self._vector(t)) for i, t in enumerate(texts)], "query_id long, query_vector array<float>")
-            found = search.batch_search(self.store.df(), rows, top_k, filters) if texts else None
+            found = search.batch_search(self.store.df(filters=filters), rows, top_k, filters) if texts else None
             hits = found.join(self.store.df().select(*HIT), "id").withColumn("metadata", F.to_json("metadata")).collect() if texts else []
             out: list[dict] = [{"query": t, "results": []} for t in texts]
             for r in sorted(hits, key=lambda r: (r["query_id"], r["rank"])):
@@ -98,12 +98,12 @@ class Engine:
     def hybrid_search(self, text: str, top_k: int = 5, filters: Mapping | None = None, vector_weight: float = 0.7, text_weight: float = 0.3, use_cache: bool = True) -> dict:
         self._check(top_k, vector_weight, text_weight)
         params = {"text": text, "top_k": top_k, "filters": filters, "weights": [vector_weight, text_weight]}
-        return self._answer("hybrid", "/hybrid_search", params, use_cache, lambda: self._shape(search.hybrid_search(self.store.df(), text, self._vector(text), top_k, filters, vector_weight, text_weight, keep=HIT)))
+        return self._answer("hybrid", "/hybrid_search", params, use_cache, lambda: self._shape(search.hybrid_search(self.store.df(filters=filters), text, self._vector(text), top_k, filters, vector_weight, text_weight, keep=HIT)))
 
     def keyword_search(self, keyword: str, top_k: int = 5, filters: Mapping | None = None, match_type: str = "contains", use_cache: bool = True) -> dict:
         self._check(top_k)
         params = {"keyword": keyword, "top_k": top_k, "filters": filters, "match_type": match_type}
-        return self._answer("keyword", "/keyword_search", params, use_cache, lambda: self._shape(search.keyword_search(self.store.df(), keyword, top_k, filters, match_type, keep=HIT)))
+        return self._answer("keyword", "/keyword_search", params, use_cache, lambda: self._shape(search.keyword_search(self.store.df(filters=filters), keyword, top_k, filters, match_type, keep=HIT)))
 
     def handle(self, line: str) -> str:
         """A JSON line of a tool call."""

@@ -20,6 +20,7 @@ REGISTRY = T.StructType(
     [
         T.StructField("file_path", T.StringType()), T.StructField("last_modified", T.DoubleType()), T.StructField("file_hash", T.StringType()),
         T.StructField("last_vectorized", T.DoubleType()), T.StructField("status", T.StringType()), T.StructField("chunk_count", T.LongType()),
+        T.StructField("file_size", T.LongType()),
     ]
 )
 

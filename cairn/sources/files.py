@@ -5,12 +5,15 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterable
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cairn.functions import paths
 from cairn.functions.chunking import newlines
 
 SCHEMA = "source string, modified timestamp, size long, content binary"
+LISTING = "source string, modified timestamp, size long"
 
 
 def _local(path: Column) -> Column:
@@ -27,6 +30,25 @@ def scan(spark: SparkSession, directory: str, recursive: bool = True) -> DataFra
     return raw.load(directory).select(_local(F.col("path")).alias("source"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"), "content")
 
 
+def contents(paths: DataFrame) -> DataFrame:
+    """(source) -> ``source, modified, size, content`` of those that are files, each opened where its row is; nothing goes through the driver."""
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
+
+    def run(parts):
+        for part in parts:
+            for path in part["source"].to_pylist():
+                system, p = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+                info = system.get_file_info(p)
+                if info.type != fs.FileType.File:
+                    continue
+                with system.open_input_stream(p) as f:
+                    data = f.read()
+                when = pa.array([info.mtime_ns // 1_000_000 * 1000], pa.int64()).cast(pa.timestamp("us", "UTC"))
+                yield pa.RecordBatch.from_arrays([pa.array([path]), when, pa.array([len(data)], pa.int64()), pa.array([data], pa.binary())], names=names)
+
+    return paths.select("source").mapInArrow(run, SCHEMA)
+
+
 def scan_incremental(spark: SparkSession, directory: str, extensions: Iterable[str] | None = None) -> DataFrame:
     return scan(spark, directory).where(~paths.sync_ignored(F.col("source"), list(extensions) if extensions else None))
 
@@ -54,7 +76,7 @@ def decode(files: DataFrame) -> DataFrame:
 def registry_rows(files: DataFrame, status: str = "processed", now: float | None = None) -> DataFrame:
     """Registry rows of scanned files: mtime, md5, time and status."""
     when = F.lit(now) if now is not None else F.unix_timestamp().cast("double")
-    return files.select(F.col("source").alias("file_path"), F.col("modified").cast("double").alias("last_modified"), F.md5("content").alias("file_hash"), when.cast("double").alias("last_vectorized"), F.lit(status).alias("status"))
+    return files.select(F.col("source").alias("file_path"), F.col("modified").cast("double").alias("last_modified"), F.md5("content").alias("file_hash"), when.cast("double").alias("last_vectorized"), F.lit(status).alias("status"), F.col("size").alias("file_size"))
 
 
 def handle_line(line: str, search: Callable[[str, int, dict], list]) -> str:

@@ -25,51 +25,59 @@ class Ingestor:
         self.spark, self.store = spark, store
         self.make_rows = make_rows or (lambda files: embed_chunks(chunk_files(files.select("source", "text").where("text is not null"), base_dir), embedder))
 
-    def _paths(self, paths: Iterable[str]) -> DataFrame:
-        """Files of a micro-batch; those that are gone are left out."""
-        jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        there = [p for p in paths if (h := jvm.org.apache.hadoop.fs.Path(p)).getFileSystem(conf).exists(h)]
-        if not there:
-            return self.spark.createDataFrame([], src.SCHEMA)
-        raw = self.spark.read.format("binaryFile").load([p for p in there])
-        return raw.select(F.regexp_replace("path", "^file:/+", "/").alias("source"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"), "content")
-
-    def sync_files(self, files: DataFrame, delete_missing: bool = False, deleted: DataFrame | None = None) -> dict[str, int]:
-        """Adds new and changed files and drops ``deleted`` (source) ones, with delete_missing all registered ones that aren't there: one commit."""
-        files = files.persist()
+    def _classified(self, listing: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """``file_path, action`` of listed and registered files, and registry rows of those whose contents had to be read to tell."""
+        known = self.store.registry()
+        state = sync.by_listing(listing.select(F.col("source").alias("file_path"), F.col("modified").cast("double").alias("last_modified"), F.col("size").alias("file_size")), known).persist()
+        read = src.registry_rows(src.contents(state.where("state = 'candidate'").select(F.col("file_path").alias("source")))).persist()
+        sure = state.where("state <> 'candidate'").select("file_path", F.when(F.col("state") == "same", F.lit("unchanged")).otherwise(F.lit("missing")).alias("action"))
+        told = sync.classify(read, known.join(read.select("file_path"), "file_path", "left_semi"))
+        actions = sure.unionByName(told).persist()
+        actions.count()
+        state.unpersist()
+        return actions, read
+
+    def sync_files(self, listing: DataFrame, delete_missing: bool = False, deleted: DataFrame | None = None) -> dict[str, int]:
+        """Adds new and changed files of a listing (source, modified, size) and drops ``deleted`` (source) ones, with delete_missing all registered ones that aren't there: one commit.
+
+        Contents are read only of files that are new or whose time or size is another than the registered one.
+        """
+        listing = listing.select("source", "modified", "size").persist()
+        actions, read = self._classified(listing)
         try:
-            registered = src.registry_rows(files)
-            actions = sync.classify(registered, self.store.registry()).persist()
             todo = actions.where(F.col("action").isin("add", "update")).select(F.col("file_path").alias("source"))
-            fresh = src.decode(files.join(todo, "source", "left_semi"))
             counts = {r["action"]: r["count"] for r in actions.groupBy("action").count().collect()}
             out = {"added_files": counts.get("add", 0), "updated_files": counts.get("update", 0), "unchanged_files": counts.get("unchanged", 0), "deleted_files": 0, "added_docs": 0, "deleted_docs": 0}
             out["deleted_files"] = counts.get("missing", 0) if delete_missing else 0
             if out["added_files"] or out["updated_files"] or out["deleted_files"] or deleted is not None:
-                rows = self.make_rows(fresh)
-                per_file = rows.groupBy(F.col("source").alias("file_path")).agg(F.count("*").alias("chunk_count"))
-                reg = registered.join(todo.select(F.col("source").alias("file_path")), "file_path", "left_semi").join(per_file, "file_path", "left")
+
+                def registered(rows: DataFrame) -> DataFrame:
+                    per_file = rows.groupBy(F.col("source").alias("file_path")).agg(F.count("*").alias("chunk_count"))
+                    out["added_docs"] = rows.count()
+                    return read.join(todo.select(F.col("source").alias("file_path")), "file_path", "left_semi").join(per_file, "file_path", "left")
+
                 gone = actions.where(F.col("action").isin(["update", *["missing"] * delete_missing])).select(F.col("file_path").alias("source"))
-                out["deleted_docs"] = self.store.replace(rows, registry=reg, gone=gone if deleted is None else gone.union(deleted.select("source")))
-                out["added_docs"] = self.store.df().join(todo, "source", "left_semi").count()
-            actions.unpersist()
+                rows = self.make_rows(src.decode(src.contents(todo)))
+                out["deleted_docs"] = self.store.replace(rows, registry=registered, gone=gone if deleted is None else gone.union(deleted.select("source")))
             return out
         finally:
-            files.unpersist()
+            for df in (actions, read, listing):
+                df.unpersist()
 
     def apply_events(self, batch: DataFrame, batch_id: int = 0) -> None:
-        """For foreachBatch: (file_path, event_type, ts), the newest of each path counts."""
-        events = {r.file_path: r.event_type for r in latest_events(batch).collect()}
-        gone = [(p,) for p, kind in events.items() if kind == "deleted"]
-        changed = [p for p, kind in events.items() if kind == "modified"]
-        if gone or changed:
-            self.sync_files(self._paths(changed), deleted=self.spark.createDataFrame(gone, "source string") if gone else None)
+        """For foreachBatch: (file_path, event_type, ts), the newest of each path counts.  Changed files that are gone again are left out."""
+        events = latest_events(batch).select(F.col("file_path").alias("source"), "event_type").persist()
+        kinds = {r["event_type"]: r["count"] for r in events.groupBy("event_type").count().collect()}
+        if kinds:
+            changed = src.contents(events.where("event_type = 'modified'")).select("source", "modified", "size")
+            self.sync_files(changed, deleted=events.where("event_type = 'deleted'").select("source") if kinds.get("deleted") else None)
+        events.unpersist()
 
     def run_once(self, directories: Iterable[str], ignored: Iterable[str] = (), delete_missing: bool = True) -> dict[str, int]:
-        """One periodic scan over directories."""
+        """One periodic scan over directories; a scan of unchanged files reads no contents."""
         files = None
         for d in directories:
-            one = src.scan_scheduled(self.spark, d, ignored)
+            one = src.scan_scheduled(self.spark, d, ignored).select("source", "modified", "size")
             files = one if files is None else files.unionByName(one)
         return self.sync_files(files.dropDuplicates(["source"]), delete_missing)
 
