@@ -12,43 +12,150 @@ statistics of their row groups let a search open few of them, however often a te
 
 from __future__ import annotations
 
-import re
+import functools
 from collections.abc import Mapping
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cairn.operators import search
 from cairn.operators.snapshots import Snapshots
 
-#: Terms that are looked up as values of the postings' filter; more are joined.
+#: Values that are looked up by a filter which the row groups' statistics meet; more are joined.
 INLINE = 500
 #: Words of a query whose postings are joined; texts of queries of more words are read for what the JOINED longest leave.
 JOINED = 8
+#: Characters of the texts that one block of postings, and terms that one block of trigrams, is made of.
+BLOCK_CHARS, BLOCK_TERMS = 4 << 20, 20_000
+NAMES = ["term", "low", "texts", "packed"]
 TABLES = {
-    "docs": "id long, n_chars int, n_lower int, content string", "postings": "term string, id long, places array<int>", "terms": "term string, texts long", "grams": "gram string, term string",
-    "gone": "id long",
+    "docs": "id long, n_chars int, n_lower int, content string", "postings": "term string, low long, texts int, packed binary",
+    "terms": "term string, texts long, number long", "grams": "gram string, low long, numbers array<long>", "gone": "id long",
 }
 
 
+@functools.cache
+def _space() -> np.ndarray:
+    return np.fromiter((chr(c).isspace() for c in range(0x110000)), bool, 0x110000)
+
+
+def _lists(values: np.ndarray, starts: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)), pa.int32()), pa.array(values, kind))
+
+
+def _block(ids: list[int], texts: list[str]) -> pa.RecordBatch:
+    """The postings of some texts, a row a term: packed are the ids of its texts after ``low`` (two words each), how often it is in each, and all its places."""
+    code: dict[str, int] = {}
+    codes, docs, places = [], [], []
+    for i, t in enumerate(texts):
+        words = t.split()
+        if words:
+            space = _space()[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)]
+            places.append(np.flatnonzero(~space & np.concatenate(([True], space[:-1]))))
+            codes.append(np.fromiter((code.setdefault(w, len(code)) for w in words), np.int64, len(words)))
+            docs.append(np.full(len(words), i))
+    if not codes:
+        return pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.string(), pa.int64(), pa.int32(), pa.binary())], names=NAMES)
+    c, d, p = np.concatenate(codes), np.concatenate(docs), np.concatenate(places)
+    order = np.argsort(c, kind="stable")  # texts and places stay in order inside a term
+    c, d, p = c[order], d[order], p[order]
+    new_term = np.concatenate(([True], c[1:] != c[:-1]))
+    new_text = new_term | np.concatenate(([True], d[1:] != d[:-1]))
+    at, term_at = np.flatnonzero(new_text), np.flatnonzero(new_term)
+    own, times, first = np.array(ids, np.int64)[d[at]], np.diff(np.append(at, len(c))), np.searchsorted(at, term_at)
+    low = own[first]
+    # differences are small numbers, which compress: ids from the one before, places from the one before in their text
+    step = np.diff(own, prepend=0)
+    step[first] = 0
+    step = step.view(np.uint64)
+    p = np.where(new_text, p, np.diff(p, prepend=0))
+    n, m = np.diff(np.append(first, len(at))), np.diff(np.append(term_at, len(c)))
+    base = np.cumsum(3 * n + m) - (3 * n + m)
+    words, t = np.empty(int((3 * n + m).sum()), np.uint32), np.repeat(np.arange(len(n)), n)
+    j = np.arange(len(at)) - first[t]
+    words[base[t] + 2 * j], words[base[t] + 2 * j + 1] = (step & np.uint64(0xFFFFFFFF)).astype(np.uint32), (step >> np.uint64(32)).astype(np.uint32)
+    words[base[t] + 2 * n[t] + j] = times
+    words[np.repeat(base + 3 * n - term_at, m) + np.arange(len(p))] = p
+    cuts = np.append(base, len(words)).astype(np.int32) * 4
+    packed = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(cuts), pa.py_buffer(words)])
+    return pa.RecordBatch.from_arrays([pa.array(list(code), pa.string()), pa.array(low), pa.array(n, pa.int32()), packed], names=NAMES)
+
+
+def _running(steps: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Running sums inside groups that begin at ``begin`` and have n members each."""
+    total = np.cumsum(steps)
+    return total - np.repeat(total[begin] - steps[begin], n) if len(steps) else total
+
+
+def _unpack(part: pa.RecordBatch):
+    """Of some blocks: for each text its row in ``part``, id, times and first place, and all places in the order of the texts."""
+    n = part["texts"].to_numpy().astype(np.int64)
+    values = part["packed"].to_pylist()
+    words = np.frombuffer(b"".join(values), np.uint32).astype(np.int64)
+    size = np.array([len(v) for v in values], np.int64) // 4
+    base, first = np.cumsum(size) - size, np.cumsum(n) - n
+    row = np.repeat(np.arange(len(n)), n)
+    j = np.arange(len(row)) - first[row]
+    ids = _running(words[base[row] + 2 * j] | (words[base[row] + 2 * j + 1] << 32), first, n) + part["low"].to_numpy()[row]
+    times = words[base[row] + 2 * n[row] + j]
+    m = size - 3 * n
+    places = words[np.repeat(base + 3 * n - (np.cumsum(m) - m), m) + np.arange(m.sum())]
+    begin = np.cumsum(times) - times
+    places = _running(places, begin, times)
+    return row, ids, times, places[begin], places
+
+
+def _counted(parts):
+    """(segment, inside, offset, texts, packed) -> segment, id, n, at."""
+    for b in parts:
+        row, ids, times, firsts, _ = _unpack(b)
+        inside, offset = b["inside"].to_numpy()[row], b["offset"].to_numpy()[row]
+        yield pa.RecordBatch.from_arrays([b["segment"].take(pa.array(row)), pa.array(ids), pa.array((inside * times).astype(np.int64)), pa.array((firsts + offset).astype(np.int32))], names=["segment", "id", "n", "at"])
+
+
+def _placed(parts):
+    """(segment, shift, texts, packed) -> segment, id, at: every place of the terms, moved by shift."""
+    for b in parts:
+        row, ids, times, _, places = _unpack(b)
+        each = np.repeat(row, times)
+        yield pa.RecordBatch.from_arrays([b["segment"].take(pa.array(each)), pa.array(np.repeat(ids, times)), pa.array((places + b["shift"].to_numpy()[each]).astype(np.int32))], names=["segment", "id", "at"])
+
+
+def _whole(parts):
+    """(segment, texts, packed) -> segment, id."""
+    for b in parts:
+        row, ids, *_ = _unpack(b)
+        yield pa.RecordBatch.from_arrays([b["segment"].take(pa.array(row)), pa.array(ids)], names=["segment", "id"])
+
+
 def _postings(batches):
-    """(id, low) -> term, id, places."""
+    """(id, lower) -> blocks of postings."""
+    ids, texts, size = [], [], 0
     for b in batches:
-        for rid, low in zip(b["id"].to_pylist(), b["low"].to_pylist(), strict=True):
-            places: dict[str, list[int]] = {}
-            for m in re.finditer(r"\S+", low or ""):
-                places.setdefault(m.group(), []).append(m.start())
-            terms = list(places)
-            for lo in range(0, len(terms), 20_000):
-                own = terms[lo : lo + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([rid] * len(own), pa.int64()), pa.array([places[t] for t in own], pa.list_(pa.int32()))], names=["term", "id", "places"])
+        for rid, low in zip(b["id"].to_pylist(), b["lower"].to_pylist(), strict=True):
+            ids.append(rid)
+            texts.append(low or "")
+            size += len(texts[-1])
+            if size >= BLOCK_CHARS:
+                yield _block(ids, texts)
+                ids, texts, size = [], [], 0
+    if ids:
+        yield _block(ids, texts)
 
 
 def _grams(batches):
-    for b in batches:
-        for t in b["term"].to_pylist():
-            own = sorted({t[i : i + 3] for i in range(max(1, len(t) - 2))})
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([t] * len(own), pa.string())], names=["gram", "term"])
+    """(number, term) -> for each trigram of some terms, their numbers."""
+    for whole in batches:
+        for lo in range(0, whole.num_rows, BLOCK_TERMS):
+            b, held = whole.slice(lo, BLOCK_TERMS), {}
+            for n, t in zip(b["number"].to_pylist(), b["term"].to_pylist(), strict=True):
+                for g in {t[i : i + 3] for i in range(max(1, len(t) - 2))}:
+                    held.setdefault(g, []).append(n)
+            values = list(held.values())
+            flat = np.fromiter((n for v in values for n in v), np.int64)
+            starts = np.cumsum([0, *map(len, values)])[:-1]
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([v[0] for v in values], pa.int64()), _lists(flat, starts, pa.int64())], names=["gram", "low", "numbers"])
 
 
 class TextIndex:
@@ -65,12 +172,17 @@ class TextIndex:
         name = self.snap.new("segments", manifest["version"] + 1)
         base = f"{self.snap.path}/{name}"
         n = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        docs.select(F.col("id").cast("long").alias("id"), F.char_length("content").alias("n_chars"), F.char_length(F.lower("content")).alias("n_lower"), "content").repartitionByRange(n, "id").sortWithinPartitions("id").write.parquet(f"{base}/docs")
-        held = self._read(f"{name}/docs", "docs")
-        held.select("id", F.lower("content").alias("low")).mapInArrow(_postings, TABLES["postings"]).repartitionByRange(n, "term", "id").sortWithinPartitions("term", "id").write.parquet(f"{base}/postings")
-        self._read(f"{name}/postings", "postings").groupBy("term").agg(F.count("*").alias("texts")).repartitionByRange(n, "term").sortWithinPartitions("term").write.parquet(f"{base}/terms")
-        self._read(f"{name}/terms", "terms").select("term").mapInArrow(_grams, TABLES["grams"]).repartitionByRange(n, "gram", "term").sortWithinPartitions("gram", "term").write.parquet(f"{base}/grams")
-        (self.spark.createDataFrame([], TABLES["gone"]) if gone is None else gone.select(F.col("id").cast("long").alias("id")).distinct()).write.parquet(f"{base}/gone")
+
+        def write(df: DataFrame, kind: str) -> DataFrame:
+            df.write.option("compression", "zstd").parquet(f"{base}/{kind}")
+            return self._read(f"{name}/{kind}", kind)
+
+        held = write(docs.select(F.col("id").cast("long").alias("id"), F.char_length("content").alias("n_chars"), F.char_length(F.lower("content")).alias("n_lower"), "content"), "docs")
+        postings = write(held.select("id", F.lower("content").alias("lower")).where("id is not null").mapInArrow(_postings, TABLES["postings"]).repartitionByRange(n, "term", "low").sortWithinPartitions("term", "low"), "postings")
+        counted = postings.groupBy("term").agg(F.sum(F.col("texts").cast("long")).alias("texts"))
+        terms = write(counted.repartitionByRange(n, "term").sortWithinPartitions("term").withColumn("number", F.monotonically_increasing_id()), "terms")
+        write(terms.select("number", "term").mapInArrow(_grams, TABLES["grams"]).repartitionByRange(n, "gram", "low").sortWithinPartitions("gram", "low"), "grams")
+        write(self.spark.createDataFrame([], TABLES["gone"]) if gone is None else gone.select(F.col("id").cast("long").alias("id")).distinct(), "gone")
         self.snap.commit({**manifest, "version": manifest["version"] + 1, "segments": [*keep, name]})
 
     def _read(self, name: str, kind: str) -> DataFrame:
@@ -113,28 +225,47 @@ class TextIndex:
     # lookup
 
     def terms(self, word: str) -> DataFrame:
-        """The terms that contain a word, by the word's trigrams; a shorter word by the trigrams that begin with it or end a term."""
+        """The terms that contain a word, by the trigrams of the word; for a shorter word by those that contain it."""
         if len(word) >= 3:
             grams = sorted({word[i : i + 3] for i in range(len(word) - 2)})
-            found = self._table("grams").where(F.col("gram").isin(grams)).groupBy("term").agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(grams))
+            found = self._table("grams").where(F.col("gram").isin(grams)).select("segment", "gram", F.explode("numbers").alias("number"))
+            found = found.groupBy("segment", "number").agg(F.count("*").alias("n")).where(F.col("n") == len(grams))
         else:
-            found = self._table("grams").where(F.contains("gram", F.lit(word))).select("term").distinct()
-        return found.where(F.contains("term", F.lit(word))).select("term")
+            found = self._table("grams").where(F.contains("gram", F.lit(word))).select("segment", F.explode("numbers").alias("number")).distinct()
+        few = found.select("segment", "number").limit(INLINE + 1).collect()
+        every = self._table("terms")
+        if len(few) <= INLINE:
+            every = every.where(F.col("number").isin([r["number"] for r in few])) if few else every.where(F.lit(False))
+        else:
+            every = every.join(found.select("segment", "number"), ["segment", "number"], "left_semi")
+        return every.where(F.contains("term", F.lit(word))).select("term").distinct()
 
     def postings(self, terms: DataFrame) -> DataFrame:
-        """Postings of terms: by values that the row groups' statistics meet if they are few, else by a join."""
+        """Blocks of postings of terms: by values that the row groups' statistics meet if they are few, else by a join."""
         few = [r[0] for r in terms.limit(INLINE + 1).collect()]
         every = self._table("postings")
         if len(few) <= INLINE:
-            return self._live(every.where(F.col("term").isin(few)) if few else every.where(F.lit(False)))
-        return self._live(every.join(terms, "term", "left_semi"))
+            return every.where(F.col("term").isin(few)) if few else every.where(F.lit(False))
+        return every.join(terms, "term", "left_semi")
 
     def occurrences(self, word: str) -> DataFrame:
         """``id, count, first``: a lower-case word's occurrences in each text, counted without overlaps, and the first one's place."""
         inside = (F.char_length("term") - F.char_length(F.replace("term", F.lit(word), F.lit("")))) / F.lit(len(word))
-        p = self.postings(self.terms(word)).select("id", (inside * F.size("places")).cast("long").alias("n"), (F.array_min("places") + F.instr("term", word) - 1).alias("at"))
+        blocks = self.postings(self.terms(word)).select("segment", inside.cast("int").alias("inside"), (F.instr("term", word) - 1).alias("offset"), "low", "texts", "packed")
+        p = self._live(blocks.mapInArrow(_counted, "segment int, id long, n long, at int"))
         return p.groupBy("id").agg(F.sum("n").alias("count"), F.min("at").alias("first"))
 
+    def _adjacent(self, first: str, second: str) -> DataFrame:
+        """``id`` of the texts in which a term that ends with ``first`` stands one character before a term that begins with ``second``."""
+
+        def at(terms: DataFrame, shift: Column) -> DataFrame:
+            blocks = self.postings(terms).select("segment", shift.cast("int").alias("shift"), "low", "texts", "packed")
+            return self._live(blocks.mapInArrow(_placed, "segment int, id long, at int")).select("id", "at")
+
+        ends = at(self.terms(first).where(F.endswith("term", F.lit(first))), F.char_length("term") + 1)
+        begins = at(self.terms(second).where(F.startswith("term", F.lit(second))), F.lit(0))
+        return ends.join(begins, ["id", "at"], "left_semi").select("id").distinct()
+
     def _words(self, words: list[str], every: bool) -> DataFrame:
         """``id`` and ``count_i, first_i`` for each word; rows that have all words, or any."""
         out = None
@@ -153,15 +284,18 @@ class TextIndex:
     def candidates(self, phrase: str, at: str = "phrase") -> DataFrame:
         """``id`` of the texts that can match: those that have the rarest of the words inside the phrase, which are whole terms.
 
-        Without such a word, or where each word may be part of a term (contains), those that have all words, of which the
-        JOINED longest are looked up.
+        A phrase of two words needs them side by side.  Of one word, or where each word may be part of a term (contains),
+        those that have all words, of which the JOINED longest are looked up.
         """
         words = phrase.split()
-        inner = sorted(set(words[1:-1])) if at != "contains" else []
-        if inner:
+        if at != "contains" and len(words) > 2:
+            inner = sorted(set(words[1:-1]))
             seen = {r["term"]: r["n"] for r in self._table("terms").where(F.col("term").isin(inner)).groupBy("term").agg(F.sum("texts").alias("n")).collect()}
             rarest = min(inner, key=lambda w: (seen.get(w, 0), w))
-            return self._live(self._table("postings").where(F.col("term") == rarest)).select("id").distinct()
+            blocks = self._table("postings").where(F.col("term") == rarest).select("segment", "low", "texts", "packed")
+            return self._live(blocks.mapInArrow(_whole, "segment int, id long")).select("id").distinct()
+        if at != "contains" and len(words) == 2 and phrase.strip() == phrase and len(phrase) == len(words[0]) + len(words[1]) + 1:
+            return self._adjacent(*words)
         return self._words(sorted(set(words), key=lambda w: (-len(w), w))[:JOINED], True).select("id")
 
     # searches
