@@ -7,8 +7,10 @@ multisets, ``sum(len * min(counts)) / sum(len * max(counts))``.
 A window that shares no shingle with an item has similarity 0, so only windows that cover a benchmark shingle
 are fingerprinted (an exact filter).  Fingerprints have 64 bits in 8 blocks; for each block, items are kept sorted by
 its value, and a window probes the values within two bits of its own: by the pigeonhole principle this finds every
-fingerprint within 23 bits.  Two texts of similarity 0.8 differ in about 10 bits (standard deviation 3).  Candidates
-are verified on their words.  An index is a few arrays; windows are searched in steps of at most PAIRS probed pairs.
+fingerprint within 23 bits.  Two texts of similarity 0.8 differ in about 10 bits (standard deviation 3).  Of
+those, only pairs whose hits weigh enough to reach the threshold (prefix sums over the hits of an item bound what it can
+share with a window) are verified on their words, and not where another window is known to be more alike.  An index is
+a few arrays; windows are searched in steps of at most PAIRS probed pairs, hits are dealt in steps of about HITS.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ BLOCK_CHARS = 8 << 20
 RADIUS, BLOCKS, NEAR = 23, 8, 2
 #: Window and item pairs that a step of the search probes, windows that are fingerprinted at once, and items whose shingles a worker holds.
 PAIRS, WINDOWS, HELD = 1 << 17, 4096, 2000
+#: Pairs of a shingle in a text and an item that has it, held at once.
+HITS = 1 << 20
 
 #: For each value of a block, those within NEAR bits of it.
 _NEAR = np.array([[v for v in range(256) if (u ^ v).bit_count() <= NEAR] for u in range(256)], np.int64)
@@ -67,6 +71,7 @@ class Index:
         self.ids = [i for i, _ in items]
         self.words = [w for _, w in items]
         self.prints = prints.view(U)[:, 0]
+        self.weights = np.array([sum(len(x) * min(j + 1, k, size - j, size - k + 1) for j, x in enumerate(w.split(" "))) for _, w in items], np.int64)
         self.order, self.begin = [], []
         for b in range(BLOCKS):
             self.order.append(np.argsort(prints[:, b], kind="stable").astype(np.int32))
@@ -164,6 +169,7 @@ def _find(shared, threshold: float):
 def find(texts: list, indexes: list[Index], lookup: dict, threshold: float, ids: list) -> list[tuple]:
     """(id, item, first word, words, similarity) of the best window of each text and item that reach the threshold."""
     w, out = Words(texts), {}
+    share = threshold / (1 + threshold)
     for k, (keys, begin, owners, numbers, bits) in lookup.items():
         every = join_hash(w.hash, k)
         at = np.flatnonzero(bits[every >> U(44)])
@@ -173,35 +179,60 @@ def find(texts: list, indexes: list[Index], lookup: dict, threshold: float, ids:
         ok[ok] = keys[key[ok]] == every[at[ok]]
         at, key = at[ok], key[ok]
         n = begin[key + 1] - begin[key]
-        place = np.repeat(at, n)
-        post = np.repeat(begin[key] - np.cumsum(n) + n, n) + np.arange(len(place))
-        order = np.lexsort((place, owners[post], w.doc[place]))
-        place, owner, number = place[order], owners[post][order], numbers[post][order]
-        edges = np.flatnonzero((np.diff(w.doc[place], prepend=-1) != 0) | (np.diff(owner, prepend=-1) != 0))
-        for s, e in zip(edges.tolist(), [*edges[1:].tolist(), len(place)][: len(edges)], strict=True):
-            d, own = int(w.doc[place[s]]), indexes[owner[s]]
-            first, last = int(w.first[d]), int(w.first[d + 1])
-            m = min(own.size, last - first)  # a text shorter than the item is one window, whole
-            hits = np.sort((number[s:e].astype(np.int64) << 40) + place[s:e])  # by item, then place
-            for begin_, end in _runs(place[s:e].tolist(), m - k, first, last - m):
-                for lo in range(begin_, end + 1, WINDOWS):
-                    hi = min(lo + WINDOWS - 1, end)
-                    h, lens = _hashed(w, k, lo, hi + m)
-                    # only pairs that share a shingle: the item's first hit from the window's begin on lies in the window
-                    def shares(v, i, lo=lo, back=m - k, hits=hits):
-                        seek = (i << 40) + lo + v
-                        nxt = hits[np.minimum(np.searchsorted(hits, seek), len(hits) - 1)]
-                        return (nxt >= seek) & (nxt <= seek + back)
-
-                    found, item = own.search(simhash(h, lens, m - k + 1), shares)
-                    held, shown = -1, Counter()
-                    for v, i in zip(found.tolist(), item.tolist(), strict=True):
-                        if v != held:
-                            held, shown = v, shingles(w.text(d, lo + v, lo + v + m), k)
-                        sim = similarity(shown, own.shingles(i))
-                        if sim >= threshold:
-                            pair, best = (d, own.ids[i]), (-sim, lo + v - first, m)
-                            out[pair] = min(out.get(pair, best), best)
+        lengths = np.concatenate(([0], np.cumsum(w.end - w.start)))
+        most = max((x.size for x in indexes if x.k == k), default=k) - k
+        # windows by ranges of their starts, so that about HITS pairs of a hit and an item are there at once
+        cuts = np.unique(np.searchsorted(np.cumsum(n), np.arange(0, n.sum(), HITS)))
+        for a, b in zip([0, *at[cuts[1:]].tolist()], [*at[cuts[1:]].tolist(), len(w.hash)], strict=True):
+            lo_hit, hi_hit = np.searchsorted(at, [a, b + most])
+            own_n = n[lo_hit:hi_hit]
+            place = np.repeat(at[lo_hit:hi_hit], own_n)
+            post = np.repeat(begin[key[lo_hit:hi_hit]] - np.cumsum(own_n) + own_n, own_n) + np.arange(len(place))
+            order = np.lexsort(((numbers[post].astype(np.int64) << 40) + place, w.doc[place] * len(indexes) + owners[post]))
+            place, owner, number = place[order], owners[post][order], numbers[post][order]
+            edges = np.flatnonzero((np.diff(w.doc[place], prepend=-1) != 0) | (np.diff(owner, prepend=-1) != 0))
+            for s, e in zip(edges.tolist(), [*edges[1:].tolist(), len(place)][: len(edges)], strict=True):
+                d, own = int(w.doc[place[s]]), indexes[owner[s]]
+                first, last = int(w.first[d]), int(w.first[d + 1])
+                m = min(own.size, last - first)  # a text shorter than the item is one window, whole
+                at_, item_at = place[s:e], number[s:e]
+                hits = (item_at.astype(np.int64) << 40) + at_  # by item, then place
+                weight = np.concatenate(([0], np.cumsum(lengths[at_ + k] - lengths[at_])))
+                # a window shares at most its hits' weight, which must be the threshold's part of the item's
+                most_shared = weight[np.searchsorted(hits, hits + m - k, "right")] - weight[:-1]
+                leads = np.unique(at_[most_shared >= threshold * own.weights[item_at] - 1e-6])
+                for begin_, end in _runs(leads.tolist(), m - k, max(first, a), min(last - m, b - 1)):
+                    for lo in range(begin_, end + 1, WINDOWS):
+                        hi = min(lo + WINDOWS - 1, end)
+                        h, lens = _hashed(w, k, lo, hi + m)
+                        window = np.concatenate(([0], np.cumsum(lens)))
+                        window = window[m - k + 1 :] - window[: -(m - k + 1)]
+
+                        def reach(v, i, lo=lo, back=m - k, hits=hits, weight=weight, window=window, own=own):
+                            """The most weight that a window and an item can share, all their hits, and the weight of both."""
+                            seek = (i << 40) + lo + v
+                            return weight[np.searchsorted(hits, seek + back, "right")] - weight[np.searchsorted(hits, seek)], window[v] + own.weights[i]
+
+                        def could(v, i, reach=reach):
+                            shared, both = reach(v, i)
+                            return (shared > 0) & (shared >= share * both - 1e-6)
+
+                        found, item = own.search(simhash(h, lens, m - k + 1), could)
+                        if not len(found):
+                            continue
+                        shared, both = reach(found, item)
+                        bound = shared / np.maximum(both - shared, 1e-9)
+                        held, shown = -1, Counter()
+                        for v, i, most_like in zip(found.tolist(), item.tolist(), bound.tolist(), strict=True):
+                            pair = (d, own.ids[i])
+                            if pair in out and most_like < -out[pair][0] - 1e-9:
+                                continue  # another window is more alike than this one can be
+                            if v != held:
+                                held, shown = v, shingles(w.text(d, lo + v, lo + v + m), k)
+                            sim = similarity(shown, own.shingles(i))
+                            if sim >= threshold:
+                                best = (-sim, lo + v - first, m)
+                                out[pair] = min(out.get(pair, best), best)
     return [(ids[d], i, start, m, -sim) for (d, i), (sim, start, m) in sorted(out.items())]
 
 

@@ -8,6 +8,8 @@ import re
 import struct
 import subprocess
 import sys
+import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -286,6 +288,48 @@ print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
     assert int(out.split()[-1]) < 300
 
 
+def test_decontamination_of_a_shared_phrase():
+    """Items that share a sentence with texts that repeat it: nothing reaches the threshold, and the shared weight says so at once."""
+    rng = random.Random(3)
+    shared = "which of the following statements is certainly true".split()
+    items = [(i, " ".join([*shared, *words(rng, 20, 4000)])) for i in range(2000)]
+    text = " ".join(" ".join([*shared, *words(rng, 20, 4000)]) for _ in range(500))
+    planted = text + " " + items[77][1]
+    indexes, lookup = decontaminate.build(items, 5)
+    tracemalloc.start()
+    begin = time.perf_counter()
+    found = decontaminate.find([text, planted], indexes, lookup, 0.8, [1, 2])
+    took, most = time.perf_counter() - begin, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(d, i) for d, i, *_ in found] == [(2, 77)] and found[0][-1] == 1.0
+    assert took < 10 and most < 300 << 20
+
+
+@pytest.mark.parametrize("hits", [50, 1 << 20])
+def test_decontamination_in_steps(monkeypatch, hits):
+    """Hits dealt in small steps give the same as all at once, by brute force over repeated and overlapping items."""
+    monkeypatch.setattr(decontaminate, "HITS", hits)
+    rng = random.Random(11)
+    base = words(rng, 30, 40)
+    items = [(i, " ".join(base[: rng.randrange(6, 30)])) for i in range(12)] + [(20 + i, " ".join(words(rng, 9, 12))) for i in range(20)]
+    texts = [" ".join(words(rng, 40, 40) + base + base[:12] + words(rng, 30, 12) + base) for _ in range(4)] + [items[3][1], "a b c"]
+    indexes, lookup = decontaminate.build(items, 5)
+    got = {(d, i): (s, n, round(sim, 9)) for d, i, s, n, sim in decontaminate.find(texts, indexes, lookup, 0.8, list(range(len(texts))))}
+    want = {}
+    for d, t in enumerate(texts):
+        w = decontaminate.item_words(t)
+        for i, it in items:
+            x = decontaminate.item_words(it)
+            m = min(len(x), len(w))
+            if m < 5:
+                continue
+            sims = [(decontaminate.similarity(decontaminate.shingles(w[s : s + m], 5), decontaminate.shingles(x, 5)), -s) for s in range(len(w) - m + 1)]
+            best = max(sims)
+            if best[0] >= 0.8:
+                want[d, i] = (-best[1], m, round(best[0], 9))
+    assert got == want
+
+
 def test_decontamination_by_text(spark):
     """Rows that share an id but not the text are told apart."""
     item = " ".join(words(random.Random(3), 30))
