@@ -4,8 +4,13 @@ A page is scanned once, by HTML's rules for tags and attributes, and cut into bl
 decides each block from its length, its density of stop words and its density of links, and from the elements around
 it (navigation, headers, footers, sidebars, forms, adverts, notices and comments are never text, by element, role or
 name).  Pass two gives each undecided block the label of its nearest decided neighbour; where there is none it is text.
-Where a page has an article or main element, only its blocks count.  On a page without any stop word, length and
-links alone decide.
+
+What a tag says is weighed by the text in it.  Articles and main elements compete by mass (characters outside links and
+of elements that are never text): those with LARGE of the largest one's are the page, if they have HALF of all; else
+any block may be text and the other articles' short blocks aren't.  Forms, headers, footers and elements of which a
+part of the name tells against them stay out unless they hold HALF of the page's mass, as a form round a page does, or
+ALL but a little of it.
+Stop words decide only where most of the page's long text has them, and only for blocks in Latin letters.
 """
 
 from __future__ import annotations
@@ -35,7 +40,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose inside, up to the closing tag, isn't looked at; those that end a word are replaced by a space.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math select datalist canvas object audio video".split())
 #: Blocks that are never text, and controls: a block of their words alone is none either.
-NEVER = frozenset("aside dialog fieldset footer form head header menu nav search".split())
+NEVER = frozenset("aside dialog head menu nav search".split())
+#: Those that are text if they hold most of the page.
+SELDOM = frozenset("fieldset footer form header".split())
 CONTROL = frozenset("button label option output meter progress".split())
 MAIN = frozenset("article main".split())
 #: A name tells that an element isn't text if it is one of these, or made of these and fillers alone.
@@ -44,6 +51,13 @@ BAD_PARTS = frozenset(
     masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion recommended recommendations related replies reply respond responses share sharing
     sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets""".split()
 )
+#: Parts that tell in any name, unless its last part tells of a page's text or its first one of a page's form.
+TELLING = frozenset(
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies footer gdpr menu modal nav navbar newsletter overlay pagination popup promo rail related sidebar sponsor sponsored subscribe subscription teaser teasers".split()
+)
+TEXTUAL = frozenset("article body content entry main page story text wrapper".split())
+FORMAL = frozenset("has is no not with without".split())
+LABELS = frozenset("advertisement advertisements ad sponsored promoted anzeige werbung publicité publicidad".split())
 FILLERS = frozenset(
     """and area article articles author aux bar block bottom box btn button buttons by center col column container content count div entries entry fixed form global group header holder icon icons
     inner item items label left link links list main mobile module more news outer page panel post posts primary right row secondary section site slot small sticky stories story text
@@ -56,6 +70,9 @@ NOTICE = re.compile(r"(?:©|\(c\)|copyright\b|all rights reserved)", re.I)
 
 #: Blocks of at least LONG characters are long; densities are shares of words and of characters.
 LONG, STOP_HIGH, STOP_LOW, LINKS = 70, 0.25, 0.08, 0.5
+#: Shares of mass, and how deep elements that are seldom text are told apart; deeper ones are never text.
+LARGE, HALF, ALL, DEPTH = 0.4, 0.5, 0.9, 8
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _NAME = re.compile(r"[^\s/>]*")
 _GAP = re.compile(r"[\s/]*")
@@ -105,6 +122,15 @@ def bad_name(value: str, header: bool) -> bool:
     return False
 
 
+def telling(value: str) -> bool:
+    """Whether a part of one of the names speaks against an element."""
+    for name in value.split():
+        parts = [p for p in re.split(r"[-_\d]+", _CAMEL.sub(r"\1-\2", name).lower()) if p]
+        if any(p in TELLING for p in parts) and parts[-1] not in TEXTUAL and parts[0] not in FORMAL:
+            return True
+    return False
+
+
 def named_bad(name: str, attrs: dict[str, str], main: int) -> bool:
     """Whether an element's names, role or style say that it isn't text."""
     if bad_name(attrs.get("class", ""), not main) or (name not in TITLED and bad_name(attrs.get("id", ""), not main)):
@@ -115,10 +141,16 @@ def named_bad(name: str, attrs: dict[str, str], main: int) -> bool:
 
 
 class Block:
-    __slots__ = ("bad", "main", "text", "links", "label")
+    """bad: never text; seldom: the numbers, negative for headers and footers, of the elements around it that are text only if they are most of the page; tag: the innermost block element."""
+
+    __slots__ = ("bad", "main", "text", "links", "label", "seldom", "tag")
+
+    def __init__(self, text: str, links: float, bad: bool, main: int, seldom: tuple = (), tag: str = ""):
+        self.text, self.links, self.bad, self.main, self.label, self.seldom, self.tag = text, links, bad, main, None, seldom, tag
 
-    def __init__(self, text: str, links: float, bad: bool, main: int):
-        self.text, self.links, self.bad, self.main, self.label = text, links, bad, main, None
+    @property
+    def mass(self) -> float:
+        return 0.0 if self.bad else len(self.text) * (1 - self.links)
 
 
 class _Page:
@@ -127,10 +159,10 @@ class _Page:
     def __init__(self):
         self.out: list[Block] = []
         self.stack: list[tuple[str, bool]] = []  # name, whether inline
-        self.around: list[tuple[bool, int]] = []  # bad and main of each open block
+        self.around: list[tuple[bool, int, tuple, str]] = []  # bad, main, seldom and tag of each open block
         self.open: dict[str, int] = {}
         self.texts: list[str] = []
-        self.linked = self.controls = self.mains = self.muted = self.in_control = 0
+        self.linked = self.controls = self.mains = self.muted = self.in_control = self.seldoms = 0
         self.link_depth = -1  # of the stack, where an open link began
 
     def add(self, piece: str) -> None:
@@ -141,20 +173,20 @@ class _Page:
             self.linked += size if self.link_depth >= 0 else 0
             self.controls += size if self.in_control else 0
 
-    def context(self) -> tuple[bool, int]:
-        """(bad, main) of the block around."""
-        return self.around[-1] if self.around else (False, 0)
+    def context(self) -> tuple[bool, int, tuple, str]:
+        """(bad, main, seldom, tag) of the block around."""
+        return self.around[-1] if self.around else (False, 0, (), "")
 
     def flush(self) -> None:
         if self.texts:
             text = " ".join("".join(self.texts).split())
             if text:
-                bad, main = self.context()
-                self.out.append(Block(text, min(1.0, self.linked / len(text)), bad or self.controls >= 0.9 * len(text.replace(" ", "")), main))
+                bad, main, seldom, tag_ = self.context()
+                self.out.append(Block(text, min(1.0, self.linked / len(text)), bad or self.controls >= 0.9 * len(text.replace(" ", "")), main, seldom, tag_))
             self.texts.clear()
         self.linked = self.controls = 0
 
-    def push(self, name: str, block: tuple[bool, int] | None) -> None:
+    def push(self, name: str, block: tuple[bool, int, tuple, str] | None) -> None:
         """Opens a block, or an inline element whose words go."""
         self.stack.append((name, block is None))
         self.open[name] = self.open.get(name, 0) + 1
@@ -187,12 +219,17 @@ class _Page:
             # an open paragraph ends where a block begins; an item where the next begins
             while self.stack and (self.stack[-1][0] == "p" or self.stack[-1][1] or self.stack[-1][0] == name and name in ("li", "dt", "dd", "td", "th", "tr")):
                 self.pop()
-            bad, main = self.context()
-            bad = bad or (name not in ("html", "body") and named_bad(name, attrs, main))
+            bad, main, seldom, _ = self.context()
+            plain = name in ("html", "body")
+            bad = bad or (not plain and named_bad(name, attrs, main)) or name in NEVER
             if name in MAIN and not main and not bad:
                 self.mains += 1
                 main = self.mains
-            self.push(name, (bad or (name in NEVER and not (name == "header" and main)), main))
+            names = (attrs.get("class", ""), "" if name in TITLED else attrs.get("id", ""))
+            if not bad and not plain and (name in SELDOM and not (name == "header" and main) or telling(names[0]) or telling(names[1])):
+                self.seldoms += 1
+                bad, seldom = len(seldom) >= DEPTH, (*seldom, -self.seldoms if name in ("header", "footer") else self.seldoms)
+            self.push(name, (bad, main, seldom, name))
         elif name not in VOID and not closed and attrs and named_bad(name, attrs, self.context()[1]):
             self.push(name, None)  # its words go, the block around it isn't cut
 
@@ -248,21 +285,63 @@ def blocks(page: str) -> list[Block]:
     return p.out
 
 
+def _latin(text: str) -> bool:
+    """Whether at least half of the letters are Latin ones."""
+    letters = [c for c in text if c.isalpha()]
+    return 2 * sum(c < "\u0250" for c in letters) >= len(letters)
+
+
+def _weigh(found: list[Block]) -> set[int]:
+    """Judges the elements that are seldom text, and tells which articles and main elements are the page; none if the page's text is elsewhere."""
+    total, named, inside, named_inside = 0.0, 0.0, {}, {}
+    for b in found:
+        total += b.mass
+        named += b.mass if b.main else 0.0
+        for r in b.seldom:
+            inside[r] = inside.get(r, 0.0) + b.mass
+            named_inside[r] = named_inside.get(r, 0.0) + (b.mass if b.main else 0.0)
+
+    def holds(r: int) -> bool:
+        """Most of the page; nearly all of it in a header or footer (negative numbers), or beside an article, which a header or footer never is."""
+        beside = named > named_inside[r]
+        return inside[r] >= (ALL if beside or r < 0 else HALF) * total and not (beside and r < 0)
+
+    headed = any(b.tag == "h1" and not b.bad and not b.seldom for b in found)
+    for b in found:
+        lost = [r for r in b.seldom if not holds(r)]
+        # a page's only headline may stand in its header
+        b.bad = b.bad or bool(lost) and not (b.tag == "h1" and not headed and len(lost) == 1 and b.links <= LINKS)
+    mass = {}
+    for b in found:
+        mass[b.main] = mass.get(b.main, 0.0) + b.mass
+    whole, most = sum(mass.values()), max((m for k, m in mass.items() if k), default=0.0)
+    page = {k for k, m in mass.items() if k and m >= LARGE * most}
+    return page if sum(mass[k] for k in page) >= HALF * whole else set()
+
+
 def classify(found: list[Block]) -> list[Block]:
     """Sets ``label`` of each block: True for text."""
-    only = {b.main for b in found if not b.bad} - {0}
+    only = _weigh(found)
     stops, counts = [], []
     for b in found:
         words = b.text.lower().split()
         stops.append(sum(map(STOP_WORDS.__contains__, words)))
         counts.append(len(words))
-    own = [k for k, b in enumerate(found) if not (b.bad or (only and not b.main) or b.links > LINKS)]
-    speaks = any(stops[k] for k in own)  # else the page's language isn't one of the stop words'
+
+    def listed(b: Block) -> bool:
+        """More links than text; a heading or paragraph of the page's main part isn't a list."""
+        return b.links > LINKS and not (b.main in only and (b.tag == "p" or b.tag in HEADINGS))
+
+    own = [k for k, b in enumerate(found) if not (b.bad or (only and b.main not in only) or listed(b) or b.text.lower() in LABELS)]
+    long = [k for k in own if len(found[k].text) >= LONG]
+    # else the page's language isn't one of the stop words'
+    speaks = 2 * sum(len(found[k].text) for k in long if stops[k] >= STOP_LOW * counts[k]) >= sum(len(found[k].text) for k in long) and any(stops[k] for k in own)
     for k in own:
         b, stop = found[k], stops[k] / counts[k]
-        if len(b.text) >= LONG and (stop >= STOP_HIGH or b.main or not speaks):
+        told = speaks and (stop >= STOP_LOW or _latin(b.text))
+        if len(b.text) >= LONG and (stop >= STOP_HIGH or b.main in only or not told):
             b.label = True
-        elif len(b.text) >= LONG and stop < STOP_LOW or (not b.main and len(b.text) < 3 * LONG and NOTICE.match(b.text)):
+        elif len(b.text) >= LONG and stop < STOP_LOW or (b.main not in only and len(b.text) < 3 * LONG and NOTICE.match(b.text)) or (b.main and not only and len(b.text) < LONG):
             b.label = False
     decided = [b.label is not None for b in found]
     near: list[list[tuple[int, bool]]] = [[] for _ in found]

@@ -642,6 +642,65 @@ def test_html_cases(page, want):
     assert html_blocks.main_text(page) == want
 
 
+PART = "The main part of this page is a text that has to stay, and it is as long as a paragraph of an article is. " * 3
+PART = PART.strip()
+GREEK = "Η γρήγορη καφέ αλεπού πηδάει πάνω από το τεμπέλικο σκυλί και φεύγει μακριά " * 6
+GREEK = GREEK.strip()
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f'<article><h2>Promo</h2></article><div class="post-body"><p>{PART}</div>', PART),
+        (f"<div id=content><h1>Title</h1><p>{PART}</div><article><p>tiny</article>", f"Title\n\n{PART}"),
+        (f"<form id=aspnetForm><div><p>{PART}</div></form>", PART),
+        (f"<form id=aspnetForm><div class=footer-legal>{LONG_ONE}</div><div><p>{PART}</div></form>", PART),
+        (f"<p>{GREEK}</p><div>Posted in the news</div>", f"{GREEK}\n\nPosted in the news"),
+        (f'<article><h2><a href="#s">Section heading</a></h2><p>{PART}</p><p><a href=x>{LONG_ONE}</a></p></article>', f"Section heading\n\n{PART}\n\n{LONG_ONE}"),
+        (f"<header><h1>Headline</h1></header><div><p>{PART}</div>", f"Headline\n\n{PART}"),
+        (f"<header><h1>Site</h1></header><div><h1>Headline</h1><p>{PART}</div>", f"Headline\n\n{PART}"),
+        (f'<article><p>{PART}</article><article class="teaser"><p>{LONG_ONE}</article>', PART),
+        (f"<article><p>{PART}</article><article><p>Read this one too.</article>", PART),
+        (f"<article><p>{PART}</p><p>Advertisement</p></article>", PART),
+        (f"<article><p>Brief. It is.</p></article><footer>{LONG_ONE}</footer>", "Brief. It is."),
+        (f"<p>Brief. It is.</p><footer>{LONG_ONE}</footer>", "Brief. It is."),
+        (f'<div><p>{PART}</div><ul class="related-reading"><li>{LONG_ONE}</ul>', PART),
+        *[(f"<div {name}>{LONG_ONE}</div><div><p>{PART}</div>", PART) for name in ('class="left-rail"', 'class="footer-legal"', 'class="ad-slot-300x250"', 'class="cookie-policy-banner"', 'class="consent-overlay-x"', 'id="user-comments"')],
+        *[(f"<div {name}><p>{PART}</div>", PART) for name in ('class="has-sidebar layout"', 'class="page-with-sidebar-main"', 'class="no-ads"')],
+    ],
+)
+def test_html_main_part(page, want):
+    assert html_blocks.main_text(page) == want
+
+
+def test_html_planted_articles():
+    """Articles in random boilerplate of random markup: at least 0.95 F1 of the words."""
+    rng = random.Random(6)
+    sentence = lambda: " ".join(rng.choice("the of and a to in is it that was for on with as at by this from they we text word page thing place year people time work".split()) for _ in range(rng.randrange(8, 20))).capitalize() + "."
+    junk = lambda: f"<a href=/{rng.randrange(99)}>{rng.choice(['Home', 'News', 'About us', 'Read the story of the day'])}</a> "
+    names = ["left-rail", "siteFooter", "ad-unit", "share", "cookie-bar", "user-comments", "newsletter-box", "sidebar", "related-links", "nav-main-top"]
+
+    def boiler():
+        inside = "".join(rng.choice([junk(), f"<p>{sentence()}</p>", f"<li>{junk()}"]) for _ in range(rng.randrange(1, 5)))
+        kind = rng.choice(["nav", "aside", "footer", "div"])
+        return f'<{kind} class="{rng.choice(names)}">{inside}</{kind}>'
+
+    def tokens(t):
+        return Counter(re.findall(r"\w+", t))
+
+    scores = []
+    for _ in range(120):
+        parts = [rng.choice(["<h2>Part</h2>", "<p>So it is.</p>", f"<p>{sentence()} {sentence()} {sentence()}</p>", f"<blockquote>{sentence()} {sentence()}</blockquote>"]) for _ in range(rng.randrange(3, 12))] + [f"<p>{sentence()} {sentence()} {sentence()} {sentence()}</p>"] * 2
+        body, wrap = "".join(parts), rng.choice([("<article>", "</article>"), ("<main>", "</main>"), ('<div class="post-body">', "</div>"), ("<div>", "</div>"), ('<section id="content">', "</section>")])
+        around = [boiler() for _ in range(rng.randrange(2, 7))]
+        cut = rng.randrange(len(around) + 1)
+        page = "".join(around[:cut]) + wrap[0] + body + wrap[1] + "".join(around[cut:])
+        page = f"<form>{page}</form>" if rng.random() < 0.2 else page
+        want, got = tokens(re.sub(r"<[^>]*>", " ", body)), tokens(html_blocks.main_text(page))
+        scores.append(2 * sum((want & got).values()) / max(1, sum(want.values()) + sum(got.values())))
+    assert sum(scores) / len(scores) >= 0.95
+
+
 def test_html_time_is_linear():
     """Bad pages of a megabyte and more, and 100,000 blocks, in seconds."""
     import time
