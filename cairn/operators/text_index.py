@@ -6,8 +6,9 @@ give the word's count and first place in every text, which is all that the keywo
 only to verify whole phrases, and only those of rows that have all of a phrase's words.
 
 The index is a list of segments.  ``add`` writes one for the new rows, ``remove`` one of ids that no longer count in older
-segments, and ``merge`` makes one of all.  Terms, trigrams and postings are range-partitioned and sorted, so the
-statistics of their row groups let a search open few of them, however often a term occurs.
+segments, and ``merge`` makes one of all.  Postings are sorted in blocks of some texts, as the tasks that read the texts
+write them, so that adding shuffles no postings; ``merge`` can sort them over all files.  Terms and trigrams are
+range-partitioned and sorted.  Row groups are small, so their statistics let a search read few of them.
 """
 
 from __future__ import annotations
@@ -27,7 +28,9 @@ INLINE = 500
 #: Words of a query whose postings are joined; texts of queries of more words are read for what the JOINED longest leave.
 JOINED = 8
 #: Characters of the texts that one block of postings, and terms that one block of trigrams, is made of.
-BLOCK_CHARS, BLOCK_TERMS = 4 << 20, 20_000
+BLOCK_CHARS, BLOCK_TERMS = 8 << 20, 20_000
+#: Bytes of a row group.
+ROW_GROUP = 4 << 20
 NAMES = ["term", "low", "texts", "packed"]
 TABLES = {
     "docs": "id long, n_chars int, n_lower int, content string", "postings": "term string, low long, texts int, packed binary",
@@ -57,7 +60,10 @@ def _block(ids: list[int], texts: list[str]) -> pa.RecordBatch:
             docs.append(np.full(len(words), i))
     if not codes:
         return pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.string(), pa.int64(), pa.int32(), pa.binary())], names=NAMES)
-    c, d, p = np.concatenate(codes), np.concatenate(docs), np.concatenate(places)
+    terms = sorted(code)
+    rank = np.empty(len(terms), np.int64)
+    rank[np.fromiter(map(code.__getitem__, terms), np.int64, len(terms))] = np.arange(len(terms))
+    c, d, p = rank[np.concatenate(codes)], np.concatenate(docs), np.concatenate(places)
     order = np.argsort(c, kind="stable")  # texts and places stay in order inside a term
     c, d, p = c[order], d[order], p[order]
     new_term = np.concatenate(([True], c[1:] != c[:-1]))
@@ -79,7 +85,7 @@ def _block(ids: list[int], texts: list[str]) -> pa.RecordBatch:
     words[np.repeat(base + 3 * n - term_at, m) + np.arange(len(p))] = p
     cuts = np.append(base, len(words)).astype(np.int32) * 4
     packed = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(cuts), pa.py_buffer(words)])
-    return pa.RecordBatch.from_arrays([pa.array(list(code), pa.string()), pa.array(low), pa.array(n, pa.int32()), packed], names=NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(low), pa.array(n, pa.int32()), packed], names=NAMES)
 
 
 def _running(steps: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -168,17 +174,18 @@ class TextIndex:
 
     # segments
 
-    def _segment(self, docs: DataFrame, gone: DataFrame | None, manifest: dict, keep: list[str]) -> None:
+    def _segment(self, docs: DataFrame, gone: DataFrame | None, manifest: dict, keep: list[str], whole: bool = False) -> None:
         name = self.snap.new("segments", manifest["version"] + 1)
         base = f"{self.snap.path}/{name}"
         n = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
 
         def write(df: DataFrame, kind: str) -> DataFrame:
-            df.write.option("compression", "zstd").parquet(f"{base}/{kind}")
+            df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(f"{base}/{kind}")
             return self._read(f"{name}/{kind}", kind)
 
         held = write(docs.select(F.col("id").cast("long").alias("id"), F.char_length("content").alias("n_chars"), F.char_length(F.lower("content")).alias("n_lower"), "content"), "docs")
-        postings = write(held.select("id", F.lower("content").alias("lower")).where("id is not null").mapInArrow(_postings, TABLES["postings"]).repartitionByRange(n, "term", "low").sortWithinPartitions("term", "low"), "postings")
+        made = held.select("id", F.lower("content").alias("lower")).where("id is not null").mapInArrow(_postings, TABLES["postings"])
+        postings = write(made.repartitionByRange(n, "term", "low").sortWithinPartitions("term", "low") if whole else made, "postings")
         counted = postings.groupBy("term").agg(F.sum(F.col("texts").cast("long")).alias("texts"))
         terms = write(counted.repartitionByRange(n, "term").sortWithinPartitions("term").withColumn("number", F.monotonically_increasing_id()), "terms")
         write(terms.select("number", "term").mapInArrow(_grams, TABLES["grams"]).repartitionByRange(n, "gram", "low").sortWithinPartitions("gram", "low"), "grams")
@@ -216,10 +223,10 @@ class TextIndex:
         m = self.snap.read()
         self._segment(self.spark.createDataFrame([], "id long, content string"), ids, m, m["segments"])
 
-    def merge(self) -> None:
-        """One segment of all rows that count; the old ones go."""
+    def merge(self, sort: bool = False) -> None:
+        """One segment of all rows that count; the old ones go.  sort: postings are range-partitioned by their terms over all files, at the cost of a shuffle."""
         m = self.snap.read()
-        self._segment(self.docs().select("id", "content"), None, m, [])
+        self._segment(self.docs().select("id", "content"), None, m, [], sort)
         self.snap.sweep(["segments"], {s for x in self.snap.forget() for s in x["segments"]})
 
     # lookup

@@ -145,5 +145,7 @@ def test_segments(spark, tmp_path):
     assert ids() == [4]
     index.add(df([(1, "that again")]))
     assert sorted(ids()) == [1, 4]
-    index.merge()
-    assert sorted(ids()) == [1, 4] and len(index.snap.names("segments")) == 1 and sorted(r.id for r in index.docs().collect()) == [1, 2, 3, 4]
+    for sort in (False, True):
+        index.merge(sort)
+        assert sorted(ids()) == [1, 4]
+    assert len(index.snap.names("segments")) == 1 and sorted(r.id for r in index.docs().collect()) == [1, 2, 3, 4]
