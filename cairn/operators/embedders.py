@@ -42,22 +42,33 @@ def mean_pool(tokens: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return (tokens * m).sum(1) / np.maximum(m.sum(1), 1e-9)
 
 
+def like_lengths(texts: Sequence[str], size: int, chars: int) -> list[list[int]]:
+    """Places of texts in batches of at most ``size``, by length, each of at most ``chars`` characters when padded to its longest text, or one text."""
+    out: list[list[int]] = []
+    for i in sorted(range(len(texts)), key=lambda i: len(texts[i])):
+        if not out or len(out[-1]) >= size or (len(out[-1]) + 1) * len(texts[i]) > chars:
+            out.append([])
+        out[-1].append(i)
+    return out
+
+
 class ModelEmbedder:
     """A model behind ``load() -> encode(list of texts) -> (token vectors, mask)``; loaded once in each worker.
 
     Output vectors are pooled and of length 1.  A batch that fails gives zero vectors and sets ``embed_error``;
-    there is no silent change to another model.
+    there is no silent change to another model.  Batches are made of texts of like lengths: at most ``batch`` of them, and
+    no more than make ``batch_chars`` characters when all are padded to the longest.
     """
 
-    def __init__(self, load: Callable[[], Callable[[Sequence[str]], tuple[np.ndarray, np.ndarray]]], dimension: int, batch: int = 8):
-        self.load, self.dimension, self.batch = load, dimension, batch
+    def __init__(self, load: Callable[[], Callable[[Sequence[str]], tuple[np.ndarray, np.ndarray]]], dimension: int, batch: int = 8, batch_chars: int = 1 << 16):
+        self.load, self.dimension, self.batch, self.batch_chars = load, dimension, batch, batch_chars
 
     def _vectors(self, encode, texts: list[str]) -> np.ndarray:
         v = mean_pool(*encode(texts))
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
     def embed(self, df: DataFrame, text: str, out: str = "vector") -> DataFrame:
-        load, size, dim, vectors = self.load, self.batch, self.dimension, self._vectors
+        load, size, most, dim, vectors = self.load, self.batch, self.batch_chars, self.dimension, self._vectors
         at, names = df.columns.index(text), [*df.columns, out, "embed_error"]
 
         def run(parts):
@@ -65,11 +76,11 @@ class ModelEmbedder:
             for part in parts:
                 texts = [t or "" for t in part.column(at).to_pylist()]
                 made, failed = np.zeros((len(texts), dim), np.float32), np.zeros(len(texts), bool)
-                for lo in range(0, len(texts), size):
+                for at_ in like_lengths(texts, size, most):
                     try:
-                        made[lo : lo + size] = vectors(encode, texts[lo : lo + size])
+                        made[at_] = vectors(encode, [texts[i] for i in at_])
                     except Exception:  # the batch's rows are flagged
-                        failed[lo : lo + size] = True
+                        failed[at_] = True
                 values = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * dim), pa.array(made.ravel()))
                 yield pa.RecordBatch.from_arrays([*part.columns, values, pa.array(failed)], names=names)
 

@@ -6,9 +6,12 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from cairn.functions import chunking
+from cairn.operators.embed_table import EmbeddingTable
+from cairn.operators.embedders import HashEmbedder
 from cairn.operators.filters import apply as filtered
 from cairn.operators.store import ParquetStore
-from cairn.plans.registry import STORE_SQL, _work_dir, query, store
+from cairn.plans.registry import STORE_SQL, _work_dir, query, store, table, windows_sql
 
 
 def _sources(rows: DataFrame) -> DataFrame:
@@ -63,3 +66,14 @@ def store_scroll(spark, sf):
     own.remove_ids(rows.where("id % 5 = 0").select("id"))
     n = own.df().count() // 6 + 1
     return reduce(DataFrame.unionAll, [p.select(F.lit(i).alias("page"), "id", "source") for i, p in enumerate(own.pages(n))])
+
+
+@query(f"WITH c AS ({windows_sql('documents', 500, 0)}), n AS (SELECT count(DISTINCT content) AS embedded FROM c) SELECT doc_id, count(*) AS chunks, round(sum((('0x' || substr(md5(content || ':0'), 1, 8))::BIGINT / 4294967296.0::DOUBLE)::FLOAT::DOUBLE), 6) AS total, any_value(embedded) AS embedded FROM c, n GROUP BY doc_id")
+def embedding_by_content(spark, sf):
+    """Chunks of half the documents, then of all, with their vectors; each distinct chunk is embedded once."""
+    vectors = EmbeddingTable(spark, _work_dir(spark), HashEmbedder(4), "hash-4")
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    cut = lambda df: chunking.explode_chunks(df, chunking.fixed_windows(F.col("text"), 500, 0)).drop("text")
+    vectors.learn(cut(d.where("doc_id % 2 = 0")), "content")
+    rows = vectors.embed(cut(d), "content")
+    return rows.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.round(F.sum(F.get("vector", F.lit(0)).cast("double")), 6).alias("total")).withColumn("embedded", F.lit(vectors.rows).cast("long"))
