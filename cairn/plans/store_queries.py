@@ -10,6 +10,7 @@ from cairn.functions import chunking
 from cairn.operators.embed_table import EmbeddingTable
 from cairn.operators.embedders import HashEmbedder
 from cairn.operators.filters import apply as filtered
+from cairn.operators.sketches import DISTINCT_ERROR, RANK_ERROR, SketchTable
 from cairn.operators.store import ParquetStore
 from cairn.plans.registry import STORE_SQL, _work_dir, query, store, table, windows_sql
 
@@ -77,3 +78,21 @@ def embedding_by_content(spark, sf):
     vectors.learn(cut(d.where("doc_id % 2 = 0")), "content")
     rows = vectors.embed(cut(d), "content")
     return rows.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.round(F.sum(F.get("vector", F.lit(0)).cast("double")), 6).alias("total")).withColumn("embedded", F.lit(vectors.rows).cast("long"))
+
+
+@query("SELECT event_type, count(*) AS n, min(value) AS least, max(value) AS most, TRUE AS distinct_within, TRUE AS p50_within, TRUE AS p95_within FROM events GROUP BY event_type")
+def sketch_spans(spark, sf):
+    """Distinct users and quantiles from hourly sketches, the last day's rows merged later: counts are exact, sketches within their bounds."""
+    e = table(spark, sf, "events").select("event_type", F.col("value"), F.col("user_id").alias("who"), "ts")
+    own = SketchTable(spark, _work_dir(spark), 86_400, ["event_type"])
+    late = F.col("ts") >= F.lit(e.agg(F.max("ts")).first()[0]) - F.expr("INTERVAL 1 DAY")
+    own.add(e.where(~late))
+    own.add(e.where(late))
+    got = own.summary(quantiles=(0.5, 0.95)).select("event_type", "n", "least", "most", F.col("distinct").alias("estimate"), "q50", "q95")
+    exact = e.groupBy("event_type").agg(F.count_distinct("who").alias("users"))
+    both = e.select("event_type", "value").join(F.broadcast(got), "event_type")  # a row for each event type
+    # an estimate's rank lies between the shares of smaller values and of those up to it
+    shares = [F.avg(F.when(test, 1.0).otherwise(0.0)).alias(n) for n, test in (("b50", F.col("value") < F.col("q50")), ("u50", F.col("value") <= F.col("q50")), ("b95", F.col("value") < F.col("q95")), ("u95", F.col("value") <= F.col("q95")))]
+    x = both.groupBy("event_type").agg(F.any_value("n").alias("n"), F.any_value("least").alias("least"), F.any_value("most").alias("most"), F.any_value("estimate").alias("estimate"), *shares).join(exact, "event_type")
+    near = lambda p: (F.col(f"b{p}") <= p / 100 + RANK_ERROR) & (F.col(f"u{p}") >= p / 100 - RANK_ERROR)
+    return x.select("event_type", "n", "least", "most", (F.abs(F.col("estimate") - F.col("users")) <= DISTINCT_ERROR * F.col("users")).alias("distinct_within"), near(50).alias("p50_within"), near(95).alias("p95_within"))
