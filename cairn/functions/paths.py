@@ -13,8 +13,8 @@ CODE_LANGUAGES = {
     ".cs": "csharp", ".go": "go", ".rb": "ruby", ".php": "php", ".swift": "swift", ".kt": "kotlin", ".rs": "rust",
 }
 MARKDOWN = (".md", ".markdown")
-#: Extensions that ingestion takes, and directories that it passes over.
-SUPPORTED = (*MARKDOWN, ".pdf", *CODE_LANGUAGES)
+#: Extensions that ingestion takes (those that it has a reader for), and directories that it passes over.
+SUPPORTED = (*MARKDOWN, *CODE_LANGUAGES)
 IGNORED_DIRS = ("__pycache__", ".git", "venv", "env", ".venv", ".env")
 
 

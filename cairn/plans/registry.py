@@ -76,21 +76,23 @@ def vector_topk_filtered(spark, sf):
     return scored(search.vector_search(store(spark, sf), embedding(spark, sf, 1), 10, {"metadata.source_type": ["de", "fr"]}), "id", "source_type")
 
 
-_EDGE = [(1, [0.0, 0.0, 0.0]), (2, [1.0, 2.0]), (3, [-1.0, -2.0, -2.0]), (4, [1.0, 2.0, 2.0]), (5, None), (6, [0.0, 0.0, 1.0]), (7, [float("nan"), 1.0, 1.0]), (8, [float("inf"), 1.0, 1.0]), (9, [1.0, None, 1.0])]
+# zero, short, opposite and null vectors, such with a component that is no number, and plain ones
+_ODD = "CASE vec_id % 6 WHEN 0 THEN transform(embedding, x -> CAST(0 AS FLOAT)) WHEN 1 THEN slice(embedding, 1, 10) WHEN 2 THEN transform(embedding, x -> -x) WHEN 3 THEN NULL WHEN 4 THEN concat(slice(embedding, 2, 1000), array(CAST('NaN' AS FLOAT))) ELSE embedding END"
+_ODD_SQL = "SELECT vec_id AS id, CASE vec_id % 6 WHEN 2 THEN -s WHEN 5 THEN s ELSE 0.0::DOUBLE END AS score FROM (SELECT vec_id, {s} AS s FROM embeddings)"
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 0.0::DOUBLE), (2, 0.0), (3, -1.0), (4, 1.0), (5, 0.0), (6, 0.666667), (7, 0.0), (8, 0.0), (9, 0.0)) t(id, score)")
+@query(_ODD_SQL.format(s="round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6)"))
 def cosine_edges(spark, sf):
-    """Zero, short, opposite, equal and null vectors, and such with components that are no numbers, against one query."""
-    rows = spark.createDataFrame(_EDGE, "id long, vector array<float>")
-    return scored(search.vector_search(rows, [1.0, 2.0, 2.0], 10), "id").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    """Edge cases of every vector against one query."""
+    score = vectors.cosine_to(F.col("v"), embedding(spark, sf, 0))
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.expr(_ODD).alias("v")).select("id", (F.round(score, 6) + 0.0).alias("score"))
 
 
-@query("SELECT id, round(score, 6) AS score FROM (VALUES (1::BIGINT, 0.0::DOUBLE), (2, 0.0), (3, -1.0), (4, 1.0), (5, 0.0), (6, 0.666667), (7, 0.0), (8, 0.0), (9, 0.0)) t(id, score)")
+@query(_ODD_SQL.format(s="1.0::DOUBLE"))
 def cosine_columns(spark, sf):
-    """The same by the column-to-column form."""
-    rows = spark.createDataFrame([(i, v, [1.0, 2.0, 2.0]) for i, v in _EDGE], "id long, vector array<float>, q array<float>")
-    return rows.select("id", F.coalesce(F.round(vectors.cosine(F.col("vector"), F.col("q")), 6), F.lit(0.0)).alias("score"))
+    """The same of every vector against itself, by the column-to-column form."""
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.expr(_ODD).alias("v"), F.col("embedding").alias("q"))
+    return rows.select("id", (F.round(vectors.cosine(F.col("v"), F.col("q")), 6) + 0.0).alias("score"))
 
 
 @query(
@@ -363,13 +365,19 @@ def javascript_symbols(spark, sf):
     return chunking.chunk_code_files(_javascript(spark, sf)).select("doc_id", "chunk_index", "symbol_type", "symbol_name")
 
 
-_PATHS = ["a.TSX", "b.rs", "c.txt", "/x/y.py", "/x/.bashrc", "/d.e/f", "m.MD", "n.markdown", "k.kt", "q.cpp"]
+_NAMES = [("a.TSX", ".TSX", "javascript", "code", "a"), ("b.rs", ".rs", "rust", "code", "b"), ("c.txt", ".txt", None, None, "c"), ("y.py", ".py", "python", "code", "y"), (".bashrc", "", None, None, ".bashrc"), ("f", "", None, None, "f"), ("m.MD", ".MD", None, "markdown", "m"), ("n.markdown", ".markdown", None, "markdown", "n"), ("k.kt", ".kt", "kotlin", "code", "k"), ("q.cpp", ".cpp", "cpp", "code", "q")]
 
 
-@query("SELECT * FROM (VALUES ('a.TSX', '.TSX', 'javascript', 'code', 'a'), ('b.rs', '.rs', 'rust', 'code', 'b'), ('c.txt', '.txt', NULL, NULL, 'c'), ('/x/y.py', '.py', 'python', 'code', 'y'), ('/x/.bashrc', '', NULL, NULL, '.bashrc'), ('/d.e/f', '', NULL, NULL, 'f'), ('m.MD', '.MD', NULL, 'markdown', 'm'), ('n.markdown', '.markdown', NULL, 'markdown', 'n'), ('k.kt', '.kt', 'kotlin', 'code', 'k'), ('q.cpp', '.cpp', 'cpp', 'code', 'q')) t(path, extension, language, kind, stem)")
+def cases_sql(values: list, by: str) -> str:
+    """One of the values by a number."""
+    return "[" + ", ".join("NULL" if v is None else str(v).upper() if isinstance(v, bool) else f"'{v}'" for v in values) + f"][{by} % {len(values)} + 1]"
+
+
+@query(f"SELECT doc_id, '/d.e/' || source || '/' || {cases_sql([n[0] for n in _NAMES], 'doc_id')} AS path, " + ", ".join(f"{cases_sql([n[i] for n in _NAMES], 'doc_id')} AS {c}" for i, c in ((1, "extension"), (2, "language"), (3, "kind"), (4, "stem"))) + " FROM documents")
 def detect_language(spark, sf):
-    p = F.col("path")
-    return spark.createDataFrame([(x,) for x in _PATHS], "path string").select("path", paths.extension(p).alias("extension"), paths.code_language(p).alias("language"), paths.file_kind(p).alias("kind"), paths.stem(p).alias("stem"))
+    p, names = F.col("path"), F.array(*[F.lit(n[0]) for n in _NAMES])
+    rows = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("/d.e/"), "source", F.lit("/"), F.get(names, (F.col("doc_id") % len(_NAMES)).cast("int"))).alias("path"))
+    return rows.select("doc_id", "path", paths.extension(p).alias("extension"), paths.code_language(p).alias("language"), paths.file_kind(p).alias("kind"), paths.stem(p).alias("stem"))
 
 
 # statistics
@@ -559,12 +567,13 @@ def event_map(spark, sf):
     return ev.map_events(_raw_events(spark, sf))
 
 
-_IGN = ["/a/.git/x.md", "/a/.h.md", "/a/b.txt", "/a/b.MD", "/a/venv/x.py", "/a/x.py", "/a/tmp/x.py", "/a/env"]
+_IGN = {"/a/.git/x.md": True, "/a/.h.md": True, "/a/b.txt": True, "/a/b.MD": False, "/a/venv/x.py": True, "/a/x.py": False, "/a/tmp/x.py": True, "/a/env": True}
 
 
-@query("SELECT * FROM (VALUES ('/a/.git/x.md', TRUE), ('/a/.h.md', TRUE), ('/a/b.txt', TRUE), ('/a/b.MD', FALSE), ('/a/venv/x.py', TRUE), ('/a/x.py', FALSE), ('/a/tmp/x.py', TRUE), ('/a/env', TRUE)) t(path, ignored)")
+@query(f"SELECT event_id, '/u' || user_id || {cases_sql(list(_IGN), 'event_id')} AS path, {cases_sql(list(_IGN.values()), 'event_id')} AS ignored FROM events")
 def event_ignore(spark, sf):
-    return spark.createDataFrame([(p,) for p in _IGN], "path string").select("path", paths.event_ignored(F.col("path"), ["/tmp/"]).alias("ignored"))
+    path = F.concat(F.lit("/u"), F.col("user_id").cast("string"), F.get(F.array(*[F.lit(p) for p in _IGN]), (F.col("event_id") % len(_IGN)).cast("int")))
+    return table(spark, sf, "events").select("event_id", path.alias("path")).withColumn("ignored", paths.event_ignored(F.col("path"), ["/tmp/"]))
 
 
 @query(
@@ -682,15 +691,19 @@ def resource_stats(spark, sf):
     return aggregates.resource_stats(table(spark, sf, "events"), ["event_type"], "value").withColumn("mean", F.round("mean", 6))
 
 
-@query("SELECT * FROM (VALUES ('1.5GiB / 8GiB', 1536.0::DOUBLE), ('512MiB / 1GiB', 512.0), ('2048KiB / 1GiB', 2.0), ('12B / 1GiB', 0.0), ('x', 0.0)) t(reading, mb)")
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN n + 0.5 WHEN 1 THEN n WHEN 2 THEN n / 1024.0::DOUBLE ELSE 0.0 END::DOUBLE AS mb FROM (SELECT event_id, (user_id % 900)::DOUBLE AS n FROM events)".replace("n + 0.5", "(n + 0.5) * 1024"))
 def parse_memory(spark, sf):
-    rows = spark.createDataFrame([(x,) for x in ("1.5GiB / 8GiB", "512MiB / 1GiB", "2048KiB / 1GiB", "12B / 1GiB", "x")], "reading string")
-    return rows.select("reading", measures.memory_mb(F.col("reading")).alias("mb"))
+    n = (F.col("user_id") % 900).cast("string")
+    forms = [F.concat(n, F.lit(".5GiB / 8GiB")), F.concat(n, F.lit("MiB / 1GiB")), F.concat(n, F.lit("KiB / 1GiB")), F.concat(n, F.lit("B / 1GiB")), F.lit("x")]
+    rows = table(spark, sf, "events").select("event_id", F.get(F.array(*forms), (F.col("event_id") % 5).cast("int")).alias("reading"))
+    return rows.select("event_id", measures.memory_mb(F.col("reading")).alias("mb"))
 
 
-@query("SELECT * FROM (VALUES ('12.5%', 12.5::DOUBLE), ('0%', 0.0), ('--', 0.0)) t(reading, pct)")
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN user_id % 100 + 0.5 WHEN 1 THEN user_id % 100 ELSE 0 END::DOUBLE AS pct FROM events")
 def parse_percent(spark, sf):
-    return spark.createDataFrame([(x,) for x in ("12.5%", "0%", "--")], "reading string").select("reading", measures.percent(F.col("reading")).alias("pct"))
+    n = (F.col("user_id") % 100).cast("string")
+    rows = table(spark, sf, "events").select("event_id", F.get(F.array(F.concat(n, F.lit(".5%")), F.concat(n, F.lit("%")), F.lit("--")), (F.col("event_id") % 3).cast("int")).alias("reading"))
+    return rows.select("event_id", measures.percent(F.col("reading")).alias("pct"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 100 THEN left(text, 100) || '...' ELSE text END AS preview, round(n_chars / 1048576.0::DOUBLE, 2) AS mb FROM documents")

@@ -133,3 +133,16 @@ def test_text_properties(spark):
     p = col(spark, "ab 1.", tables.text_properties)
     assert (p.alpha_ratio, p.space_ratio, p.digit_ratio, p.symbol_ratio, p.japanese_ratio) == (0.4, 0.2, 0.2, 0.2, 0)
     assert col(spark, "", tables.text_properties).alpha_ratio == 0
+
+
+def test_readings_and_edge_vectors(spark):
+    from cairn.functions import measures, vectors
+
+    rows = spark.createDataFrame([(x,) for x in ("1.5GiB / 8GiB", "512MiB / 1GiB", "2048KiB / 1GiB", "12B / 1GiB", "x")], "r string")
+    assert [r[0] for r in rows.select(measures.memory_mb(F.col("r"))).collect()] == [1536.0, 512.0, 2.0, 0.0, 0.0]
+    rows = spark.createDataFrame([(x,) for x in ("12.5%", "0%", "--")], "r string")
+    assert [r[0] for r in rows.select(measures.percent(F.col("r"))).collect()] == [12.5, 0.0, 0.0]
+    edge = [([0.0, 0.0, 0.0], 0), ([1.0, 2.0], 0), ([-1.0, -2.0, -2.0], -1), ([1.0, 2.0, 2.0], 1), (None, 0), ([0.0, 0.0, 1.0], 0.666667), ([float("nan"), 1.0, 1.0], 0), ([float("inf"), 1.0, 1.0], 0), ([1.0, None, 1.0], 0)]
+    rows = spark.createDataFrame([(v, [1.0, 2.0, 2.0], float(s)) for v, s in edge], "v array<float>, q array<float>, s double")
+    for score in (vectors.cosine_to(F.col("v"), [1.0, 2.0, 2.0]), vectors.cosine(F.col("v"), F.col("q"))):
+        assert all(r[0] == r.s for r in rows.select(F.coalesce(F.round(score, 6), F.lit(0.0)), "s").collect())
