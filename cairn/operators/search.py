@@ -13,8 +13,8 @@ from pyspark.sql.window import Window
 from cairn.functions.vectors import cosine_to
 from cairn.operators import filters as flt
 
-#: Queries that are sent to the executors at once.
-QUERY_BLOCK = 256
+#: Queries that a task multiplies its vectors with at once, and bytes of query vectors that are sent to the executors for one scan.
+QUERY_BLOCK, QUERY_BYTES = 256, 16 << 20
 
 
 def top(df: DataFrame, k: int, score: str = "score", id_col: str = "id") -> DataFrame:
@@ -34,12 +34,13 @@ def vector_search(store: DataFrame, query: Sequence[float], k: int = 5, filters:
 def batch_search(store: DataFrame, queries: DataFrame, k: int = 5, filters: Mapping | None = None, id_col: str = "id", vec_col: str = "vector") -> DataFrame:
     """``query_id, id, score, rank`` for queries (query_id, query_vector).
 
-    Each task multiplies its vectors with all queries of a block and passes on k rows for each; then they are ranked.
+    Each task multiplies its vectors with the queries, block by block, and passes on k rows for each; then they are ranked.
+    One scan serves QUERY_BYTES of query vectors.
     Vectors of another length, null, zero or with components that make no number score 0.0, as in the single search.
     """
     rows = flt.apply(store, filters).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    spark, n = store.sparkSession, queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
+    spark, size = store.sparkSession, queries.agg(F.sum(F.size("query_vector").cast("long"))).first()[0] or 0
+    blocks = max(1, -(-size * 8 // QUERY_BYTES))
     out = None
     for b in range(blocks):
         own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", "query_vector").collect()
@@ -54,16 +55,16 @@ def _partial_top(shared, k: int):
     def run(parts):
         best: dict[int, list[tuple[float, int]]] = {}
         by_size: dict[int, list[tuple[int, np.ndarray]]] = {}
-        queries = shared.value
-        for qid, v in queries:
+        for qid, v in shared.value:
             by_size.setdefault(len(v), []).append((qid, np.array(v)))
+        steps = [(dim, qs[lo : lo + QUERY_BLOCK]) for dim, qs in by_size.items() for lo in range(0, len(qs), QUERY_BLOCK)]
         for part in parts:
             ids, col = np.array(part["id"].to_pylist(), object), part["v"]
             ok = np.array([x is not None for x in ids], bool)
             size = pc.fill_null(pc.list_value_length(col), -1).to_numpy(zero_copy_only=False).astype(np.int64)
             flat = col.flatten().to_numpy(zero_copy_only=False)  # nulls are NaN
             begin = np.cumsum(np.maximum(size, 0)) - np.maximum(size, 0)
-            for dim, qs in by_size.items():
+            for dim, qs in steps:
                 score = np.zeros((len(qs), len(ids)))
                 at = np.flatnonzero(size == dim) if dim else np.zeros(0, int)
                 if len(at):

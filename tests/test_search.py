@@ -87,3 +87,18 @@ def test_sharded_and_batch_equal_global(spark, data):
     assert [(r.id, round(r.score, 9)) for r in search.sharded_search(df, [float(x) for x in q], k).collect()] == one
     rows = search.batch_search(df, spark.createDataFrame([(7, [float(x) for x in q]), (8, [1.0, 0.0, 0.0])], "query_id long, query_vector array<float>"), k).where("query_id = 7").orderBy("rank").collect()
     assert [round(r.score, 6) for r in rows] == [round(s, 6) for _, s in one]
+
+
+@pytest.mark.parametrize("block,size", [(256, 16 << 20), (7, 16 << 20), (7, 40 * 3 * 8)])
+def test_batches_of_many_queries(spark, monkeypatch, block, size):
+    """Blocks inside a scan, and several scans, give what single searches give."""
+    monkeypatch.setattr(search, "QUERY_BLOCK", block)
+    monkeypatch.setattr(search, "QUERY_BYTES", size)
+    rows = spark.createDataFrame([(i, [float(i % 7 - 3), float(i % 5), float(i % 3 - 1)]) for i in range(60)], "id long, vector array<float>")
+    asked = [(100 + i, [float(i % 4 - 1), float(i % 9), 1.0]) for i in range(90)] + [(500, None), (501, [])]
+    got: dict = {}
+    for r in search.batch_search(rows, spark.createDataFrame(asked, "query_id long, query_vector array<float>"), 3).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.id, round(r.score, 9)))
+    for qid, q in asked[:90:11]:
+        assert got[qid] == [(r.id, round(r.score, 9)) for r in search.vector_search(rows, q, 3).collect()]
+    assert len(got) == 92 and got[500] == got[501] == [(0, 0.0), (1, 0.0), (2, 0.0)]
