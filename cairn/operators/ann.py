@@ -26,6 +26,8 @@ from cairn.operators.snapshots import Snapshots
 SAMPLE, CALIBRATION = 16_384, 128
 #: Vectors of a list, and queries, that one task scores at once.
 BLOCK, QUERY_BLOCK = 16_384, 16_384
+#: Pairs of a query and a list that are made at once.
+PROBES = 20_000
 #: The list of vectors that have no direction (null, zero, of another length or with components that are no numbers).
 NOWHERE = -1
 ROWS = "id long, vector array<float>, list int, code binary, far double, row long, version int"
@@ -190,25 +192,26 @@ class VectorIndex:
     def _probes(self, queries: DataFrame, limit: int | None, bound: bool = False) -> DataFrame:
         """(query_id, query_vector, and with ``bound`` worst) -> (query_id, q, list, place) for the nearest ``limit`` lists, or those that the bound leaves."""
         c, dim, lists = self.centroids, self.dim, sorted(j for j in self._lists() if j != NOWHERE)
-        radius = np.array([self._lists()[j]["radius"] for j in lists])
+        known = self._lists()
+        radius = np.array([known[j]["radius"] for j in lists])
         take = len(lists) if limit is None else min(limit, len(lists))
+        numbers = np.array(lists, np.int32)
         out_type = "query_id long, q array<double>, list int, place int"
 
         def run(batches):
             for b in batches:
                 x, ok = directions(b["query_vector"], dim)
-                d = np.sqrt(np.maximum((x * x).sum(1)[:, None] - 2 * x @ c[lists].T + (c[lists] ** 2).sum(1)[None, :], 0)) if lists else np.zeros((len(x), 0))
-                order = np.argsort(d, axis=1, kind="stable")[:, :take]
+                ids, ok = b["query_id"], np.flatnonzero(ok)
                 worst = b["worst"].to_numpy(zero_copy_only=False) if bound else None
-                ids = b["query_id"].to_pylist()
-                rows = []
-                for i in np.flatnonzero(ok):
-                    own = order[i]
-                    if bound:
-                        own = own[d[i][own] - radius[own] <= worst[i] + _SLACK]
-                    rows += [(ids[i], x[i], lists[j], p) for p, j in enumerate(own)]
-                cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array([v.tolist() for v in cols[1]], pa.list_(pa.float64())), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], names=["query_id", "q", "list", "place"])
+                step = max(1, PROBES // max(1, take))
+                for lo in range(0, len(ok) if lists else 0, step):
+                    own = ok[lo : lo + step]
+                    d = np.sqrt(np.maximum((x[own] ** 2).sum(1)[:, None] - 2 * x[own] @ c[lists].T + (c[lists] ** 2).sum(1)[None, :], 0))
+                    order = np.argsort(d, axis=1, kind="stable")[:, :take]
+                    left = np.take_along_axis(d, order, 1) - radius[order] <= worst[own][:, None] + _SLACK if bound else np.ones(order.shape, bool)
+                    at, place = np.nonzero(left)
+                    q = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * dim), pa.array(x[own[at]].ravel()))
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(own[at])), q, pa.array(numbers[order[at, place]]), pa.array(place.astype(np.int32))], names=["query_id", "q", "list", "place"])
 
         cols = [F.col("query_id").cast("long").alias("query_id"), F.col("query_vector").cast("array<float>").alias("query_vector")]
         return queries.select(*cols, *["worst"] * bound).mapInArrow(run, out_type)
