@@ -499,14 +499,16 @@ def store_prepare(spark, sf):
 # the store on Parquet: written, changed and read back
 
 
-def _work_dir(spark) -> str:
-    """A folder that all executors share, deleted when the process ends; in local mode a temporary one where ``spark.checkpoint.dir`` is unset."""
+def _work_dir(spark, keep: bool = False) -> str:
+    """A new folder that all executors share, deleted when the process ends unless it is to be kept; in local mode a temporary one where ``spark.checkpoint.dir`` is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if spark.sparkContext.master.partition("[")[0] != "local":
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.gettempdir()
     path = f"{base.rstrip('/')}/cairn-store-{uuid.uuid4().hex}"
+    if keep:
+        return path
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 

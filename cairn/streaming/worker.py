@@ -10,7 +10,9 @@ from cairn.functions.chunking import chunk_files
 from cairn.operators import sync
 from cairn.operators.store import ParquetStore
 from cairn.sources import files as src
+from cairn.streaming.dispatch import dispatch, state_store
 from cairn.streaming.events import EVENTS, debounce, latest_events, map_events
+from cairn.streaming.listing import file_changes
 
 
 def embed_chunks(chunks: DataFrame, embedder) -> DataFrame:
@@ -86,3 +88,10 @@ class Ingestor:
         raw = self.spark.readStream.schema(EVENTS).json(event_dir)
         closed = debounce(map_events(raw, ignored), gap, watermark)
         return closed.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(self.apply_events).trigger(**(trigger or {"processingTime": "1 second"})).start()
+
+    def watch_files(self, directories: Iterable[str], checkpoint: str, ignored: Iterable[str] = (), gap_seconds: float = 2.0, **trigger):
+        """Streams changes of the files below folders, each path once it has been quiet for the gap by the clock, into the store; returns the running query."""
+        raw = file_changes(self.spark, directories, f"{checkpoint}-listings")
+        quiet = dispatch(map_events(raw, ignored), gap_seconds)
+        with state_store(self.spark):
+            return quiet.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(self.apply_events).trigger(**(trigger or {"processingTime": "1 second"})).start()
