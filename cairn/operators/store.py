@@ -32,6 +32,8 @@ MARKS = 1_000_000
 Z_SAMPLE, Z_BITS = 4096, 8
 STATS = "file string, shard int, rows long, created_at_min long, created_at_max long, id_min long, id_max long, source_min string, source_max string, sources array<long>, types array<string>"
 MARK = "file string, position long"
+#: Slots of a shard: sources fall into slots by their md5, and rebalancing moves whole slots.
+SLOTS = 64
 LOG = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in REGISTRY.fields) + ", seq long, gone boolean"
 
 
@@ -88,10 +90,21 @@ class ParquetStore:
             log = log.groupBy("file_path").agg(F.max_by(F.struct(*log.columns), "seq").alias("r")).select("r.*")
         return log.where(~F.col("gone")).select(*REGISTRY.names)
 
+    def route(self, source: Column) -> Column:
+        """The shard of a source: its md5 modulo their number, unless its slot was moved by ``rebalance``."""
+        moved = self.snap.read().get("routes", {})
+        source = F.coalesce(source, F.lit(""))
+        if not moved:
+            return shard_of(source, self.shards)
+        slot = shard_of(source, self.shards * SLOTS)
+        table = F.create_map(*[F.lit(x) for pair in sorted((int(s), n) for s, n in moved.items()) for x in pair])
+        return F.coalesce(F.try_element_at(table, slot), F.pmod(slot, F.lit(self.shards))).cast("int")
+
     def _shard(self, source: str) -> int:
         import hashlib
 
-        return int(hashlib.md5(source.encode()).hexdigest(), 16) % self.shards
+        digest = int(hashlib.md5(source.encode()).hexdigest(), 16)
+        return self.snap.read().get("routes", {}).get(str(digest % (self.shards * SLOTS)), digest % self.shards)
 
     def source_rows(self, source: str) -> DataFrame:
         """Rows of a source: only files of its shard that can have it are read."""
@@ -171,7 +184,7 @@ class ParquetStore:
                 "source_type": F.col("source_type") if "source_type" in have else F.lit("unknown"),
                 "created_at": F.lit(now).cast("long") if now is not None else F.col("created_at") if "created_at" in have else F.unix_timestamp(),
                 "vector_norm": norm(F.col("vector")),
-                "shard": shard_of(F.coalesce(F.col("source"), F.lit("")), self.shards),
+                "shard": self.route(F.col("source")),
                 "id": F.col("id") if "id" in have else F.xxhash64("source", F.col("chunk_index") if "chunk_index" in have else F.lit(0), "content"),
             }
         )
@@ -226,8 +239,8 @@ class ParquetStore:
         reduce(DataFrame.unionByName, parts).withColumn("seq", F.lit(version).cast("long")).select(*REGISTRY.names, "seq", "gone").write.parquet(f"{self.path}/{name}")
         return name
 
-    def _commit(self, folder: str | None = None, gone: DataFrame | None = None, registry: DataFrame | None = None, unregistered: DataFrame | None = None) -> int:
-        """One change: a staged folder comes, the placed rows ``gone`` go, registry rows come and go; how many rows went."""
+    def _commit(self, folder: str | None = None, gone: DataFrame | None = None, registry: DataFrame | None = None, unregistered: DataFrame | None = None, routes: dict[str, int] | None = None) -> int:
+        """One change: a staged folder comes, the placed rows ``gone`` go, registry rows come and go, slots get other shards; how many rows went."""
         m = self.snap.read()
         version, n = m["version"] + 1, 0
         if gone is not None:
@@ -241,13 +254,15 @@ class ParquetStore:
             m["stats"] = [*m["stats"], self._stats_of(folder)]
         if registry is not None or unregistered is not None:
             m["registry"] = [*m["registry"], self._log(registry, unregistered, version)]
-        if n or made or registry is not None or unregistered is not None:
+        if routes:
+            m["routes"] = {**m.get("routes", {}), **routes}
+        if n or made or registry is not None or unregistered is not None or routes:
             self.snap.commit({**m, "version": version})
         return n
 
     def _touched(self, rows: DataFrame, column: str = "source") -> list[int]:
         """At most as many values as there are shards."""
-        return [r[0] for r in rows.select(shard_of(F.coalesce(F.col(column), F.lit("")), self.shards)).distinct().collect()]
+        return [r[0] for r in rows.select(self.route(F.col(column))).distinct().collect()]
 
     def _of_sources(self, sources: DataFrame) -> DataFrame:
         """Placed rows of (source): few sources choose the files by their statistics, many only by their shards and hashes."""
@@ -360,10 +375,54 @@ class ParquetStore:
             live |= {f.rpartition("/")[0] for folders in x["shards"].values() for f in folders} | {*x["stats"], *x["marks"], *x["registry"]}
         self.snap.sweep(["data", "stats", "marks", "registry"], live)
 
+    def rebalance(self, threshold: float = 0.3) -> dict:
+        """Moves slots from shards that hold too much to those that hold too little until (most - least) / mean is at most the threshold.
+
+        Rows of a source stay together, so a source with more rows than a balanced shard sets the least imbalance; the status
+        is then ``partial``. Only rows of moved slots are written, as deltas, and their old places marked, in one change. A
+        store without rows or within the threshold is ``skipped``. What reaches the driver is a count for each slot.
+        """
+        slot = shard_of(F.coalesce(F.col("source"), F.lit("")), self.shards * SLOTS)
+        sizes = {(r["slot"], r["shard"]): r["n"] for r in self.df().groupBy(slot.alias("slot"), "shard").agg(F.count("*").alias("n")).collect()}
+        moves, before, after = plan_moves(sizes, self.shards, threshold)
+        out = {"status": "skipped", "imbalance": before, "after": after, "moved_slots": len(moves), "moved_rows": 0}
+        if moves:
+            table = F.create_map(*[F.lit(x) for pair in sorted(moves.items()) for x in pair])
+            given = {shard for (s, shard) in sizes if s in moves}
+            placed = self._live(given).where(slot.isin(sorted(moves)))
+            folder, _ = self._stage(placed.withColumn("shard", F.element_at(table, slot).cast("int")).select(*STORE.names))
+            out["moved_rows"] = self._commit(folder, placed, routes={str(s): n for s, n in moves.items()})
+        if before > threshold:
+            out["status"] = "done" if after <= threshold else "partial"
+        return out
+
     def size_bytes(self) -> int:
         return int(self.snap.fs.getContentSummary(self.snap.at("")).getLength())
 
 
+def plan_moves(sizes: Mapping[tuple[int, int], int], shards: int, threshold: float) -> tuple[dict[int, int], float, float]:
+    """({slot: shard}, imbalance before, after) from rows by (slot, shard): the fullest shard gives the emptiest one the largest slot that makes them more alike."""
+    held: list[dict[int, int]] = [{} for _ in range(shards)]
+    for (slot, shard), n in sizes.items():
+        held[shard][slot] = held[shard].get(slot, 0) + n
+    total = [sum(h.values()) for h in held]
+    ratio = lambda: (max(total) - min(total)) * shards / sum(total) if sum(total) else 0.0
+    before, moves = ratio(), {}
+    while ratio() > threshold:
+        low = min(range(shards), key=lambda i: (total[i], i))
+        for high in sorted(range(shards), key=lambda i: (-total[i], i)):
+            gap = total[high] - total[low]
+            fit = [(n if 2 * n <= gap else gap - n, -slot, slot, n) for slot, n in held[high].items() if 0 < n < gap]
+            if fit:
+                break
+        else:
+            break
+        _, _, slot, n = max(fit)
+        held[low][slot] = held[low].get(slot, 0) + held[high].pop(slot)
+        total[high], total[low], moves[slot] = total[high] - n, total[low] + n, low
+    return moves, before, ratio()
+
+
 def _placed(rows: DataFrame) -> DataFrame:
     """Adds the row's file, by its name in the store, and its position there."""
     name = F.regexp_extract("_metadata.file_path", r"(data/[^/]+/bucket=[^/]+/[^/]+)$", 1)

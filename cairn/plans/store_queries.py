@@ -96,3 +96,14 @@ def sketch_spans(spark, sf):
     x = both.groupBy("event_type").agg(F.any_value("n").alias("n"), F.any_value("least").alias("least"), F.any_value("most").alias("most"), F.any_value("estimate").alias("estimate"), *shares).join(exact, "event_type")
     near = lambda p: (F.col(f"b{p}") <= p / 100 + RANK_ERROR) & (F.col(f"u{p}") >= p / 100 - RANK_ERROR)
     return x.select("event_type", "n", "least", "most", (F.abs(F.col("estimate") - F.col("users")) <= DISTINCT_ERROR * F.col("users")).alias("distinct_within"), near(50).alias("p50_within"), near(95).alias("p95_within"))
+
+
+@query()
+def store_rebalance(spark, sf):
+    """All rows that a deletion leaves in four shards, by the shards that rebalancing gives them, with what it did; no SQL, as it writes files."""
+    own = ParquetStore(spark, _work_dir(spark, keep=True), shards=4)
+    own.add(store(spark, sf), now=0)
+    own.remove_ids(own.df().where("shard in (1, 2) and id % 4 <> 0").select("id"))
+    done = own.rebalance(0.2)
+    marks = [F.lit(done["status"]).alias("status"), F.lit(done["moved_rows"]).cast("long").alias("moved_rows"), F.lit(done["after"] <= 0.2).alias("balanced")]
+    return own.df().select("id", "source", "shard", *marks)
