@@ -6,9 +6,11 @@ probes and of those first the codes alone; the full vectors are read for the can
 touches, under new names, and then a new manifest.
 
 Centroids and codebooks are fitted on a sample of at most ``SAMPLE`` vectors, the bound of all that the driver holds;
-every row is indexed.  The number of lists to probe is calibrated at build: for sample queries, exact neighbours tell how
-many of the nearest lists hold the wanted share of them.  The exact mode opens every list that the triangle inequality
-(distance to the centroid less the list's radius) doesn't exclude.
+every row is indexed.  The number of lists to probe and of codes to re-rank are calibrated at build: for sample queries, exact
+neighbours tell how many of the nearest lists, and of the best codes in them, hold the wanted share.  The exact mode opens
+every list that the triangle inequality (distance to the centroid less the list's radius) doesn't exclude.  A query's nearest
+lists are scored first; of the others only rows pass on that can still be among its best, so their number doesn't grow with
+the number of lists.
 """
 
 from __future__ import annotations
@@ -23,9 +25,11 @@ from pyspark.sql.window import Window
 from cairn.operators.snapshots import Snapshots
 
 #: Vectors that centroids and codebooks are fitted on, and queries that the number of probes is calibrated with.
-SAMPLE, CALIBRATION = 16_384, 128
+SAMPLE, CALIBRATION = 16_384, 256
 #: Vectors of a list, and queries, that one task scores at once.
 BLOCK, QUERY_BLOCK = 16_384, 16_384
+#: One in so many of the probed lists is scored first, to bound what the others pass on.
+FIRST = 8
 #: Pairs of a query and a list that are made at once.
 PROBES = 20_000
 #: The list of vectors that have no direction (null, zero, of another length or with components that are no numbers).
@@ -77,7 +81,7 @@ class VectorIndex:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.snap = spark, Snapshots(spark, path)
         m = self.snap.read()
-        self.dim, self.probes = m["dim"], m["probes"]
+        self.dim, self.probes, self.depth = m["dim"], m["probes"], m.get("depth", 100)
         r = spark.read.parquet(f"{self.snap.path}/{m['model']}").first()
         self.centroids = np.array(r["centroids"], np.float64).reshape(-1, self.dim)
         self.books = [np.array(b, np.float64).reshape(-1, e - s) for b, (s, e) in zip(r["books"], self.parts(self.dim, len(r["books"])), strict=True)]
@@ -189,35 +193,37 @@ class VectorIndex:
 
     # search
 
-    def _probes(self, queries: DataFrame, limit: int | None, bound: bool = False) -> DataFrame:
-        """(query_id, query_vector, and with ``bound`` worst) -> (query_id, q, list, place) for the nearest ``limit`` lists, or those that the bound leaves."""
+    def _probes(self, queries: DataFrame, limit: int | None, bound: bool = False, skip: int = 0) -> DataFrame:
+        """(query_id, query_vector[, least]) -> (query_id, q, list, place, least) for the nearest ``limit`` lists but the first ``skip``; with ``bound`` those that can hold a score of ``least``."""
         c, dim, lists = self.centroids, self.dim, sorted(j for j in self._lists() if j != NOWHERE)
         known = self._lists()
         radius = np.array([known[j]["radius"] for j in lists])
         take = len(lists) if limit is None else min(limit, len(lists))
         numbers = np.array(lists, np.int32)
-        out_type = "query_id long, q array<double>, list int, place int"
+        out_type = "query_id long, q array<double>, list int, place int, least double"
 
         def run(batches):
             for b in batches:
                 x, ok = directions(b["query_vector"], dim)
                 ids, ok = b["query_id"], np.flatnonzero(ok)
-                worst = b["worst"].to_numpy(zero_copy_only=False) if bound else None
+                least = b["least"].to_numpy(zero_copy_only=False)
+                worst = np.sqrt(np.maximum(2 - 2 * least, 0))
                 step = max(1, PROBES // max(1, take))
                 for lo in range(0, len(ok) if lists else 0, step):
                     own = ok[lo : lo + step]
                     d = np.sqrt(np.maximum((x[own] ** 2).sum(1)[:, None] - 2 * x[own] @ c[lists].T + (c[lists] ** 2).sum(1)[None, :], 0))
-                    order = np.argsort(d, axis=1, kind="stable")[:, :take]
+                    order = np.argsort(d, axis=1, kind="stable")[:, skip:take]
                     left = np.take_along_axis(d, order, 1) - radius[order] <= worst[own][:, None] + _SLACK if bound else np.ones(order.shape, bool)
                     at, place = np.nonzero(left)
                     q = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * dim), pa.array(x[own[at]].ravel()))
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(own[at])), q, pa.array(numbers[order[at, place]]), pa.array(place.astype(np.int32))], names=["query_id", "q", "list", "place"])
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(own[at])), q, pa.array(numbers[order[at, place]]), pa.array((place + skip).astype(np.int32)), pa.array(least[own[at]])], names=["query_id", "q", "list", "place", "least"])
 
         cols = [F.col("query_id").cast("long").alias("query_id"), F.col("query_vector").cast("array<float>").alias("query_vector")]
-        return queries.select(*cols, *["worst"] * bound).mapInArrow(run, out_type)
+        least = F.col("least") if "least" in queries.columns else F.lit(float("-inf"))
+        return queries.select(*cols, least.cast("double").alias("least")).mapInArrow(run, out_type)
 
-    def _score(self, probes: DataFrame, best: int, codes: bool, n_queries: int) -> DataFrame:
-        """The ``best`` rows of each query and block of a list: query_id, id, score, list, version, row; by codes alone, or exactly."""
+    def _score(self, probes: DataFrame, best: int | None, codes: bool, n_queries: int) -> DataFrame:
+        """The ``best`` rows of each query and block of a list that score at least the query's ``least``: query_id, id, score, list, version, row; by codes alone, or exactly."""
         c, books, parts, dim = self.centroids, self.books, self.parts(self.dim, len(self.books)), self.dim
         wanted = {r[0] for r in probes.select("list").distinct().collect()}  # at most as many as there are lists
         blocks = [(j, -(-x["rows"] // BLOCK)) for j, x in self._lists(wanted).items()]
@@ -230,7 +236,7 @@ class VectorIndex:
         left = left.withColumn("block", F.pmod(F.xxhash64("version", "row"), F.col("blocks")).cast("int")).drop("blocks")
         left = left.withColumn("part", F.explode(F.array(*[F.lit(i) for i in range(q_blocks)])))
         right = probes.join(per_list, "list").withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int"))
-        right = right.select("query_id", "q", "list", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        right = right.select("query_id", "q", "least", "list", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
         keys = ["list", "block", "part"]
 
         def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
@@ -245,10 +251,13 @@ class VectorIndex:
                     tables = [q[:, s:e] @ k.T for k, (s, e) in zip(books, parts, strict=True)]
                 else:
                     x, _ = directions(rows["vector"].combine_chunks(), dim)
+                least = asked["least"].to_numpy() - _SLACK
                 for i, qid in enumerate(asked["query_id"].to_pylist()):
                     s = at[i] + sum(t[i][code[:, m]] for m, t in enumerate(tables)) if codes else x @ q[i]
-                    keep = np.arange(len(s)) if len(s) <= best else np.flatnonzero(s >= np.partition(s, len(s) - best)[len(s) - best])
-                    keep = keep[np.lexsort((order[keep], -s[keep]))][:best]
+                    keep = np.flatnonzero(s >= least[i])
+                    if best is not None and len(keep) > best:
+                        keep = keep[s[keep] >= np.partition(s[keep], len(keep) - best)[len(keep) - best]]
+                        keep = keep[np.lexsort((order[keep], -s[keep]))][:best]
                     got.append((np.full(len(keep), qid), keep, s[keep]))
             at = np.concatenate([g[1] for g in got]) if got else np.zeros(0, int)
             cols = {k: rows[k].take(pa.array(at)) for k in ("id", "list", "version", "row")} if len(at) else {k: pa.array([], t) for k, t in (("id", pa.int64()), ("list", pa.int32()), ("version", pa.int32()), ("row", pa.int64()))}
@@ -273,13 +282,23 @@ class VectorIndex:
         """Rows without a direction score 0.0 with everything, as in the plain search: the k smallest ids stand for them."""
         return self._each(queries, self.rows({NOWHERE}).select("id", "list").orderBy("id").limit(k).collect())
 
+    @staticmethod
+    def _bounded(queries: DataFrame, found: DataFrame, k: int) -> DataFrame:
+        """Queries with ``least``, the k-th score found; none if fewer were."""
+        own = found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("s")).where(F.col("n") >= k).select("query_id", F.col("s").alias("least"))
+        return queries.join(own, "query_id", "left").select("query_id", "query_vector", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
+
     def candidates(self, queries: DataFrame, k: int, probes: int | None = None, rerank: int | None = None) -> DataFrame:
         """Approximate top k by exact scores of the best codes: query_id, id, score, list."""
-        n = queries.count()
-        rough = self._top(self._score(self._probes(queries, probes or self.probes), rerank or max(100, 10 * k), True, n), rerank or max(100, 10 * k))
+        n, limit, depth = queries.count(), probes or self.probes, rerank or max(self.depth, 10 * k)
+        asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("query_vector").cast("array<float>").alias("query_vector"))
+        head = max(1, limit // FIRST)
+        rough = self._top(self._score(self._probes(asked, head), depth, True, n), depth).select("query_id", "id", "score", "list", "version", "row")
+        if head < limit:
+            tail = self._probes(self._bounded(asked, rough, depth), limit, skip=head)
+            rough = self._top(rough.unionByName(self._score(tail, depth, True, n)), depth)
         rough = rough.select("query_id", "list", "version", "row")
         rows = self.rows().select("id", "vector", "list", "version", "row")
-        asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("query_vector").cast("array<float>").alias("query_vector"))
         both = rough.join(rows, ["list", "version", "row"]).join(asked, "query_id")
         from cairn.functions.vectors import cosine
 
@@ -294,10 +313,8 @@ class VectorIndex:
         rough = self._top(self.candidates(queries, k, probes, rerank), k)
         if not exact:
             return self._top(rough.select("query_id", "id", "score", "list").unionByName(self._nowhere(queries, k)), k)
-        # a list may be left out if all its rows are farther than the k-th one found
-        worst = rough.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("s"))
-        far = F.when(F.col("n") >= k, F.sqrt(F.greatest(2 - 2 * F.col("s"), F.lit(0.0)))).otherwise(F.lit(float("inf")))
-        asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "query_vector").join(worst, "query_id", "left").select("query_id", "query_vector", F.coalesce(far, F.lit(float("inf"))).alias("worst"))
+        # a list may be left out if all its rows are farther than the k-th one found, and so may its rows that are
+        asked = self._bounded(queries.select(F.col("query_id").cast("long").alias("query_id"), "query_vector"), rough, k)
         found = self._score(self._probes(asked, None, True), k, False, queries.count()).select("query_id", "id", "score", "list")
         return self._top(found.unionByName(self._nowhere(queries, k)).unionByName(self._aimless(queries, k)), k)
 
@@ -308,17 +325,33 @@ class VectorIndex:
         aimless = queries.where(v.isNull() | (F.size(v) != self.dim) | length.isNull() | F.isnan(length) | (length == 0) | (length == float("inf"))).select(F.col("query_id").cast("long").alias("query_id"))
         return self._each(aimless, self.rows().where(F.col("list") != NOWHERE).select("id", "list").orderBy("id").limit(k).collect())
 
+    def _code_scores(self, q: np.ndarray, lists: np.ndarray, codes: list[bytes]) -> np.ndarray:
+        """What the codes of some rows score, each with its own query."""
+        own = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
+        return (q * self.centroids[lists]).sum(1) + sum((q[:, s:e] * k[own[:, m]]).sum(1) for m, (k, (s, e)) in enumerate(zip(self.books, self.parts(self.dim, len(self.books)), strict=True)))
+
     def _calibrate(self, target: float, k: int, seed: int) -> None:
-        """Sets the number of probes so that the nearest lists of sample queries hold the target share of their exact neighbours."""
+        """Sets the numbers of probes and of codes to re-rank so that these hold the target share of the exact neighbours of sample queries; the lists alone hold half of what is left to all."""
         drawn = self.rows().where(F.col("list") != NOWHERE).orderBy(F.xxhash64(F.lit(seed + 1), "id", "vector")).limit(CALIBRATION)
-        sample = self.spark.createDataFrame([(i, r["vector"]) for i, r in enumerate(drawn.select("vector").collect())], "query_id long, query_vector array<float>")
-        true = self._score(self._probes(sample, None), k, False, CALIBRATION)
-        hits = self._top(true, k).join(self._probes(sample, None).select("query_id", "list", "place"), ["query_id", "list"]).groupBy("place").count().collect()
-        n, have, probes = sum(r["count"] for r in hits), 0, 1
-        for r in sorted(hits, key=lambda r: r["place"]):
-            have, probes = have + r["count"], r["place"] + 1
-            if have >= target * n:
-                break
-        self.probes = probes
+        vectors = [r["vector"] for r in drawn.select("vector").collect()]
+        sample = self.spark.createDataFrame(list(enumerate(vectors)), "query_id long, query_vector array<float>")
+        true = self._top(self._score(self._probes(sample, None), k, False, CALIBRATION), k)
+        true = true.join(self._probes(sample, None).select("query_id", "list", "place"), ["query_id", "list"]).select("query_id", "list", "version", "row", "place")
+        hits = self.rows().select("list", "version", "row", "code").join(F.broadcast(true), ["list", "version", "row"]).collect()  # at most k rows a sample query
+        share = lambda sorted_, part: sorted_[min(len(sorted_), max(1, math.ceil(part * len(hits)))) - 1]
+        probes, depth = 1, 1
+        if hits:
+            probes = share(sorted(r["place"] for r in hits), (1 + target) / 2) + 1
+            inside = [r for r in hits if r["place"] < probes]
+            x, _ = directions(pa.array([vectors[r["query_id"]] for r in inside], pa.list_(pa.float32())), self.dim)
+            least: dict[int, float] = {}
+            for r, s in zip(inside, self._code_scores(x, np.array([r["list"] for r in inside]), [bytes(r["code"]) for r in inside]).tolist(), strict=True):
+                least[r["query_id"]] = min(least.get(r["query_id"], s), s)
+            bounds = self.spark.createDataFrame([(i, vectors[i], s) for i, s in least.items()], "query_id long, query_vector array<float>, least double")
+            ranked = self._score(self._probes(bounds, probes), None, True, CALIBRATION).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
+            keys = ["query_id", "list", "version", "row"]
+            wanted = self.spark.createDataFrame([tuple(r[c] for c in keys) for r in inside], "query_id long, list int, version int, row long")
+            depth = share(sorted(r["rank"] for r in ranked.join(F.broadcast(wanted), keys).select("rank").collect()), target)
+        self.probes, self.depth = probes, max(100, depth)
         m = self.snap.read()
-        self.snap.commit({**m, "version": m["version"] + 1, "probes": probes})
+        self.snap.commit({**m, "version": m["version"] + 1, "probes": self.probes, "depth": self.depth})

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,3 +150,25 @@ def test_segments(spark, tmp_path):
         index.merge(sort)
         assert sorted(ids()) == [1, 4]
     assert len(index.snap.names("segments")) == 1 and sorted(r.id for r in index.docs().collect()) == [1, 2, 3, 4]
+
+
+def test_depth_of_rerank_is_calibrated(spark, tmp_path):
+    """Vectors without structure under coarse codes: the 100 best codes hold too few of the neighbours, the calibrated number holds them."""
+    x = np.random.default_rng(4).normal(size=(3000, 16)).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<float>")
+    index = VectorIndex.build(spark, str(tmp_path / "v"), rows, subspaces=1)
+    asked = rows.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    true = {(r.query_id, r.id) for r in search.batch_search(rows, asked, 10).collect()}
+    found = {(r.query_id, r.id) for r in index.search(asked, 10).collect()}
+    assert len(true & found) >= 0.95 * len(true)
+    assert VectorIndex(spark, str(tmp_path / "v")).depth == index.depth > 100
+
+
+def test_lists_pass_on_what_the_first_ones_leave(spark, tmp_path):
+    x = np.random.default_rng(4).normal(size=(3000, 16)).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<float>")
+    index = VectorIndex.build(spark, str(tmp_path / "v"), rows)
+    asked = rows.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    least = index._bounded(asked, index.search(asked, 10), 10)
+    assert 300 <= index._score(index._probes(least, None, True), 10, False, 30).count() < 400
+    assert index._score(index._probes(asked, None), 10, False, 30).count() > 3000
