@@ -13,11 +13,14 @@ range-partitioned and sorted.  Row groups are small, so their statistics let a s
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 from collections.abc import Mapping
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cairn.operators import search
@@ -27,8 +30,12 @@ from cairn.operators.snapshots import Snapshots
 INLINE = 500
 #: Words of a query whose postings are joined; texts of queries of more words are read for what the JOINED longest leave.
 JOINED = 8
+#: Rows that are Python objects at once beside a block; a quarter of an Arrow batch.
+ROWS = 256
 #: Characters of the texts that one block of postings, and terms that one block of trigrams, is made of.
 BLOCK_CHARS, BLOCK_TERMS = 8 << 20, 20_000
+#: Bytes of postings that are unpacked at once; a posting's row of more is unpacked by itself.
+UNPACK = 1 << 20
 #: Bytes of a row group.
 ROW_GROUP = 4 << 20
 NAMES = ["term", "low", "texts", "packed"]
@@ -47,6 +54,21 @@ def _lists(values: np.ndarray, starts: np.ndarray, kind: pa.DataType) -> pa.Arra
     return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)), pa.int32()), pa.array(values, kind))
 
 
+def _settled(run):
+    """A task's function that gives the memory it no longer uses back to the system when it ends: Python workers live on."""
+
+    @functools.wraps(run)
+    def settled(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return settled
+
+
 def _block(ids: list[int], texts: list[str]) -> pa.RecordBatch:
     """The postings of some texts, a row a term: packed are the ids of its texts after ``low`` (two words each), how often it is in each, and all its places."""
     code: dict[str, int] = {}
@@ -55,17 +77,19 @@ def _block(ids: list[int], texts: list[str]) -> pa.RecordBatch:
         words = t.split()
         if words:
             space = _space()[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)]
-            places.append(np.flatnonzero(~space & np.concatenate(([True], space[:-1]))))
-            codes.append(np.fromiter((code.setdefault(w, len(code)) for w in words), np.int64, len(words)))
-            docs.append(np.full(len(words), i))
+            places.append(np.flatnonzero(~space & np.concatenate(([True], space[:-1]))).astype(np.int32))
+            codes.append(np.fromiter((code.setdefault(w, len(code)) for w in words), np.int32, len(words)))
+            docs.append(np.full(len(words), i, np.int32))
     if not codes:
         return pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.string(), pa.int64(), pa.int32(), pa.binary())], names=NAMES)
     terms = sorted(code)
-    rank = np.empty(len(terms), np.int64)
+    rank = np.empty(len(terms), np.int32)
     rank[np.fromiter(map(code.__getitem__, terms), np.int64, len(terms))] = np.arange(len(terms))
     c, d, p = rank[np.concatenate(codes)], np.concatenate(docs), np.concatenate(places)
+    del code, codes, docs, places
     order = np.argsort(c, kind="stable")  # texts and places stay in order inside a term
     c, d, p = c[order], d[order], p[order]
+    del order
     new_term = np.concatenate(([True], c[1:] != c[:-1]))
     new_text = new_term | np.concatenate(([True], d[1:] != d[:-1]))
     at, term_at = np.flatnonzero(new_text), np.flatnonzero(new_term)
@@ -112,56 +136,82 @@ def _unpack(part: pa.RecordBatch):
     return row, ids, times, places[begin], places
 
 
+def _slices(parts):
+    """The rows of a task's batches in slices of about UNPACK bytes of postings: a frequent term has a large row in every block, and a batch may hold many."""
+    for b in parts:
+        size = pc.binary_length(b["packed"]).to_numpy().astype(np.int64)
+        part = np.cumsum(size) // UNPACK
+        cuts = np.flatnonzero(np.diff(part)) + 1
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True):
+            if hi > lo:
+                yield b.slice(lo, hi - lo)
+
+
+@_settled
 def _counted(parts):
     """(segment, inside, offset, texts, packed) -> segment, id, n, at."""
-    for b in parts:
+    for b in _slices(parts):
         row, ids, times, firsts, _ = _unpack(b)
         inside, offset = b["inside"].to_numpy()[row], b["offset"].to_numpy()[row]
         yield pa.RecordBatch.from_arrays([b["segment"].take(pa.array(row)), pa.array(ids), pa.array((inside * times).astype(np.int64)), pa.array((firsts + offset).astype(np.int32))], names=["segment", "id", "n", "at"])
 
 
+@_settled
 def _placed(parts):
     """(segment, shift, texts, packed) -> segment, id, at: every place of the terms, moved by shift."""
-    for b in parts:
+    for b in _slices(parts):
         row, ids, times, _, places = _unpack(b)
         each = np.repeat(row, times)
         yield pa.RecordBatch.from_arrays([b["segment"].take(pa.array(each)), pa.array(np.repeat(ids, times)), pa.array((places + b["shift"].to_numpy()[each]).astype(np.int32))], names=["segment", "id", "at"])
 
 
+@_settled
 def _whole(parts):
     """(segment, texts, packed) -> segment, id."""
-    for b in parts:
+    for b in _slices(parts):
         row, ids, *_ = _unpack(b)
         yield pa.RecordBatch.from_arrays([b["segment"].take(pa.array(row)), pa.array(ids)], names=["segment", "id"])
 
 
+@_settled
 def _postings(batches):
     """(id, lower) -> blocks of postings."""
     ids, texts, size = [], [], 0
-    for b in batches:
-        for rid, low in zip(b["id"].to_pylist(), b["lower"].to_pylist(), strict=True):
-            ids.append(rid)
-            texts.append(low or "")
-            size += len(texts[-1])
-            if size >= BLOCK_CHARS:
-                yield _block(ids, texts)
-                ids, texts, size = [], [], 0
+    for whole in batches:
+        for b in (whole.slice(lo, ROWS) for lo in range(0, whole.num_rows, ROWS)):
+            for rid, low in zip(b["id"].to_pylist(), b["lower"].to_pylist(), strict=True):
+                ids.append(rid)
+                texts.append(low or "")
+                size += len(texts[-1])
+                if size >= BLOCK_CHARS:
+                    yield _block(ids, texts)
+                    ids, texts, size = [], [], 0
     if ids:
         yield _block(ids, texts)
 
 
+@_settled
 def _grams(batches):
     """(number, term) -> for each trigram of some terms, their numbers."""
-    for whole in batches:
-        for lo in range(0, whole.num_rows, BLOCK_TERMS):
-            b, held = whole.slice(lo, BLOCK_TERMS), {}
-            for n, t in zip(b["number"].to_pylist(), b["term"].to_pylist(), strict=True):
-                for g in {t[i : i + 3] for i in range(max(1, len(t) - 2))}:
-                    held.setdefault(g, []).append(n)
-            values = list(held.values())
-            flat = np.fromiter((n for v in values for n in v), np.int64)
-            starts = np.cumsum([0, *map(len, values)])[:-1]
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([v[0] for v in values], pa.int64()), _lists(flat, starts, pa.int64())], names=["gram", "low", "numbers"])
+    held: dict[str, list[int]] = {}
+
+    def block() -> pa.RecordBatch:
+        values = list(held.values())
+        flat = np.fromiter((n for v in values for n in v), np.int64)
+        starts = np.cumsum([0, *map(len, values)])[:-1]
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([v[0] for v in values], pa.int64()), _lists(flat, starts, pa.int64())], names=["gram", "low", "numbers"])
+
+    terms = 0
+    for b in batches:
+        for n, t in zip(b["number"].to_pylist(), b["term"].to_pylist(), strict=True):
+            for g in {t[i : i + 3] for i in range(max(1, len(t) - 2))}:
+                held.setdefault(g, []).append(n)
+            terms += 1
+            if terms == BLOCK_TERMS:
+                yield block()
+                held, terms = {}, 0
+    if held:
+        yield block()
 
 
 class TextIndex:
@@ -169,6 +219,9 @@ class TextIndex:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.snap = spark, Snapshots(spark, path)
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if not 0 < int(spark.conf.get(key)) <= 4 * ROWS:  # texts and postings are large; lazy plans are made when they run, so the setting stays
+            spark.conf.set(key, str(4 * ROWS))
         if not self.snap.versions():
             self.snap.commit({"version": 0, "segments": []})
 

@@ -3,10 +3,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.operators import search
+from cairn.operators import search, text_index
 from cairn.operators.ann import NOWHERE, VectorIndex
 from cairn.operators.text_index import TextIndex
 
@@ -172,3 +173,20 @@ def test_lists_pass_on_what_the_first_ones_leave(spark, tmp_path):
     least = index._bounded(asked, index.search(asked, 10), 10)
     assert 300 <= index._score(index._probes(least, None, True), 10, False, 30).count() < 400
     assert index._score(index._probes(asked, None), 10, False, 30).count() > 3000
+
+
+def test_postings_are_unpacked_in_bounded_slices():
+    """A batch with the large rows of a frequent term in many blocks isn't unpacked whole, and gives the same as its rows one by one."""
+    blocks = pa.concat_batches([text_index._block(list(range(k * 500, k * 500 + 500)), ["the word the " * 60] * 500) for k in range(20)])
+    assert isinstance(blocks, pa.RecordBatch)
+    part = blocks.append_column("segment", pa.array(np.zeros(blocks.num_rows, np.int32))).append_column("shift", pa.array(np.zeros(blocks.num_rows, np.int32)))
+    got = list(text_index._placed([part]))
+    ones = list(text_index._placed([part.slice(i, 1) for i in range(part.num_rows)]))
+    assert pa.Table.from_batches(got).equals(pa.Table.from_batches(ones).combine_chunks()) or pa.Table.from_batches(got).to_pylist() == pa.Table.from_batches(ones).to_pylist()
+    assert sum(b.num_rows for b in got) == 20 * 500 * 180 and max(b.num_rows for b in got) <= 2 * text_index.UNPACK // 4
+
+
+def test_trigrams_of_small_batches_share_blocks():
+    terms = pa.RecordBatch.from_arrays([pa.array(range(600), pa.int64()), pa.array([f"term{i % 7}" for i in range(600)])], names=["number", "term"])
+    rows = [r for b in text_index._grams([terms.slice(i, 50) for i in range(0, 600, 50)]) for r in b.to_pylist()]
+    assert len({r["gram"] for r in rows}) == len(rows) and next(r for r in rows if r["gram"] == "ter")["numbers"] == list(range(600))
