@@ -5,10 +5,12 @@ Base findings (three fixed rules) always stay.  Candidates are the tokens of bas
 BODY characters of the candidate and CONTEXT after; a longer candidate is seen through windows every STEP characters, and
 its score is the largest.  Convolutions of width 5, maxima inside and outside of the candidate, the mean inside, a hidden layer.
 
-It is trained in numpy on labelled findings.  Positive: a bounded sample of the tokens of base findings, and generated
-ones of common shapes.  Negative: a bounded sample of candidates of harmless kinds (``harmless``: parts of mail
-addresses and links, chains of words), and generated ones.  Candidates of no known kind have no label and take no part.
-Each positive also appears in the context of a negative, so that its shape counts without its name.  All windows of one
+It is trained on all distinct labelled findings.  Positive: the tokens of base findings, and generated ones of common
+shapes.  Negative: candidates of harmless kinds (``harmless``: parts of mail addresses and links, chains of words), and
+generated ones.  Candidates of no known kind have no label and take no part.  Each positive also appears in the context of
+a negative, so that its shape counts without its name.  The findings are dealt out to shards of about SHARD, each with
+the generated ones beside them; in each round every shard goes on from the same weights, and their sums, in fixed point
+so that no order matters, give the mean that the next round begins with.  All windows of one
 token fall in one of four parts, by its hash: training, calibration (Platt scaling), threshold, test.  The threshold is
 the one that finds RECALL of the threshold part's positives; the test part gives ``report``, with the error of calibration.
 ``unseen_shapes`` measures it on shapes that it wasn't trained on, each left out in turn.
@@ -24,9 +26,8 @@ import string
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.window import Window
 
-from cairn.llm._spark import small_batches
+from cairn.llm._spark import Scratch, small_batches
 from cairn.llm._text import pieces
 
 #: The base rules.
@@ -38,9 +39,11 @@ KINDS = ("assign", "access", "hex", "cnn")
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
 CONTEXT, BODY, STEP = 24, 48, 24
 WIDTH = 2 * CONTEXT + BODY
-#: The training sample: at most so many tokens of base findings and harmless candidates, those of smallest hash, and so many generated ones of each kind.
-POSITIVES, NEGATIVES, GENERATED = 600, 900, 120
-RECALL = 0.98
+#: About so many labelled findings are a shard, with so many generated ones of each kind.
+SHARD, GENERATED = 1500, 120
+RECALL, ROUNDS = 0.98, 12
+#: Parts of one in the fixed point of summed weights; parts of one in the bins of logits.
+FIXED, BINS = 1 << 40, 64
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 
@@ -212,9 +215,15 @@ class Cnn:
                 gemb[:, e] += np.bincount(flat, gcol[:, :, k, e].ravel(), 97)
         return [gemb, np.tensordot(col, gz, ([0, 1], [0, 1])), gz.sum((0, 1)), top.T @ gh, gh.sum(0), h.T @ d[:, None], d.sum(keepdims=True)]
 
+    def logits(self, x: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.float32), *(self.forward(x[i : i + 512]) for i in range(0, len(x), 512))])
+
+    def chance(self, z: np.ndarray) -> np.ndarray:
+        """The calibrated probability of logits."""
+        return 1 / (1 + np.exp(-np.clip(self.scale * z + self.shift, -30, 30)))
+
     def probability(self, x: np.ndarray) -> np.ndarray:
-        out = [self.scale * self.forward(x[i : i + 512]) + self.shift for i in range(0, len(x), 512)]
-        return 1 / (1 + np.exp(-np.clip(np.concatenate(out), -30, 30))) if out else np.zeros(0)
+        return self.chance(self.logits(x))
 
 
 def part_of(token: str) -> int:
@@ -239,43 +248,109 @@ def examples(positive: list[tuple[str, str]], negative: list[tuple[str, str]], s
     return out + [(t, w, 0, False) for t, w in mails()] + [(t, put(t, rng.choice(bare)), 0, False) for t in plain]
 
 
-def fit(positive: list[tuple[str, str]], negative: list[tuple[str, str]], rounds: int = 12, seed: int = 3, without: str = "") -> Cnn:
-    """From (token, window) pairs of labelled findings, which may be empty: generated ones are added, but for a shape to be left out."""
-    rows = examples(positive, negative, seed, without)
-    rng = np.random.default_rng(seed)
-    x, y = codes([w for _, w, _, _ in rows]), np.array([k for _, _, k, _ in rows], np.float32)
-    bare, part = np.array([not n for *_, n in rows]), np.array([part_of(t) for t, *_ in rows])
-    train = np.flatnonzero(part < 6)
+class Shard:
+    """Some examples as arrays: codes, labels, whether without a name, parts."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, bare: np.ndarray, part: np.ndarray):
+        self.x, self.y, self.bare, self.part = x, y, bare, part
+
+    @classmethod
+    def of(cls, rows: list[tuple[str, str, int, bool]]) -> Shard:
+        return cls(codes([w for _, w, _, _ in rows]), np.array([k for _, _, k, _ in rows], np.uint8), np.array([not n for *_, n in rows], np.uint8), np.array([part_of(t) for t, *_ in rows], np.uint8))
+
+
+def state_of(model: Cnn) -> np.ndarray:
+    """Weights, means and root mean squares of the gradients, in fixed point."""
+    p = np.concatenate([w.ravel() for w in model.p])
+    return np.rint(np.concatenate([p, np.zeros(2 * len(p))]) * FIXED).astype(np.int64)
+
+
+def with_weights(model: Cnn, state: np.ndarray) -> list[list[np.ndarray]]:
+    """Puts a state's weights into the model; returns weights, means and mean squares of the gradients."""
+    p, m, root = np.split((state / FIXED).astype(np.float32), 3)
+    cuts = np.cumsum([w.size for w in model.p])[:-1]
+    shaped = [[a.reshape(w.shape) for a, w in zip(np.split(flat, cuts), model.p, strict=True)] for flat in (p, m, root * root)]
+    model.p = shaped[0]
+    return shaped
+
+
+def advance(state: np.ndarray, shard: Shard, r: int, seed: int) -> np.ndarray:
+    """A shard's state after one round over its training examples."""
     model = Cnn()
-    m, v, step = [np.zeros_like(p) for p in model.p], [np.zeros_like(p) for p in model.p], 0
-    for r in range(rounds):
-        train = rng.permutation(train)
-        rate = 0.004 * (1 - r / rounds)
-        for lo in range(0, len(train), 64):
-            own = train[lo : lo + 64]
-            logit, state = model.forward(x[own], keep=True)
-            d = ((1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y[own]) / len(own)).astype(np.float32)
-            step += 1
-            for i, g in enumerate(model.gradients(state, d)):
-                m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.99 * v[i] + 0.01 * g * g
-                model.p[i] = model.p[i] - (rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-    held = part == 6
-    z, t = model.forward(x[held]).astype(np.float64), y[held]
-    t = np.where(t > 0, (t.sum() + 1) / (t.sum() + 2), 1 / (len(t) - t.sum() + 2))
+    _, m, v = with_weights(model, state)
+    train = np.random.default_rng((seed, r)).permutation(np.flatnonzero(shard.part < 6))
+    step, rate = r * -(-len(train) // 64), 0.004 * (1 - r / ROUNDS)
+    for lo in range(0, len(train), 64):
+        own = train[lo : lo + 64]
+        logit, held = model.forward(shard.x[own], keep=True)
+        d = ((1 / (1 + np.exp(-np.clip(logit, -30, 30))) - shard.y[own]) / len(own)).astype(np.float32)
+        step += 1
+        for i, g in enumerate(model.gradients(held, d)):
+            m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.99 * v[i] + 0.01 * g * g
+            model.p[i] = model.p[i] - (rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+    flat = [np.concatenate([a.ravel() for a in arrays]).astype(np.float64) for arrays in (model.p, m, v)]
+    return np.rint(np.concatenate([flat[0], flat[1], np.sqrt(flat[2])]) * FIXED).astype(np.int64)
+
+
+def bins(z: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor(z.astype(np.float64) * BINS), -30 * BINS, 30 * BINS).astype(np.int64)
+
+
+def calibrate(model: Cnn, counts: dict[tuple[int, int], int]) -> None:
+    """Platt scaling by gradient steps, from the number of calibration examples of each (bin, label)."""
+    z, y, n = (np.array(c, np.float64) for c in zip(*((b, k, n) for (b, k), n in sorted(counts.items())), strict=True))
+    z, total, real = (z + 0.5) / BINS, n.sum(), (n * y).sum()
+    t = np.where(y > 0, (real + 1) / (real + 2), 1 / (total - real + 2))
     a, b = 1.0, 0.0
-    for _ in range(300):  # Platt scaling by gradient steps
+    for _ in range(300):
         p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-        a, b = max(1e-3, a - 0.05 * float(((p - t) * z).mean())), b - 0.05 * float((p - t).mean())
+        a, b = max(1e-3, a - 0.05 * float((n * (p - t) * z).sum() / total)), b - 0.05 * float((n * (p - t)).sum() / total)
     model.scale, model.shift = a, b
-    found = np.sort(model.probability(x[(part == 7) & (y > 0)]))
-    model.threshold = float(found[int((1 - RECALL) * len(found))])
+
+
+def place(counts: dict[int, int]) -> tuple[int, int]:
+    """The bin of the threshold and its place inside, from the number of the threshold part's positives of each bin."""
+    k = int((1 - RECALL) * sum(counts.values()))
+    for b in sorted(counts):
+        if k < counts[b]:
+            return b, k
+        k -= counts[b]
+    raise ValueError("no positives")
+
+
+def tally(model: Cnn, z: np.ndarray, y: np.ndarray, bare: np.ndarray) -> dict[tuple[int, int, int, int], tuple[int, float]]:
+    """Of test examples: number and sum of probabilities by (tenth, label, without a name, hit)."""
+    p, out = model.chance(z), {}
+    for key, v in zip(zip(np.minimum((p * 10).astype(int), 9).tolist(), y.tolist(), bare.tolist(), (p >= model.threshold).astype(int).tolist(), strict=True), p.tolist(), strict=True):
+        n, total = out.get(key, (0, 0.0))
+        out[key] = n + 1, total + v
+    return out
+
+
+def reported(cells: dict[tuple[int, int, int, int], tuple[int, float]]) -> dict[str, float]:
+    count = lambda keep: sum(n for key, (n, _) in cells.items() if keep(*key))
+    share = lambda of, keep: count(lambda *k: of(*k) and keep(*k)) / max(1, count(keep))
+    off = sum(abs(sum(p for (c, *_), (_, p) in cells.items() if c == i) - count(lambda c, y, *_: c == i and y)) for i in range(10))
+    return {
+        "tested": count(lambda *_: True), "recall": share(lambda c, y, b, h: h, lambda c, y, b, h: y), "recall_without_name": share(lambda c, y, b, h: h, lambda c, y, b, h: y and b),
+        "precision_without_name": share(lambda c, y, b, h: y, lambda c, y, b, h: h and b), "calibration_error": off / max(1, count(lambda *_: True)),
+    }
+
+
+def fit(positive: list[tuple[str, str]], negative: list[tuple[str, str]], seed: int = 3, without: str = "") -> Cnn:
+    """One shard of (token, window) pairs of labelled findings, which may be empty: generated ones are added, but for a shape to be left out."""
+    shard, model = Shard.of(examples(positive, negative, seed, without)), Cnn()
+    state = state_of(model)
+    for r in range(ROUNDS):
+        state = advance(state, shard, r, seed)
+    with_weights(model, state)
+    z, y, part = model.logits(shard.x), shard.y, shard.part
+    own = lambda at: np.unique(bins(z[at]), return_counts=True)
+    calibrate(model, {(b, k): n for k in (0, 1) for b, n in zip(*(a.tolist() for a in own((part == 6) & (y == k))), strict=True)})
+    found = np.sort(z[(part == 7) & (y > 0)])
+    model.threshold = float(model.chance(found[int((1 - RECALL) * len(found))][None])[0])
     test = part >= 8
-    p = model.probability(x[test])
-    hit, cell = p >= model.threshold, np.minimum((p * 10).astype(int), 9)
-    off = float(sum(abs(p[cell == i].mean() - y[test][cell == i].mean()) * (cell == i).sum() for i in set(cell.tolist())) / max(1, len(p)))
-    share = lambda a, b: float((a & b).sum() / max(1, b.sum()))
-    real, alone = y[test] > 0, bare[test]
-    model.report = {"tested": int(test.sum()), "recall": share(hit, real), "recall_without_name": share(hit, real & alone), "precision_without_name": share(real, hit & alone), "calibration_error": off}
+    model.report = reported(tally(model, z[test], y[test], shard.bare[test]))
     return model
 
 
@@ -306,15 +381,71 @@ def _labelled(parts):
 
 
 def labelled(texts: DataFrame) -> DataFrame:
-    """At most POSITIVES and NEGATIVES (label, token, w) rows of a table with a column ``text``, those of smallest hash; each task passes on at most as many."""
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("token", "w"), "token", "w"))
-    rows = texts.where("text is not null and text <> ''").mapInArrow(_labelled, "label int, token string, w string")
-    return rows.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("label") == 1, POSITIVES).otherwise(NEGATIVES)).where(F.col("rank") <= max(POSITIVES, NEGATIVES)).select("label", "token", "w")
+    """All distinct (label, token, w) rows of a table with a column ``text``."""
+    return texts.where("text is not null and text <> ''").mapInArrow(_labelled, "label int, token string, w string").distinct()
+
+
+SHARDS, LOGITS = "x binary, y binary, bare binary, part binary, seed int", "z float, y int, bare int, part int"
+
+
+def _made(key, table):
+    """A shard's findings -> one row with the arrays of its examples."""
+    rows = sorted(zip(*(table[c].to_pylist() for c in ("label", "token", "w")), strict=True))
+    own, seed = [[(t, w) for k, t, w in rows if k == label] for label in (1, 0)], 3 + key[0].as_py()
+    s = Shard.of(examples(*own, seed))
+    return pa.table({**{c: pa.array([getattr(s, c).tobytes()], pa.binary()) for c in ("x", "y", "bare", "part")}, "seed": pa.array([seed], pa.int32())})
+
+
+def _shards(parts):
+    for part in parts:
+        for i in range(part.num_rows):
+            x, y, bare, own = (np.frombuffer(part[c][i].as_py(), np.uint8) for c in ("x", "y", "bare", "part"))
+            yield Shard(x.reshape(-1, WIDTH), y, bare, own), part["seed"][i].as_py()
 
 
 def train(texts: DataFrame) -> Cnn:
-    rows = sorted({(r.label, r.token, r.w) for r in labelled(texts).collect()})
-    return fit([(t, w) for k, t, w in rows if k == 1], [(t, w) for k, t, w in rows if k == 0])
+    """``fit`` over all labelled findings, a task a shard; only sums of weights and counts come to the driver."""
+    scratch, model = Scratch(texts.sparkSession, "secret"), Cnn()
+    rows = scratch.table(labelled(texts), "labelled")
+    n = max(1, round(rows.count() / SHARD))
+    blank = texts.sparkSession.range(n).select(F.lit(-1).alias("label"), F.lit("").alias("token"), F.lit("").alias("w"), F.col("id").cast("int").alias("shard"))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("label", "token", "w"), F.lit(n)).cast("int")).unionByName(blank)  # each shard is there, without findings too
+    shards = scratch.table(dealt.repartition(n, "shard").groupBy("shard").applyInArrow(_made, SHARDS), "shards")
+    state = state_of(model)
+    for r in range(ROUNDS):
+
+        def step(parts, state=state, r=r):
+            for shard, seed in _shards(parts):
+                out = advance(state, shard, r, seed)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out), dtype=np.int32)), pa.array(out)], names=["at", "value"])
+
+        total = shards.mapInArrow(step, "at int, value long").groupBy("at").agg(F.sum("value")).collect()
+        state = np.array([v for _, v in sorted(map(tuple, total))], np.int64) // n
+    with_weights(model, state)
+
+    def logits(parts):
+        for shard, _ in _shards(parts):
+            own = np.flatnonzero(shard.part >= 6)
+            yield pa.RecordBatch.from_arrays([pa.array(model.logits(shard.x[own])), *(pa.array(a[own].astype(np.int32)) for a in (shard.y, shard.bare, shard.part))], names=["z", "y", "bare", "part"])
+
+    held = scratch.table(shards.mapInArrow(logits, LOGITS), "logits")
+    cell = F.greatest(F.least(F.floor(F.col("z").cast("double") * BINS), F.lit(30 * BINS)), F.lit(-30 * BINS))
+    counts = {(r.part, r.y, r.b): r.n for r in held.where("part in (6, 7)").groupBy("part", "y", cell.alias("b")).agg(F.count("*").alias("n")).collect()}
+    calibrate(model, {(b, y): c for (part, y, b), c in counts.items() if part == 6})
+    at, k = place({b: c for (part, y, b), c in counts.items() if part == 7 and y})
+    found = held.where((F.col("part") == 7) & (F.col("y") == 1) & (cell == at)).orderBy("z").limit(k + 1).agg(F.max("z")).first()[0]
+    model.threshold = float(model.chance(np.array([found], np.float32))[0])
+
+    def tested(parts):
+        for part in parts:
+            cells = tally(model, *(part[c].to_numpy() for c in ("z", "y", "bare")))
+            keys = list(zip(*cells, strict=True)) if cells else [[]] * 4
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in keys), pa.array([c for c, _ in cells.values()], pa.int64()), pa.array([p for _, p in cells.values()], pa.float64())], names=["tenth", "y", "bare", "hit", "n", "p"])
+
+    cells = held.where("part >= 8").mapInArrow(tested, "tenth int, y int, bare int, hit int, n long, p double").groupBy("tenth", "y", "bare", "hit").agg(F.sum("n"), F.sum("p")).collect()
+    model.report = reported({tuple(r[:4]): tuple(r[4:]) for r in cells})
+    scratch.drop(rows, shards, held)
+    return model
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:

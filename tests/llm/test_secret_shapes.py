@@ -47,3 +47,15 @@ def test_accounts_are_found_and_known_kinds_are_not():
     p = model.probability(secret_cnn.codes([view(f"with the words before {t} and some more", t) for t in fresh]))
     assert (p >= model.threshold).mean() <= 0.08
     assert model.report["calibration_error"] <= 0.05 and model.report["recall_without_name"] >= 0.95, model.report
+
+
+def test_every_labelled_finding_is_trained_on(spark):
+    """More findings than a shard holds: none is left out, and shards that begin with the same weights give one network."""
+    rng = random.Random(8)
+    key = lambda: "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789") for _ in range(24))
+    texts = [f"the token = {key()} of box {i} is for anna.miller{i}@mail.example.com" for i in range(1300)]
+    docs = spark.createDataFrame([(t,) for t in [*texts, *texts, None, ""]], "text string")
+    rows = secret_cnn.labelled(docs).groupBy("label").count().collect()
+    assert {r["label"]: r["count"] for r in rows} == {1: 1300, 0: 1300}
+    model, alone = secret_cnn.train(docs), secret_cnn.fit([], [])
+    assert model.report["tested"] > 2 * alone.report["tested"] and model.report["recall_without_name"] >= 0.95 and model.report["precision_without_name"] >= 0.95, model.report
