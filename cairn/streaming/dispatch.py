@@ -1,8 +1,8 @@
-"""Debounced dispatch as a stateful operator: per path the open sessions and one timer.
+"""Debounced dispatch as a stateful operator.
 
-With a watermark it works by event time: a session is passed on once the watermark has passed its end, whatever the order of
-its events, as ``events.debounce`` does. Without one it works by the clock: the newest event of a path is passed on when no
-other has come for the gap, even if the stream then falls silent.
+With a watermark it works by event time, in Spark's session windows: a session is passed on once the watermark has passed its
+end, whatever the order of its events, as ``events.debounce`` does. Without one it works by the clock, with a timer a path: the
+newest event of a path is passed on when no other has come for the gap, even if the stream then falls silent.
 """
 
 from __future__ import annotations
@@ -16,20 +16,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
+from cairn.streaming.events import debounce
+
 OUT = "file_path string, event_type string, ts timestamp, session_start timestamp, events long"
 _PART = "file_path string, event_type string, first long, last long, events long"
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Timers need this store; with the second setting a busy path's events are merged into sessions before the shuffle.
+_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+}
+#: Longer than any two times are apart, in microseconds.
+_EVER = 1 << 62
 
 
 @contextlib.contextmanager
 def state_store(spark: SparkSession):
-    """The state store that such operators need, for queries started inside; the session's own setting comes back after it."""
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """The settings that such operators need, for queries started inside; the session's own ones come back after it."""
+    before = {key: spark.conf.get(key, None) for key in _SETTINGS}
+    for key, value in _SETTINGS.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(_PROVIDER, before) if before else spark.conf.unset(_PROVIDER)
+        for key, value in before.items():
+            spark.conf.set(key, value) if value else spark.conf.unset(key)
 
 
 def merged(sessions: list[tuple], gap: int) -> list[tuple]:
@@ -66,45 +76,6 @@ def _row(path: str, s: tuple) -> Row:
     return Row(file_path=path, event_type=s[2], ts=when(s[1]), session_start=when(s[0]), events=s[3])
 
 
-class EventTime(StatefulProcessor):
-    def __init__(self, gap: int):
-        self.gap = gap
-
-    def init(self, handle) -> None:
-        self.handle, self.open = handle, handle.getListState("open", "first long, last long, event_type string, events long")
-
-    def _due(self, s: tuple) -> int:
-        return -(-(s[1] + self.gap) // 1000)
-
-    def _held(self) -> list[tuple]:
-        return [tuple(x) for x in self.open.get()] if self.open.exists() else []
-
-    def _keep(self, sessions: list[tuple], timer: int | None) -> None:
-        """Stores the open sessions, and moves the path's timer to the first one's end."""
-        self.open.put(sessions) if sessions else self.open.clear()
-        due = self._due(sessions[0]) if sessions else None
-        if timer is not None and timer != due:
-            self.handle.deleteTimer(timer)
-        if due is not None and timer != due:
-            self.handle.registerTimer(due)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        held = self._held()
-        timer, fresh = self._due(held[0]) if held else None, []
-        for r in rows:
-            fresh.append((r["first"], r["last"], r["event_type"], r["events"]))
-            if len(fresh) >= 1024:
-                held, fresh = merged(held + fresh, self.gap), []
-        self._keep(merged(held + fresh, self.gap), timer)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
-        held = self._held()
-        self._keep([s for s in held if self._due(s) > now], None)  # the timer that fired is gone by itself
-        return iter([_row(key[0], s) for s in held if self._due(s) <= now])
-
-
 class ClockTime(StatefulProcessor):
     def __init__(self, gap: int):
         self.gap = -(-gap // 1000)
@@ -114,15 +85,14 @@ class ClockTime(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         held = tuple(self.pending.get()) if self.pending.exists() else None
-        all_ = held[:4] if held else None
+        own = [held[:4]] if held else []
         for r in rows:
-            new = (r["first"], r["last"], r["event_type"], r["events"])
-            all_ = (min(all_[0], new[0]), max(all_[1], new[1]), max((all_[1], all_[2]), (new[1], new[2]))[1], all_[3] + new[3]) if all_ else new
+            own = merged([*own, (r["first"], r["last"], r["event_type"], r["events"])], _EVER)
         timer = timerValues.getCurrentProcessingTimeInMs() + self.gap
         if held and held[4] != timer:
             self.handle.deleteTimer(held[4])
         self.handle.registerTimer(timer)
-        self.pending.update((*all_, timer))
+        self.pending.update((*own[0], timer))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
@@ -135,14 +105,13 @@ class ClockTime(StatefulProcessor):
 def dispatch(events: DataFrame, gap_seconds: float = 2.0, watermark: str | None = None) -> DataFrame:
     """Mapped events (file_path, event_type, ts) of a stream -> ``file_path, event_type, ts, session_start, events``.
 
-    Events exactly the gap apart are in one session; of several newest ones the largest type counts. Events later than the
-    watermark are dropped, by the newest time of what their batch has of the session; events with no path or time, too.
+    Events exactly the gap apart are in one session; of several newest ones the largest type counts. By event time, events whose
+    own session has ended by the watermark are dropped; events with no path or time are, too.
     Start the query inside ``state_store``.
     """
     gap = round(gap_seconds * 1_000_000)
-    rows = events.where("file_path is not null and ts is not null").select("file_path", F.coalesce("event_type", F.lit("")).alias("event_type"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
-    parts = rows.mapInArrow(_partial(gap), _PART)
-    if watermark is None:
-        return parts.groupBy("file_path").transformWithState(ClockTime(gap), OUT, "append", "ProcessingTime")
-    parts = parts.withColumn("newest", F.timestamp_micros("last")).withWatermark("newest", watermark)
-    return parts.groupBy("file_path").transformWithState(EventTime(gap), OUT, "append", "EventTime")
+    rows = events.where("file_path is not null and ts is not null").select("file_path", F.coalesce("event_type", F.lit("")).alias("event_type"), F.col("ts").cast("timestamp").alias("ts"))
+    if watermark is not None:
+        return debounce(rows, f"{gap} microseconds", watermark)
+    parts = rows.select("file_path", "event_type", F.unix_micros("ts").alias("t")).mapInArrow(_partial(gap), _PART)
+    return parts.groupBy("file_path").transformWithState(ClockTime(gap), OUT, "append", "ProcessingTime")

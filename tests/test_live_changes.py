@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cairn.operators.embedders import HashEmbedder
 from cairn.operators.store import ParquetStore
 from cairn.plans import live_queries, registry
-from cairn.streaming.dispatch import merged
+from cairn.streaming.dispatch import dispatch, merged, state_store
 from cairn.streaming.events import map_events
 from cairn.streaming.listing import ListingReader, file_changes, walk
 from cairn.streaming.worker import Ingestor
@@ -76,6 +76,18 @@ def test_dispatch_equals_sessions_in_batch(spark, small):
     assert len(want) > 100 and shape(live_queries.dispatch_sessions(spark, small)) == want
 
 
+def test_dispatch_by_event_time_has_no_python_step(spark, tmp_path):
+    """A call a path in Python took most of the time; a busy path's events are merged before the shuffle by a setting that goes again."""
+    key = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+    stream = spark.readStream.schema("file_path string, event_type string, ts timestamp").parquet(str(tmp_path))
+    plan = dispatch(stream, 7200, "2 hours")._jdf.queryExecution().analyzed().toString().lower()
+    assert "session_window" in plan and "transformwithstate" not in plan and "arrow" not in plan
+    before = spark.conf.get(key)
+    with state_store(spark):
+        assert spark.conf.get(key) == "true"
+    assert spark.conf.get(key) == before
+
+
 def test_file_changes_query(spark, small):
     """Against the rule by which the query changes its files."""
     ids = [r.doc_id for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id").collect()]
