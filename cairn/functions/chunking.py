@@ -131,6 +131,12 @@ def chunk_code_files(files: DataFrame, base_dir: str = "", size: int = 500, over
 
 
 def chunk_files(files: DataFrame, base_dir: str = "") -> DataFrame:
-    """Markdown and code files by extension; others give no rows."""
-    kind = paths.file_kind(F.col("source"))
-    return chunk_markdown_files(files.where(kind == "markdown"), base_dir).unionByName(chunk_code_files(files.where(kind == "code"), base_dir), allowMissingColumns=True)
+    """Markdown and code files by extension, in one pass over ``files``; others give no rows."""
+    kind, text = paths.file_kind(F.col("source")), F.col("text")
+    own = file_columns(files.where(kind.isin("markdown", "code")).withColumn("text", newlines(text)), base_dir=base_dir).withColumn("source_type", kind)
+    md, lang, content = F.col("source_type") == "markdown", F.col("language"), F.col("content")
+    own = own.withColumns({"title": F.when(md, markdown_title(text)), "language": F.when(~md, paths.code_language(F.col("source")))}).where(md | lang.isNotNull())
+    out = explode_chunks(own, F.when(md, markdown_chunks(text)).otherwise(code_chunks(text, lang))).drop("text")
+    out = out.withColumns({"heading_level": F.when(md, heading_level(content)), "section_title": F.when(md, section_title(content))})
+    last = {"module_name": F.when(lang == "python", paths.stem(F.col("source"))), "symbol_type": F.when(~md, symbol_type(content, lang)), "symbol_name": F.when(~md, symbol_name(content, lang))}
+    return out.select(*[c for c in out.columns if c != "language"], "language", *[c.alias(n) for n, c in last.items()])

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import os
+import re
 from collections.abc import Callable, Iterable
 
 import pyarrow as pa
@@ -14,6 +16,12 @@ from cairn.functions.chunking import newlines
 
 SCHEMA = "source string, modified timestamp, size long, content binary"
 LISTING = "source string, modified timestamp, size long"
+#: Files' contents that are passed on at once: about so many bytes, and at most so many files.
+BATCH_BYTES, BATCH_FILES = 1 << 20, 256
+#: Files of a listing that are Python objects at once.
+LISTED = 1000
+#: Tasks that open files, for each core.
+TASKS_A_CORE = 4
 
 
 def _local(path: Column) -> Column:
@@ -30,12 +38,84 @@ def scan(spark: SparkSession, directory: str, recursive: bool = True) -> DataFra
     return raw.load(directory).select(_local(F.col("path")).alias("source"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"), "content")
 
 
+def _hidden(name: str) -> bool:
+    """Names that Spark's file sources leave out."""
+    return name.startswith(".") or (name.startswith("_") and "=" not in name and not name.startswith(("_common_metadata", "_metadata"))) or name.endswith("._COPYING_")
+
+
+def _entries(folder: str, recursive: bool):
+    """(path, is a folder, entry) of what a local folder has, never its whole listing at once; nothing if it is gone."""
+    try:
+        with os.scandir(folder) as found:
+            for e in found:
+                if not _hidden(e.name):
+                    below = e.is_dir()
+                    yield e.path, below, e
+                    if below and recursive:
+                        yield from _entries(e.path, True)
+    except (FileNotFoundError, NotADirectoryError):
+        return
+
+
+def listing(spark: SparkSession, directory: str, recursive: bool = True) -> DataFrame:
+    """``source, modified, size`` as ``scan`` has them, without empty files therefore.
+
+    A local folder's own files are listed by one task, each of its folders by another: ``scan`` gives every 32 files a task and asks for each file's status again.
+    """
+    if not re.match(r"(file:)?/", directory):
+        return scan(spark, directory, recursive).drop("content")
+    root = re.sub(r"^file:/+|/+$", lambda m: "/" if m.start() == 0 else "", directory)
+
+    def folders(parts):
+        for part in parts:
+            own = [p for folder in part["folder"].to_pylist() for p, below, _ in _entries(folder, False) if below]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.string())], names=["folder"])
+
+    def files(deep: bool):
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            source, modified, size = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(source), pa.array(modified, pa.int64()).cast(pa.timestamp("us", "UTC")), pa.array(size, pa.int64())], names=[x.split()[0] for x in LISTING.split(", ")])
+
+        def run(parts):
+            rows = []
+            for part in parts:
+                for folder in part["folder"].to_pylist():
+                    for path, below, e in _entries(folder, deep):
+                        if not below and e.is_file() and (s := e.stat()).st_size:
+                            rows.append((path, s.st_mtime_ns // 1_000_000 * 1000, s.st_size))
+                        if len(rows) >= LISTED:
+                            yield batch(rows)
+                            rows = []
+            if rows:
+                yield batch(rows)
+
+        return run
+
+    top = spark.range(1, numPartitions=1).select(F.lit(root).alias("folder"))
+    out = top.mapInArrow(files(False), LISTING)
+    if not recursive:
+        return out
+    tasks = TASKS_A_CORE * spark.sparkContext.defaultParallelism
+    return out.unionAll(top.mapInArrow(folders, "folder string").repartition(tasks, "folder").mapInArrow(files(True), LISTING))
+
+
 def contents(paths: DataFrame) -> DataFrame:
-    """(source) -> ``source, modified, size, content`` of those that are files, each opened where its row is; nothing goes through the driver."""
+    """(source) -> ``source, modified, size, content`` of those that are files, each opened where its row is; nothing goes through the driver.
+
+    Paths are short, so they are dealt out by number: a shuffle's few bytes of them would be one task that opens all files.
+    """
     names = [x.split()[0] for x in SCHEMA.split(", ")]
+    context = paths.sparkSession.sparkContext
+    tasks = max(int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions")), TASKS_A_CORE * context.defaultParallelism)
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        source, modified, data = zip(*rows, strict=True)
+        when = pa.array(modified, pa.int64()).cast(pa.timestamp("us", "UTC"))
+        return pa.RecordBatch.from_arrays([pa.array(source), when, pa.array(map(len, data), pa.int64()), pa.array(data, pa.binary())], names=names)
 
     def run(parts):
         for part in parts:
+            rows, size = [], 0
             for path in part["source"].to_pylist():
                 system, p = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
                 info = system.get_file_info(p)
@@ -43,10 +123,15 @@ def contents(paths: DataFrame) -> DataFrame:
                     continue
                 with system.open_input_stream(p) as f:
                     data = f.read()
-                when = pa.array([info.mtime_ns // 1_000_000 * 1000], pa.int64()).cast(pa.timestamp("us", "UTC"))
-                yield pa.RecordBatch.from_arrays([pa.array([path]), when, pa.array([len(data)], pa.int64()), pa.array([data], pa.binary())], names=names)
+                rows.append((path, info.mtime_ns // 1_000_000 * 1000, data))
+                size += len(data)
+                if size >= BATCH_BYTES or len(rows) >= BATCH_FILES:
+                    yield batch(rows)
+                    rows, size = [], 0
+            if rows:
+                yield batch(rows)
 
-    return paths.select("source").mapInArrow(run, SCHEMA)
+    return paths.select("source").repartition(tasks, "source").mapInArrow(run, SCHEMA)
 
 
 def scan_incremental(spark: SparkSession, directory: str, extensions: Iterable[str] | None = None) -> DataFrame:
@@ -57,6 +142,11 @@ def scan_scheduled(spark: SparkSession, directory: str, ignored: Iterable[str] =
     return scan(spark, directory, recursive).where(~paths.scan_ignored(F.col("source"), list(ignored)))
 
 
+def list_scheduled(spark: SparkSession, directory: str, ignored: Iterable[str] = (), recursive: bool = True) -> DataFrame:
+    """``scan_scheduled`` without contents."""
+    return listing(spark, directory, recursive).where(~paths.scan_ignored(F.col("source"), list(ignored)))
+
+
 def scan_markdown(spark: SparkSession, directory: str) -> DataFrame:
     return scan(spark, directory).where(paths.file_kind(F.col("source")) == "markdown")
 

@@ -79,7 +79,7 @@ class Ingestor:
         """One periodic scan over directories; a scan of unchanged files reads no contents."""
         files = None
         for d in directories:
-            one = src.scan_scheduled(self.spark, d, ignored).select("source", "modified", "size")
+            one = src.list_scheduled(self.spark, d, ignored)
             files = one if files is None else files.unionByName(one)
         return self.sync_files(files.dropDuplicates(["source"]), delete_missing)
 

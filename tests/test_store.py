@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.config import EngineConfig
+from cairn.functions import chunking, paths
 from cairn.operators import aggregates, sync
 from cairn.operators.embedders import HashEmbedder
 from cairn.operators.store import ParquetStore
@@ -186,3 +187,31 @@ def test_registry_and_schedule(spark, tmp_path):
     lines = []
     serve(Engine(spark, store, HashEmbedder(8)), ['{"tool": "document-search", "arguments": {"query": "a"}}', "", "x"], lines.append)
     assert len(json.loads(lines[0])["results"]) == 1 and "error" in json.loads(lines[1])
+
+
+def test_listing_equals_scan_in_few_tasks(spark, tmp_path):
+    """Paths, times and sizes as the file source has them, hidden names and nested folders among them; a task a folder instead of one for 32 files."""
+    for name in ("a.md", "b c.txt", ".h.md", "_t.md", "_x=1.md", "sub/d.MD", "sub/.git/e.md", "sub/_tmp/f.md", "sub/deep/g.py", "other/h.py", "y.md._COPYING_"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    for i in range(300):
+        (tmp_path / f"n{i}.md").write_text("x" * i)
+    for d in (str(tmp_path), f"file://{tmp_path}/", f"{tmp_path}/none"):
+        for deep in (True, False):
+            rows = lambda df: sorted(map(tuple, df.select("source", "modified", "size").collect()))
+            assert rows(src.listing(spark, d, deep)) == rows(src.scan(spark, d, deep)), (d, deep)
+    assert src.listing(spark, str(tmp_path), False).rdd.getNumPartitions() == 1
+    both = src.contents(src.listing(spark, str(tmp_path)).select("source"))
+    assert sorted((r.source, bytes(r.content)) for r in both.collect()) == sorted((r.source, bytes(r.content)) for r in src.scan(spark, str(tmp_path)).collect())
+
+
+def test_chunking_reads_files_once(spark):
+    """One pass over the files for both kinds, with the rows that each kind gives by itself."""
+    files = spark.createDataFrame([("/a/x.md", "# T\n\nsome text\n## U\nmore"), ("/a/y.py", "import a\ndef f(x):\n  pass\nclass A:\n  pass\n"), ("/a/z.js", "function go(a) {\n}\n"), ("/a/w.txt", "no"), ("/a/n.md", None)], "source string, text string")
+    got = chunking.chunk_files(files)
+    kind = lambda k: files.where(paths.file_kind(F.col("source")) == k)
+    apart = chunking.chunk_markdown_files(kind("markdown")).unionByName(chunking.chunk_code_files(kind("code")), allowMissingColumns=True)
+    assert got.columns == apart.columns and got.dtypes == apart.dtypes
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(got) == rows(apart) and got.count() > 4
+    assert "Union" not in got._jdf.queryExecution().analyzed().toString()
