@@ -50,6 +50,16 @@ def _space() -> np.ndarray:
     return np.fromiter((chr(c).isspace() for c in range(0x110000)), bool, 0x110000)
 
 
+def _starts(text: str) -> np.ndarray:
+    """The places where the words of a text begin."""
+    try:
+        code = np.frombuffer(text.encode("latin-1"), np.uint8)
+    except UnicodeEncodeError:
+        code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    space = _space()[code]
+    return np.flatnonzero(~space & np.concatenate(([True], space[:-1]))[: len(space)]).astype(np.int32)
+
+
 def _lists(values: np.ndarray, starts: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)), pa.int32()), pa.array(values, kind))
 
@@ -71,25 +81,26 @@ def _settled(run):
 
 def _block(ids: list[int], texts: list[str]) -> pa.RecordBatch:
     """The postings of some texts, a row a term: packed are the ids of its texts after ``low`` (two words each), how often it is in each, and all its places."""
-    code: dict[str, int] = {}
-    codes, docs, places = [], [], []
-    for i, t in enumerate(texts):
-        words = t.split()
-        if words:
-            space = _space()[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)]
-            places.append(np.flatnonzero(~space & np.concatenate(([True], space[:-1]))).astype(np.int32))
-            codes.append(np.fromiter((code.setdefault(w, len(code)) for w in words), np.int32, len(words)))
-            docs.append(np.full(len(words), i, np.int32))
-    if not codes:
+    split = pc.utf8_split_whitespace(pa.array(texts, pa.large_string()))
+    coded = split.flatten().dictionary_encode()
+    # white space at an end of a text leaves an empty word there
+    c = coded.indices.to_numpy(zero_copy_only=False)
+    word = c != coded.dictionary.index(pa.scalar("", pa.large_string())).as_py()
+    c, d = c[word], np.repeat(np.arange(len(texts), dtype=np.int32), pc.list_value_length(split).to_numpy())[word]
+    del split, word
+    if not len(c):
         return pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.string(), pa.int64(), pa.int32(), pa.binary())], names=NAMES)
-    terms = sorted(code)
-    rank = np.empty(len(terms), np.int32)
-    rank[np.fromiter(map(code.__getitem__, terms), np.int64, len(terms))] = np.arange(len(terms))
-    c, d, p = rank[np.concatenate(codes)], np.concatenate(docs), np.concatenate(places)
-    del code, codes, docs, places
-    order = np.argsort(c, kind="stable")  # texts and places stay in order inside a term
-    c, d, p = c[order], d[order], p[order]
-    del order
+    order = pc.array_sort_indices(coded.dictionary)
+    terms = coded.dictionary.take(order).cast(pa.string())
+    rank = np.empty(len(order), np.uint64)
+    rank[order.to_numpy()] = np.arange(len(order), dtype=np.uint64)
+    p = np.concatenate([_starts(t) for t in texts])
+    key = np.sort((rank[c] << np.uint64(32)) | np.arange(len(c), dtype=np.uint64))  # texts and places stay in order inside a term
+    del coded
+    order = (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    c, d, p = (key >> np.uint64(32)).astype(np.int32), d[order], p[order]
+    del key, order
+    terms = terms.slice(1) if c[0] else terms  # the empty word is the first
     new_term = np.concatenate(([True], c[1:] != c[:-1]))
     new_text = new_term | np.concatenate(([True], d[1:] != d[:-1]))
     at, term_at = np.flatnonzero(new_text), np.flatnonzero(new_term)
@@ -109,7 +120,7 @@ def _block(ids: list[int], texts: list[str]) -> pa.RecordBatch:
     words[np.repeat(base + 3 * n - term_at, m) + np.arange(len(p))] = p
     cuts = np.append(base, len(words)).astype(np.int32) * 4
     packed = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(cuts), pa.py_buffer(words)])
-    return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(low), pa.array(n, pa.int32()), packed], names=NAMES)
+    return pa.RecordBatch.from_arrays([terms, pa.array(low), pa.array(n, pa.int32()), packed], names=NAMES)
 
 
 def _running(steps: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -190,28 +201,51 @@ def _postings(batches):
         yield _block(ids, texts)
 
 
+def _joined(texts: pa.Array) -> str:
+    """All strings of an array that holds no null, as one."""
+    _, offsets, data = texts.buffers()
+    cuts = np.frombuffer(offsets, np.int32, len(texts) + 1, 4 * texts.offset)
+    return data.to_pybytes()[cuts[0] : cuts[-1]].decode() if data else ""
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.concatenate(([True], values[1:] != values[:-1]))]
+
+
+def _gram_block(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """The trigrams of some terms, a row a trigram: the numbers of the terms that have it, in their order here. A shorter term is one by itself."""
+    terms, numbers = pa.concat_arrays([b["term"] for b in held]), np.concatenate([b["number"].to_numpy() for b in held])
+    n = pc.utf8_length(terms).to_numpy().astype(np.int64)
+    chars = np.frombuffer(_joined(terms).encode("utf-32-le") + bytes(8), np.uint32)
+    code = chars.astype(np.uint64) + np.uint64(1)  # 0 is no character
+    m = np.maximum(n - 2, 1)
+    row = np.repeat(np.arange(len(n)), m)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(m) - m, m) + (np.cumsum(n) - n)[row]
+    size = np.minimum(n, 3)[row]
+    gram = (code[at] << np.uint64(42)) | (np.where(size > 1, code[at + 1], 0) << np.uint64(21)) | np.where(size > 2, code[at + 2], 0)
+    kinds = _distinct(gram)
+    pair = _distinct((np.searchsorted(kinds, gram).astype(np.uint64) << np.uint64(32)) | row.astype(np.uint64))
+    first = np.searchsorted(pair >> np.uint64(32), np.arange(len(kinds), dtype=np.uint64))
+    values = numbers[(pair & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+    three = np.stack([kinds >> np.uint64(42), (kinds >> np.uint64(21)) & np.uint64(0x1FFFFF), kinds & np.uint64(0x1FFFFF)], 1)
+    text = (three[three > 0] - np.uint64(1)).astype(np.uint32).tobytes().decode("utf-32-le")
+    ends = np.cumsum((three > 0).sum(1)).tolist()
+    return pa.RecordBatch.from_arrays([pa.array([text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], pa.string()), pa.array(values[first]), _lists(values, first, pa.int64())], names=["gram", "low", "numbers"])
+
+
 @_settled
 def _grams(batches):
     """(number, term) -> for each trigram of some terms, their numbers."""
-    held: dict[str, list[int]] = {}
-
-    def block() -> pa.RecordBatch:
-        values = list(held.values())
-        flat = np.fromiter((n for v in values for n in v), np.int64)
-        starts = np.cumsum([0, *map(len, values)])[:-1]
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([v[0] for v in values], pa.int64()), _lists(flat, starts, pa.int64())], names=["gram", "low", "numbers"])
-
-    terms = 0
+    held, terms = [], 0
     for b in batches:
-        for n, t in zip(b["number"].to_pylist(), b["term"].to_pylist(), strict=True):
-            for g in {t[i : i + 3] for i in range(max(1, len(t) - 2))}:
-                held.setdefault(g, []).append(n)
-            terms += 1
-            if terms == BLOCK_TERMS:
-                yield block()
-                held, terms = {}, 0
-    if held:
-        yield block()
+        held.append(b)
+        terms += b.num_rows
+        if terms >= BLOCK_TERMS:
+            yield _gram_block(held)
+            held, terms = [], 0
+    if terms:
+        yield _gram_block(held)
 
 
 class TextIndex:
@@ -239,10 +273,10 @@ class TextIndex:
         held = write(docs.select(F.col("id").cast("long").alias("id"), F.char_length("content").alias("n_chars"), F.char_length(F.lower("content")).alias("n_lower"), "content"), "docs")
         made = held.select("id", F.lower("content").alias("lower")).where("id is not null").mapInArrow(_postings, TABLES["postings"])
         postings = write(made.repartitionByRange(n, "term", "low").sortWithinPartitions("term", "low") if whole else made, "postings")
-        counted = postings.groupBy("term").agg(F.sum(F.col("texts").cast("long")).alias("texts"))
-        terms = write(counted.repartitionByRange(n, "term").sortWithinPartitions("term").withColumn("number", F.monotonically_increasing_id()), "terms")
+        counted = postings.select("term", F.col("texts").cast("long").alias("texts")).repartitionByRange(n, "term").groupBy("term").agg(F.sum("texts").alias("texts"))
+        terms = write(counted.sortWithinPartitions("term").withColumn("number", F.monotonically_increasing_id()), "terms")
         write(terms.select("number", "term").mapInArrow(_grams, TABLES["grams"]).repartitionByRange(n, "gram", "low").sortWithinPartitions("gram", "low"), "grams")
-        write(self.spark.createDataFrame([], TABLES["gone"]) if gone is None else gone.select(F.col("id").cast("long").alias("id")).distinct(), "gone")
+        write(self.spark.range(0) if gone is None else gone.select(F.col("id").cast("long").alias("id")).distinct(), "gone")
         self.snap.commit({**manifest, "version": manifest["version"] + 1, "segments": [*keep, name]})
 
     def _read(self, name: str, kind: str) -> DataFrame:
@@ -274,7 +308,7 @@ class TextIndex:
 
     def remove(self, ids: DataFrame) -> None:
         m = self.snap.read()
-        self._segment(self.spark.createDataFrame([], "id long, content string"), ids, m, m["segments"])
+        self._segment(self.spark.range(0).withColumn("content", F.lit(None).cast("string")), ids, m, m["segments"])
 
     def merge(self, sort: bool = False) -> None:
         """One segment of all rows that count; the old ones go.  sort: postings are range-partitioned by their terms over all files, at the cost of a shuffle."""

@@ -1,6 +1,8 @@
 """The vector index and the text index against searches over all rows."""
 
 import random
+import re
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -190,3 +192,45 @@ def test_trigrams_of_small_batches_share_blocks():
     terms = pa.RecordBatch.from_arrays([pa.array(range(600), pa.int64()), pa.array([f"term{i % 7}" for i in range(600)])], names=["number", "term"])
     rows = [r for b in text_index._grams([terms.slice(i, 50) for i in range(0, 600, 50)]) for r in b.to_pylist()]
     assert len({r["gram"] for r in rows}) == len(rows) and next(r for r in rows if r["gram"] == "ter")["numbers"] == list(range(600))
+
+
+def calls(run):
+    """What ``run`` gives and how many functions it calls."""
+    n = [0]
+
+    def count(frame, event, arg):
+        n[0] += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        return run(), n[0]
+    finally:
+        sys.setprofile(None)
+
+
+def test_blocks_take_no_call_a_word():
+    """Postings and trigrams are made from arrays; their rows are those of a plain loop."""
+    rng = random.Random(8)
+    texts = ["", " \t", *["".join(rng.choices("abc é日\x00\x1c\x85\n", k=k)) for k in (5, 3000, 3000, 40, 3000)]]
+    ids = [7, -5, 1 << 60, 3, 3, 9, 8]
+    text_index._block([1], ["a"])  # the table of white space
+    block, n = calls(lambda: text_index._block(ids, texts))
+    assert n < 1000
+    want = {}
+    for i, t in zip(ids, texts, strict=True):
+        for m in re.finditer(r"\S+", t):
+            want.setdefault(m[0], []).append((i, m.start()))
+    row, own, times, _, places = text_index._unpack(block)
+    terms = block["term"].to_pylist()
+    assert terms == sorted(want)
+    got = {}
+    for r, i, p in zip(np.repeat(row, times).tolist(), np.repeat(own, times).tolist(), places.tolist(), strict=True):
+        got.setdefault(terms[r], []).append((i, p))
+    assert got == want
+    grams, n = calls(lambda: list(text_index._grams(iter([pa.RecordBatch.from_arrays([pa.array(range(9, 9 + len(terms))), block["term"]], names=["number", "term"])]))))
+    assert n < 1000 < len(terms) + sum(map(len, terms))
+    held = {}
+    for k, t in enumerate(terms, 9):
+        for g in {t[i : i + 3] for i in range(max(1, len(t) - 2))}:
+            held.setdefault(g, []).append(k)
+    assert {r["gram"]: (r["low"], r["numbers"]) for b in grams for r in b.to_pylist()} == {g: (v[0], v) for g, v in held.items()}
