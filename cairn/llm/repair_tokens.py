@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import functools
 import json
+import os
 import re
 import struct
 import uuid
@@ -27,6 +28,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
@@ -42,6 +44,8 @@ NO_ID = 1 << 31
 MAGIC = b"RPAIR1\0\0"
 _HEAD = struct.Struct("<8s5I")
 _CACHE = 800_000
+#: Byte-level BPE's character for a line feed.
+LINE_FEED = "\u010a"
 
 
 def default_tokenizer() -> str:
@@ -65,13 +69,19 @@ class Encoder:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import Split
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tok = Tokenizer.from_file(path)
         self.apart = _by_words(json.loads(self.tok.to_str()))
         if self.apart:
             self.bare = Tokenizer.from_file(path)
             self.bare.normalizer = self.bare.pre_tokenizer = None
             self.bytes_to_chars = _byte_chars()
+            # the byte of a line feed, which no word holds, stands between words that the library gets as one text
+            mark = self.bare.encode(LINE_FEED, add_special_tokens=False)
+            self.mark = mark.ids[0] if len(mark.ids) == 1 and mark.tokens[0].startswith(LINE_FEED) else None
+            self.bare.pre_tokenizer = Split(LINE_FEED, "isolated")
         self.words: dict[str, bytes] = {}  # of Latin-1 texts, lower-cased
         self.others: dict[str, bytes] = {}
 
@@ -89,14 +99,24 @@ class Encoder:
     def _bare(self, pieces: list[str]) -> None:
         fresh = [p for p in pieces if p not in self.words]
         chars = [p if p.isascii() else p.encode().decode("latin-1").translate(self.bytes_to_chars) for p in fresh]
-        self.words.update(zip(fresh, self._library(self.bare, chars), strict=True))
+        self.words.update(zip(fresh, self._lined(chars) if self.mark is not None else self._library(self.bare, chars), strict=True))
+
+    def _lined(self, pieces: list[str]) -> list[bytes]:
+        """What ``_library`` gives for pieces that hold no line feed, a thousand of them a text."""
+        lines = [LINE_FEED.join(pieces[lo : lo + 1000]) + LINE_FEED for lo in range(0, len(pieces), 1000)]
+        out: list[bytes] = []
+        for lo in range(0, len(lines), 20):
+            flat = np.concatenate([np.array(e.ids, "<u4") for e in self.bare.encode_batch_fast(lines[lo : lo + 20], add_special_tokens=False)])
+            ends, data = (4 * np.flatnonzero(flat == self.mark)).tolist(), flat.tobytes()
+            out += [data[a:b] for a, b in zip([0, *(x + 4 for x in ends[:-1])], ends, strict=True)]
+        return out
 
     def _new(self, new: list[str]) -> None:
         words = self.words
-        self._bare([w for w in new if w.isalpha()])
-        rest = [w for w in new if not w.isalpha()]
-        tailed = [w for w in rest if w[-1] in ".,;:!?" and w[:-1].isalpha()]
-        other = [w for w in rest if not (w[-1] in ".,;:!?" and w[:-1].isalpha())]
+        alpha, tailed, other = [], [], []
+        for w in new:
+            (alpha if w.isalpha() else tailed if w[-1] in ".,;:!?" and w[:-1].isalpha() else other).append(w)
+        self._bare(alpha)
         self._bare(list({*(w[:-1] for w in tailed), *(w[-1] for w in tailed)}))
         words.update([(w, words[w[:-1]] + words[w[-1]]) for w in tailed])
         plain = [w for w in other if self.PLAIN.fullmatch(w)]
@@ -118,23 +138,46 @@ class Encoder:
             else:
                 (latin if _is_latin(t) else wide).append(i)
         for own, cache, lower in ((latin, self.words, True), (wide, self.others, False)):
-            parts = [(texts[i].lower() if lower else texts[i]).split() for i in own]
+            split = pc.utf8_split_whitespace(pa.array([texts[i].lower() if lower else texts[i] for i in own], pa.large_string()))
+            coded = split.flatten().dictionary_encode()
+            words = _strings(coded.dictionary)
+            cache[""] = b""  # white space at an end of a text leaves an empty word there
+            ids = list(map(cache.get, words))
             if len(cache) > _CACHE:
-                held = {w: cache[w] for w in set().union(*parts) if w in cache}
                 cache.clear()
-                cache.update(held)
-            new = list({w for p in parts for w in p if w not in cache})
+                cache.update([(w, x) for w, x in zip(words, ids, strict=True) if x is not None])
+            missing = [k for k, x in enumerate(ids) if x is None]
+            new = [words[k] for k in missing]
             if lower:
                 self._new(new)
             else:
                 cache.update(zip(new, self._library(self.tok, new), strict=True))
-            for i, p in zip(own, parts, strict=True):
-                out[i] = b"".join(map(cache.__getitem__, p))
+            for k, w in zip(missing, new, strict=True):
+                ids[k] = cache[w]
+            for i, x in zip(own, _gathered(ids, coded.indices.to_numpy(zero_copy_only=False), split.offsets.to_numpy()), strict=True):
+                out[i] = x
         for i, x in zip(whole, self._library(self.tok, [texts[i] for i in whole]), strict=True):
             out[i] = x
         return out
 
 
+def _strings(words: pa.LargeStringArray) -> list[str]:
+    """An array's words, which hold no line feed, as Python's; faster than to_pylist."""
+    if not len(words):
+        return []
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), pa.scalar("\n", pa.large_string()))[0].as_py().split("\n")
+
+
+def _gathered(ids: list[bytes], words: np.ndarray, cuts: np.ndarray) -> list[bytes]:
+    """For each text, whose words are words[cuts[k]:cuts[k + 1]], the ids of its words in order."""
+    flat, size = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    begin, n = (np.cumsum(size) - size)[words], size[words]
+    ends = np.concatenate(([0], np.cumsum(n)))
+    data = flat[np.repeat(begin - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+    at = (4 * ends[cuts]).tolist()
+    return [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
 def _is_latin(text: str) -> bool:
     if text.isascii():
         return True

@@ -571,6 +571,23 @@ def test_tokens(spark, small):
 # 5: WARC
 
 
+def test_new_words_reach_the_library_many_at_once():
+    """A new word isn't a text of its own for the library; the ids are those of whole texts."""
+    own = repair_tokens.Encoder(repair_tokens.default_tokenizer())
+    rng, bare, seen = np.random.default_rng(5), own.bare, [0]
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            seen[0] += len(texts)
+            return bare.encode_batch_fast(texts, **options)
+
+    own.bare = Counted()
+    words = ["".join(map(chr, rng.choice(list(b"abcdefghijklmnop") + [0xE9, 0xDF], 12))) for _ in range(4000)]
+    texts = [" " + " ".join(words[:2500]) + ".\n", "", " \t", "It's x_1, " + "\xa0".join(words), "\u010a\u0120 a\u2028\u65e5\u672c b", *words[:50]]
+    assert own.encode(texts) == [np.array(own.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert 0 < seen[0] < 100
+
+
 @pytest.mark.parametrize("compress", [True, False])
 def test_warc(spark, compress, tmp_path):
     big, other = "<p>" + "é" * 600, "y" * 1000
