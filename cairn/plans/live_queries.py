@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cairn.plans.registry import _raw_events, _work_dir, _write_files, query, table
+from cairn.plans.registry import _move, _raw_events, _work_dir, _write_files, query, table
 from cairn.streaming import events as ev
 from cairn.streaming.dispatch import OUT, dispatch, state_store
 from cairn.streaming.listing import file_changes as changes
@@ -39,21 +37,6 @@ def dispatch_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema(OUT).parquet(f"{base}/out").select("file_path", "event_type", wall("ts"), wall("session_start"), "events")
 
 
-def _move(names: DataFrame, directory: str) -> None:
-    """rows (name, target): renames files, or deletes those without a target; by the executors, and again without harm."""
-
-    def run(parts):
-        system, base = fs.FileSystem.from_uri(directory if "://" in directory else f"file://{directory}")
-        for part in parts:
-            for name, target in zip(part["name"].to_pylist(), part["target"].to_pylist(), strict=True):
-                if system.get_file_info(f"{base}/{name}").type != fs.FileType.File:
-                    continue
-                system.move(f"{base}/{name}", f"{base}/{target}") if target else system.delete_file(f"{base}/{name}")
-            yield pa.RecordBatch.from_arrays([part["name"]], names=["name"])
-
-    names.mapInArrow(run, "name string").write.format("noop").mode("overwrite").save()
-
-
 @query()
 def file_changes(spark: SparkSession, sf: str) -> DataFrame:
     """Events of a folder with a file for each 20 documents, seen by two runs of a query between which a fifth each is changed, deleted and moved."""

@@ -610,6 +610,21 @@ def _write_files(rows: DataFrame, directory: str) -> None:
     rows.mapInArrow(run, "name string").write.format("noop").mode("overwrite").save()
 
 
+def _move(names: DataFrame, directory: str) -> None:
+    """rows (name, target): renames files, or deletes those without a target; by the executors, and again without harm."""
+
+    def run(parts):
+        system, base = fs.FileSystem.from_uri(directory if "://" in directory else f"file://{directory}")
+        for part in parts:
+            for name, target in zip(part["name"].to_pylist(), part["target"].to_pylist(), strict=True):
+                if system.get_file_info(f"{base}/{name}").type != fs.FileType.File:
+                    continue
+                system.move(f"{base}/{name}", f"{base}/{target}") if target else system.delete_file(f"{base}/{name}")
+            yield pa.RecordBatch.from_arrays([part["name"]], names=["name"])
+
+    names.mapInArrow(run, "name string").write.format("noop").mode("overwrite").save()
+
+
 def _file_rows(spark, sf, markdown: str, code: str):
     kind = lambda r: F.when(F.col("doc_id") % 3 == r[0], F.lit(r[1]))
     name = F.concat(F.coalesce(kind((1, ".hidden")), F.lit("d")), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 6 == 0, F.lit(".md")).when(F.col("doc_id") % 6 == 3, F.lit(".txt")).when(F.col("doc_id") % 3 == 2, F.lit(".py")).otherwise(F.lit(".md")))
@@ -645,10 +660,8 @@ def rescan_files(spark, sf):
     _write_files(rows.select("name", "text"), f"{base}/files")
     worker.run_once([f"{base}/files"])
     _write_files(_file_rows(spark, sf, _MD2, _CODE).where("doc_id % 5 = 0 and doc_id % 6 = 0").select("name", "text"), f"{base}/files")
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    listing = path(f"{base}/files").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for s in listing.globStatus(path(f"{base}/files/d*7.py")) or []:
-        listing.delete(s.getPath(), False)
+    gone = rows.where("name like 'd%7.py'").select("name").distinct()
+    _move(gone.withColumn("target", F.lit(None).cast("string")), f"{base}/files")
     worker.run_once([f"{base}/files"])
     return own.df().groupBy("file_name", "source_type").agg(F.count("*").alias("chunks"), F.sum(F.char_length("content")).alias("chars"))
 
