@@ -26,8 +26,9 @@ from cairn.schema import REGISTRY, STORE, conform
 SPLITS, SOURCES, TYPES, FEW = 8, 64, 16, 200
 #: Rows of a base file, about.
 FILE_ROWS = 500_000
-#: Marked rows that are broadcast to readers; more are joined by a shuffle.
-MARKS = 1_000_000
+#: Marked rows that are broadcast to readers one by one, at about 330 bytes each; more are broadcast as maps of BLOCK bits (4 KB, a file and
+#: BLOCK of its positions each), if there are at most MAPS of them, and joined by a shuffle if not.
+MARKS, BLOCK, MAPS = 100_000, 32768, 8000
 #: Values that the bounds of a Z-order column are drawn from, and the bits of its part of the curve.
 Z_SAMPLE, Z_BITS = 4096, 8
 STATS = "file string, shard int, rows long, created_at_min long, created_at_max long, id_min long, id_max long, source_min string, source_max string, sources array<long>, types array<string>"
@@ -81,7 +82,11 @@ class ParquetStore:
         if not m["marks"] or not own:
             return rows
         marks = self._in(m["marks"], MARK).select(F.col("file").alias("__file"), F.col("position").alias("__position"))
-        return rows.join(F.broadcast(marks) if m["marked"] <= MARKS else marks, ["__file", "__position"], "left_anti").select(*STORE.names, "__file", "__position")
+        if m["marked"] > MARKS and m.get("maps", m["marked"]) <= MAPS:
+            left = rows.withColumn("__block", _block("__position")).join(F.broadcast(_bit_maps(marks)), ["__file", "__block"], "left").where(~_in_map("__bits", "__position"))
+        else:
+            left = rows.join(F.broadcast(marks) if m["marked"] <= MARKS else marks, ["__file", "__position"], "left_anti")
+        return left.select(*STORE.names, "__file", "__position")
 
     def registry(self) -> DataFrame:
         folders = self.snap.read()["registry"]
@@ -220,11 +225,14 @@ class ParquetStore:
         own.select(*[x.split()[0] for x in STATS.split(", ")]).write.parquet(f"{self.path}/{name}")
         return name
 
-    def _mark(self, gone: DataFrame) -> tuple[str, int]:
-        """Writes the places of rows that go."""
+    def _mark(self, gone: DataFrame) -> tuple[str, int, int]:
+        """Writes the places of rows that go; also how many they and their bit maps are."""
         name = self.snap.new("marks", self.version + 1)
         gone.select(F.col("__file").alias("file"), F.col("__position").alias("position")).write.parquet(f"{self.path}/{name}")
-        return name, self._in([name], MARK).count()
+        return name, *self._marked(name)
+
+    def _marked(self, name: str) -> tuple[int, int]:
+        return tuple(self._in([name], MARK).agg(F.count("*"), F.count_distinct("file", _block("position"))).first())
 
     def _log(self, rows: DataFrame | None, gone: DataFrame | None, version: int) -> str:
         """Writes registry rows and the paths (file_path) that leave it; rows that a path also leaves by count more."""
@@ -244,9 +252,9 @@ class ParquetStore:
         m = self.snap.read()
         version, n = m["version"] + 1, 0
         if gone is not None:
-            name, n = self._mark(gone)
+            name, n, maps = self._mark(gone)
             if n:
-                m["marks"], m["marked"] = [*m["marks"], name], m["marked"] + n
+                m["marks"], m["marked"], m["maps"] = [*m["marks"], name], m["marked"] + n, m.get("maps", m["marked"]) + maps
         made = self._made(folder) if folder else []
         for f in made:
             m["shards"].setdefault(f.rpartition("=")[2], []).append(f)
@@ -359,12 +367,13 @@ class ParquetStore:
                 kept.write.parquet(f"{self.path}/{name}")
                 m["stats"] = [*fresh, name]
             marks = self._in(m["marks"], MARK).where(~F.regexp_extract("file", r"bucket=(\d+)/", 1).isin(own))
-            m["marks"], m["marked"] = [], 0
+            m["marks"], m["marked"], m["maps"] = [], 0, 0
             if rest:
                 name = self.snap.new("marks", version)
                 marks.write.parquet(f"{self.path}/{name}")
-                if n := self._in([name], MARK).count():
-                    m["marks"], m["marked"] = [name], n
+                n, maps = self._marked(name)
+                if n:
+                    m["marks"], m["marked"], m["maps"] = [name], n, maps
         if len(m["registry"]) > 1:
             name = self.snap.new("registry", version)
             self.registry().withColumns({"seq": F.lit(version).cast("long"), "gone": F.lit(False)}).write.parquet(f"{self.path}/{name}")
@@ -429,6 +438,22 @@ def _placed(rows: DataFrame) -> DataFrame:
     return rows.select("*", name.alias("__file"), F.col("_metadata.row_index").alias("__position"))
 
 
+def _block(position: str) -> Column:
+    return F.floor(F.col(position) / BLOCK)
+
+
+def _bit_maps(marks: DataFrame) -> DataFrame:
+    """``__file, __block, __bits`` of (__file, __position)."""
+    return marks.groupBy("__file", _block("__position").alias("__block")).agg(F.bitmap_construct_agg(F.pmod("__position", F.lit(BLOCK))).alias("__bits"))
+
+
+def _in_map(bits: str, position: str) -> Column:
+    """Whether the position's bit is set; false without a map."""
+    at = F.pmod(F.col(position), F.lit(BLOCK)).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.getbit(byte, at.bitwiseAND(F.lit(7))) == 1, F.lit(False))
+
+
 def _rank(c: Column, bounds: list) -> Column:
     """How many bounds a value reaches; 0 for null."""
     return F.when(c.isNotNull(), F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= c))).otherwise(F.lit(0)) if bounds else F.lit(0)

@@ -157,3 +157,29 @@ def test_rows_are_embedded_once_and_contents_read_once(spark, tmp_path, monkeypa
     out = worker.run_once([str(docs)])
     assert (out["updated_files"], out["deleted_files"], out["unchanged_files"]) == (1, 1, 18) and read.value - had <= 3
     assert s.registry().where("file_path like '%f3.md'").first().chunk_count == 1 and s.registry().count() == 19
+
+
+def test_many_marks_reach_readers_as_bit_maps(spark, tmp_path, monkeypatch):
+    """However marks are joined the rows are the same; over 100,000 are broadcast as a few maps."""
+    from cairn.operators import store
+
+    n, odd = 140_000, [0, 7, 8, 63, 64, 32767, 32768, 65535, 65536, 139_999]
+    s = ParquetStore(spark, str(tmp_path), shards=1)
+    s.add(spark.range(0, n, 1, 1).select("id", F.lit("t").alias("content"), F.lit("/a").alias("source"), F.array(F.lit(1.0).cast("float")).alias("vector")))
+    gone = F.col("id").isin(odd) | (F.col("id") % 14 < 11) & ~F.col("id").isin([1, 32769, 65534])
+    ids = spark.range(n).where(gone)
+    s.remove_ids(ids.where("id % 2 = 0"))
+    s.remove_ids(ids.where("id % 2 = 1"))
+    want = sorted({*range(n)} - {r.id for r in ids.collect()})
+    m = s.snap.read()
+    assert m["marked"] == n - len(want) > store.MARKS and m["maps"] <= 2 * (n // store.BLOCK + 1)
+    # the shuffled join, rows one by one, maps
+    for marks, maps, joined in ((0, 0, "LeftAnti"), (n, 0, "LeftAnti"), (store.MARKS, store.MAPS, "bitmap_construct_agg")):
+        monkeypatch.setattr(store, "MARKS", marks)
+        monkeypatch.setattr(store, "MAPS", maps)
+        rows = s._live(None)
+        assert joined in rows._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.id for r in rows.select("id").collect()) == want
+        assert rows.columns == s._live([0]).columns and rows.select("id").distinct().count() == rows.count() == len(want)
+    s.compact()
+    assert s.snap.read()["maps"] == 0 and sorted(r.id for r in s.df().select("id").collect()) == want
